@@ -256,12 +256,15 @@ def read_value(value: str | None, order: str | None) -> tuple[int | None, int |
     return (us, offset, zone) if us is not None else nothing
 
 
-_read_cached = lru_cache(maxsize=50_000)(read_value)
+@lru_cache(maxsize=50_000)
+def read_cached(value: str | None, order: str | None) -> tuple[int | None, int | None, str | None]:
+    """:func:`read_value`, remembering recent spellings of a Python worker."""
+    return read_value(value, order)
 
 
 @F.arrow_udf(READ)
 def _read(values: pa.Array, orders: pa.Array) -> pa.Array:
-    got = [_read_cached(v, o) for v, o in zip(values.to_pylist(), orders.to_pylist(), strict=True)]
+    got = [read_cached(v, o) for v, o in zip(values.to_pylist(), orders.to_pylist(), strict=True)]
     return pa.StructArray.from_arrays(
         [pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.int32()), pa.array([g[2] for g in got], pa.string())],
         names=["local_us", "offset_s", "zone"],
