@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarn.llm import leak, mix, split, tokenizer
+from tarn.llm import lang, leak, mix, split, tokenizer
 from tarn.sources.tables import table
 
 
@@ -59,3 +59,21 @@ SELECT field, row_id FROM (
   SELECT 'chunk.text' AS field, chunk_no AS row_id, length(text) AS n FROM chunk
   UNION ALL SELECT 'booking_spot_deal.body_md', art_no, length(body_md) FROM booking_spot_deal
 ) JOIN split_limit USING (field) WHERE n > max_chars"""
+
+
+def _identified(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    return lang.identify(docs, lang.fit_profiles(docs))
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    """Stretches of documents whose label is missing or wrong or whose text is in several languages."""
+    return _identified(spark, d).where("not label_ok").select("doc_id", "start_pos", "lang")
+
+
+def p9_languages(spark: SparkSession, d: str) -> DataFrame:
+    """Every stretch of every document with its language and confidence."""
+    return _identified(spark, d)
+
+
+QUERIES |= {f.__name__: f for f in (p9_found, p9_languages)}
