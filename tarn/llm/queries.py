@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarn.llm import lang, leak, mix, split, tokenizer
+from tarn.llm import email, lang, leak, mix, split, tokenizer
 from tarn.sources.tables import table
 
 
@@ -77,3 +77,16 @@ def p9_languages(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES |= {f.__name__: f for f in (p9_found, p9_languages)}
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    """Lines their sender did not newly write."""
+    return email.other_lines(table(spark, d, "ticket")).select("rec_id", "comment_no", "line_no")
+
+
+def p4_new_text(spark: SparkSession, d: str) -> DataFrame:
+    """Each message with only its new text."""
+    return email.reduced(table(spark, d, "ticket"))
+
+
+QUERIES |= {f.__name__: f for f in (p4_found, p4_new_text)}
