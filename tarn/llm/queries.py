@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarn.llm import email, lang, leak, mix, split, tokenizer
+from tarn.llm import email, lang, leak, mix, pii, split, tokenizer
 from tarn.sources.tables import table
 
 
@@ -90,3 +90,19 @@ def p4_new_text(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES |= {f.__name__: f for f in (p4_found, p4_new_text)}
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    """Every personal detail in the texts of tickets."""
+    tickets = table(spark, d, "ticket")
+    return pii.find_details(tickets, pii.fit_names(tickets)).where("kind <> 'date'").select("rec_id", "field", "kind", "start_pos")
+
+
+def p6_redacted(spark: SparkSession, d: str) -> DataFrame:
+    """The texts with placeholders; the key comes from the session, a fixed one serves tests only."""
+    tickets = table(spark, d, "ticket")
+    key = spark.conf.get("tarn.pii.key", "only-for-tests").encode()
+    return pii.redact(tickets, pii.fit_names(tickets), key)
+
+
+QUERIES |= {f.__name__: f for f in (p6_found, p6_redacted)}
