@@ -310,19 +310,21 @@ def to_utc(df: DataFrame, zone: Column) -> Column:
 
 
 def normalise(df: DataFrame, value: str, portals: DataFrame, portal: str = "portal", ingested: str | None = None) -> DataFrame:
-    """``df`` with ``utc_us`` of column ``value``.
+    """``df`` with ``utc_us`` of column ``value``; a column of that name is replaced, all others stay as they are.
 
     ``portals`` declares ``portal, zone, date_order``.  Portals it does not declare get the zone estimated from
     ``ingested``, where given; candidates are the declared zones.
     """
-    dims = portals.groupBy(F.col("portal").alias(portal)).agg(F.min("zone").alias("decl_zone"), F.min("date_order").alias("date_order")).where(F.col(portal).isNotNull())
-    reads = read_values(join_small(df, dims, [portal]), value, F.col("date_order"))
+    dims = portals.groupBy(F.col("portal").alias("_portal")).agg(F.min("zone").alias("decl_zone"), F.min("date_order").alias("date_order")).where(F.col("_portal").isNotNull())
+    kept = [c for c in df.columns if c != "utc_us"]
+    packed = df.select(F.struct(*kept).alias("_row"), F.col(value).alias("_value"), F.col(portal).alias("_portal"), (F.col(ingested).cast("timestamp") if ingested else F.lit(None).cast("timestamp")).alias("_ingested"))
+    reads = read_values(join_small(packed, dims, ["_portal"]), "_value", F.col("date_order"))
     zone = F.col("decl_zone")
     if ingested is not None:
         unknown = reads.where(F.col("decl_zone").isNull())
         names = sorted({r[0] for r in portals.select("zone").where(F.col("zone").isNotNull()).distinct().limit(1000).collect()})
         if names:
-            est = estimate_zones(unknown, portal, ingested, names).select(portal, "est_zone")
-            reads = join_small(reads, est, [portal])
+            est = estimate_zones(unknown, "_portal", "_ingested", names).select("_portal", "est_zone")
+            reads = join_small(reads, est, ["_portal"])
             zone = F.coalesce(F.col("decl_zone"), F.col("est_zone"))
-    return reads.withColumn("utc_us", to_utc(reads, zone))
+    return reads.select("_row.*", to_utc(reads, zone).alias("utc_us"))
