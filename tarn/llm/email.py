@@ -3,7 +3,7 @@
 A semi-Markov model labels whole runs of lines at once.  Every line has a kind (a mark, an attribution, a header
 field, a closing, a contact, a notice, a short or a plain line, ...), every label scores the kinds of the lines it
 covers, and on top of that a span is scored as a whole: the cue it opens with, what it may follow, its length, and
-whether it runs to the end of the message, as unmarked history does.  The best division of the message into spans is
+whether it runs to the end of the message, as unmarked history always does.  The best division of the message into spans is
 decoded exactly; neighbouring lines of one kind move together, so messages cost in proportion to their turns.
 
 Labels: A authored, M marked quotation, U unmarked quotation, S closing and signature, D notices.
@@ -72,11 +72,11 @@ _INTRO_END = re.compile(rf"^(?:{_NAME}\s*)?(?:<[^<>\s]+@[^<>\s]+>\s*)?{_WROTE}\s
 BANNER = r"""[-_=*\s]{0,40}(?:original\s(?:message|appointment|e-?mail)|ursprüngliche\snachricht|originalnachricht|weitergeleitete\snachricht|message\s(?:d['’]origine|original|transféré|transmis)|(?:begin\s)?forwarded\smessage|anfang\sder\sweitergeleiteten\snachricht|mensaje\s(?:original|reenviado)|mensagem\s(?:original|encaminhada)|messaggio\s(?:originale|inoltrato)|oorspronkelijk\sbericht|doorgestuurd\sbericht|wiadomość\s(?:oryginalna|przekazana)|(?:исходное|пересылаемое)\sсообщение|début\sdu\smessage\s(?:transféré|réexpédié))[:\s]*[-_=*]*\s*$"""
 FIELDS = "from|sent|to|cc|bcc|date|subject|reply-to|importance|attachments|von|gesendet|an|kopie|datum|betreff|de|envoyé|envoyé le|date|à|objet|copie|enviado|enviado el|fecha|para|asunto|cco|enviada|enviada em|data|assunto|da|inviato|a|oggetto|van|verzonden|aan|onderwerp|od|wysłano|do|dw|temat|от|отправлено|кому|тема|дата"
 _HEAD = re.compile(rf"^\*{{0,2}}(?:{FIELDS})\s?:\*{{0,2}}(?:\s|$)", re.IGNORECASE)
-_HEAD_SENDER = re.compile(r"^\*{0,2}(?:from|von|de|da|van|od|от)\s?:\*{0,2}\s", re.IGNORECASE)
-_HEAD_VALUE = re.compile(r"@|\d{1,2}[:.h]\d{2}|\d{4}|^\*{0,2}(?:subject|betreff|objet|asunto|assunto|oggetto|onderwerp|temat|тема|to|cc|an|à|para|a|aan|do|кому|from|von|de|da|van|od|от|sent|kopie)\s?:\*{0,2}\s+\S", re.IGNORECASE)
-_MARK = re.compile(r"^[ \t]*(?:[A-Z]{1,3}>|>(?!=)|\|(?![|]))")
+_HEAD_DATE = re.compile(r"^\*{0,2}(?:sent|date|gesendet|datum|envoyé|envoyé le|enviado|enviado el|fecha|enviada|enviada em|data|inviato|verzonden|wysłano|отправлено|дата)\s?:\*{0,2}\s+.*(?:\d{1,2}[:.h]\d{2}|\d{1,2}[./-]\d{1,2}[./-]\d{2,4}|[^\W\d_]{3,}\.?,? \d{1,2},? \d{4})", re.IGNORECASE)
+_HEAD_PARTY = re.compile(r"^\*{0,2}(?:from|to|cc|bcc|reply-to|von|an|kopie|de|à|copie|para|cco|da|a|van|aan|od|do|dw|от|кому)\s?:\*{0,2}\s+(?P<v>.*)$", re.IGNORECASE)
+_MARK = re.compile(r"^[ \t]*(?:[A-Z]{1,3}>|>(?!=(?!=))|\|(?![|]))")
 _TABLE = re.compile(r"^\s*\|(?:[^|]+\|){2,}\s*$")
-_ARROW = re.compile(r"^\s*(?:>=|>\s*\d[\d.,]*\s*(?:%|[A-Z]{3}\b)|->|-->|=>)")
+_ARROW = re.compile(r"^\s*(?:>=(?!=)|>\s*\d[\d.,]*\s*(?:%|[A-Z]{3}\b)|->|-->|=>)")
 _RULE = re.compile(r"^\s*(?:[-–—_*=~#+.]\s?){2,}\s*$")
 
 _closing_words = "|".join(sorted((re.escape(c.strip()).replace(r"\ ", r"\s+") for c in CLOSINGS.replace("\n", "").split("|") if c.strip()), key=len, reverse=True))
@@ -113,41 +113,53 @@ _CUES = frozenset("mark intro head banner rule close name contact mobile disc ga
 # What each label earns by a line of each kind.
 _EARNS = {
     #            A     M     U     S     D
-    "plain": (1.0, -4.0, 0.0, -3.5, -3.0),
-    "short": (0.2, -4.0, 0.0, 0.6, -2.5),
-    "greet": (1.5, -4.0, 0.2, -5.0, -4.0),
-    "mark": (-7.0, 3.0, -0.5, -6.0, -6.0),
-    "cont": (-1.5, 2.0, -0.5, -4.0, -4.0),
-    "intro": (-6.0, 2.5, 3.0, -5.0, -5.0),
+    "plain": (1.0, -4.0, 1.0, -3.5, -3.0),
+    "short": (0.2, -4.0, 1.0, 0.6, -2.5),
+    "greet": (1.5, -4.0, 1.5, -5.0, -4.0),
+    "mark": (-7.0, 3.0, 1.0, -6.0, -6.0),
+    "cont": (-1.5, 2.0, 1.0, -4.0, -4.0),
+    "lead": (-6.0, 2.5, 1.0, -5.0, -5.0),
+    "intro": (-6.0, 1.0, 3.0, -5.0, -5.0),
     "head": (-5.0, -2.0, 3.0, -4.0, -4.0),
     "banner": (-6.0, 0.0, 4.0, -4.0, -4.0),
-    "rule": (-0.4, -1.0, 0.0, 0.4, 0.4),
+    "rule": (-0.4, -1.0, 0.4, 0.4, 0.4),
     "bar": (-3.0, 0.0, 0.5, -2.0, -2.0),
-    "close": (-5.0, -4.0, 0.0, 4.0, -4.0),
-    "name": (-2.0, -4.0, 0.0, 2.5, -3.0),
-    "contact": (-1.5, -4.0, 0.0, 2.5, -3.0),
-    "mobile": (-6.0, -4.0, 0.0, 1.0, 4.0),
-    "disc": (-5.0, -4.0, 0.0, -1.0, 4.0),
-    "tail": (-1.0, -4.0, 0.0, -2.0, 3.0),
-    "gate": (-7.0, -4.0, 0.0, -4.0, 6.0),
-    "ps": (4.0, -4.0, 0.0, -6.0, -6.0),
+    "close": (-5.0, -4.0, 2.0, 4.0, -4.0),
+    "name": (-2.0, -4.0, 1.0, 2.5, -3.0),
+    "contact": (-1.5, -4.0, 1.0, 2.5, -3.0),
+    "mobile": (-6.0, -4.0, 2.0, 1.0, 4.0),
+    "disc": (-5.0, -4.0, 2.0, -1.0, 4.0),
+    "tail": (-1.0, -4.0, 1.0, -2.0, 3.0),
+    "gate": (-7.0, -4.0, 2.0, -4.0, 6.0),
+    "ps": (4.0, -4.0, 1.0, -6.0, -6.0),
 }
 # What a change from one label to another costs.
 _MOVE = {
     ("A", "M"): 0.5, ("A", "U"): 0.5, ("A", "S"): 1.0, ("A", "D"): 1.0, ("M", "A"): 0.8, ("M", "U"): 1.0, ("M", "S"): 1.0, ("M", "D"): 1.0,
-    ("U", "A"): 8.0, ("U", "M"): 2.0, ("U", "S"): 4.0, ("U", "D"): 3.0, ("S", "A"): 4.0, ("S", "M"): 0.5, ("S", "U"): 0.5, ("S", "D"): 0.5,
+    ("U", "A"): 12.0, ("U", "M"): 12.0, ("U", "S"): 12.0, ("U", "D"): 12.0, ("S", "A"): 4.0, ("S", "M"): 0.5, ("S", "U"): 0.5, ("S", "D"): 0.5,
     ("D", "A"): 1.5, ("D", "M"): 0.5, ("D", "U"): 0.5, ("D", "S"): 1.5,
 }
 # What a span of a label can open with, and what that earns; authored spans can open with anything.
 _OPENS: dict[str, dict[str, float]] = {
     "A": {},
-    "M": {"mark": 0.0, "intro": 0.0, "banner": 0.0, "bar": 0.5},
+    "M": {"mark": 0.0, "lead": 0.0, "intro": 0.0, "banner": 0.0, "bar": 0.5},
     "U": {"intro": 1.0, "head": 2.0, "banner": 3.0, "bar": 2.5},
     "S": {"close": 2.0, "rule": 1.5, "name": 0.5, "contact": -0.5, "mobile": 0.0, "short": -1.5},
     "D": {"disc": 1.0, "gate": 2.0, "mobile": 1.5, "rule": 1.5},
 }
 
 
+def _is_head(line: str) -> bool:
+    """Whether a header field has the value it should: a date, an address or names; a subject tells nothing by itself."""
+    if _HEAD_DATE.match(line):
+        return True
+    m = _HEAD_PARTY.match(line)
+    if not m:
+        return False
+    v = m["v"]
+    return "@" in v or (bool(v) and v[-1] != "." and all(_CAPS.match(p.strip()) for p in re.split(r"[,;]", v) if p.strip()))
+
+
 @lru_cache(maxsize=100_000)
 def own_kind(line: str) -> str:
     """The kind of a stripped line by itself."""
@@ -167,7 +179,7 @@ def own_kind(line: str) -> str:
             return "banner"
         if line[-1] == ":" and _INTRO.match(line):
             return "intro"
-        if first in _FIELD_FIRST and _HEAD.match(line) and _HEAD_VALUE.search(line):
+        if first in _FIELD_FIRST and _HEAD.match(line) and _is_head(line):
             return "head"
         if n <= 70 and first in _CLOSE_FIRST and (m := _CLOSE.match(line)) and (not m["who"] or _CAPS.match(m["who"].rstrip(" ,."))):
             return "close"
@@ -179,7 +191,7 @@ def own_kind(line: str) -> str:
         return "plain"
     if first in ("p", "ps") and _PS.match(line):
         return "ps"
-    if _CONTACT.match(line) or _POSTAL.search(line):
+    if _CONTACT.match(line) or (line[-1] != "." and _POSTAL.search(line)):
         return "contact"
     if n > 60:
         return "plain"
@@ -204,25 +216,27 @@ def kinds(lines: list[str], who: frozenset[str]) -> list[str | None]:
             elif bare[i + 1].endswith(":") and len(bare[i + 1]) < 90 and _INTRO.match(f"{bare[i]} {bare[i + 1]}"):
                 out[i] = out[i + 1] = "intro"
     i = 0
-    while i < n:  # header fields count as such only together, with a sender or under a banner
+    while i < n:  # header fields count as such only together or under a banner, then with any subject among them
         if out[i] != "head":
             i += 1
             continue
         j = i
-        while j + 1 < n and (out[j + 1] == "head" or (bare[j + 1] and _HEAD.match(bare[j + 1]) and len(bare[j + 1]) < 100)):
+        while j + 1 < n and bare[j + 1] and (out[j + 1] == "head" or (_HEAD.match(bare[j + 1]) and len(bare[j + 1]) < 160)):
             j += 1
-        real = sum(bool(_HEAD.match(b)) for b in bare[i : j + 1])
+        while i and bare[i - 1] and out[i - 1] == "plain" and _HEAD.match(bare[i - 1]) and len(bare[i - 1]) < 160:
+            i -= 1
+        real = out[i : j + 1].count("head")
         above = next((out[k] for k in range(i - 1, -1, -1) if out[k]), None)
-        if real >= 3 or (real == 2 and (_HEAD_SENDER.match(bare[i]) or above == "banner")):
-            for k in range(i, j + 1):
-                out[k] = "head"
-        else:
-            for k in range(i, j + 1):
-                out[k] = "plain"
+        for k in range(i, j + 1):
+            out[k] = "head" if real >= 2 or above == "banner" else "plain"
         i = j + 1
-    for i in range(n):  # a rule right above history belongs to it
-        if out[i] == "rule" and next((k for k in out[i + 1 : i + 4] if k), None) in ("head", "banner", "intro"):
+    for i in range(n):  # an attribution leads marked lines or opens unmarked history; a rule right above either belongs to it
+        after = next((k for k in out[i + 1 : i + 4] if k), None)
+        if out[i] == "rule" and after in ("head", "banner", "intro"):
             out[i] = "bar"
+    for i in range(n - 1, -1, -1):
+        if out[i] == "intro" and next((k for k in out[i + 1 : i + 4] if k), None) in ("mark", "lead"):
+            out[i] = "lead"
     last: str | None = None
     for i in range(n):
         k = out[i]
