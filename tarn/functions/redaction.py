@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tarn.functions.text import CITATION, let
+
 # The patterns of each rule, in the order they apply.
 EMAIL = r"(?U)[\w.+-]+@[\w-]+\.[\w.-]+"
 CRED_PAIR = r"(?i)\b(pass(?:word)?|pwd|secret|token|api[_-]?key|access[_-]?key|user(?:name)?|login)(=)([^\s&]+)"
@@ -38,8 +40,14 @@ LEAKS = (
 GONE = "[redacted]"
 
 
-def redact_line(line: Column, terms: Column | None = None) -> Column:
-    """One line through all rules; ``terms`` (array) go as whole words in any case."""
+def term_pattern(terms: Column) -> Column:
+    """One pattern for all terms of two or more characters, as whole words in any case, in their order; null if none."""
+    usable = F.filter(terms, lambda t: F.length(t) >= 2)
+    return F.when(F.size(usable) > 0, F.concat(F.lit(r"(?i)\b(?:"), F.array_join(F.transform(usable, lambda t: F.concat(F.lit(r"\Q"), t, F.lit(r"\E"))), "|"), F.lit(r")\b")))
+
+
+def redact_line(line: Column, pattern: Column | None = None) -> Column:
+    """One line through all rules, last what matches ``pattern``."""
     x = F.regexp_replace(line, EMAIL, r"[redacted]")
     x = F.regexp_replace(x, CRED_PAIR, r"$1$2[redacted]")
     x = F.regexp_replace(x, CRED_LABEL, r"$1$2[redacted]")
@@ -52,26 +60,27 @@ def redact_line(line: Column, terms: Column | None = None) -> Column:
     x = F.regexp_replace(x, GREETING, "$1$2[redacted]")
     x = F.regexp_replace(x, ACTION, "$1 [redacted]")
     x = F.regexp_replace(x, IN_BRACKETS, "([redacted])")
-    if terms is not None:
-        usable = F.filter(terms, lambda t: F.length(t) >= 2)
-        x = F.aggregate(usable, x, lambda acc, t: F.regexp_replace(acc, F.concat(F.lit(r"(?i)\b\Q"), t, F.lit(r"\E\b")), F.lit(GONE)))
-    return x
+    return x if pattern is None else F.regexp_replace(x, pattern, F.lit(GONE))
 
 
 def redact(text: Column, terms: Column | None = None) -> Column:
     """Text without personal details: header and boilerplate lines and the name under a sign-off go, the rest is redacted."""
     lines = F.split(F.replace(F.coalesce(text, F.lit("")), F.lit("\r"), F.lit("")), "\n")
-    bare = F.transform(lines, lambda x: F.trim(x))
-    before = F.concat(F.array(F.lit("")), F.slice(bare, 1, F.greatest(F.size(bare) - 1, F.lit(0))))
-    rows = F.arrays_zip(lines.alias("line"), bare.alias("bare"), before.alias("before"))
 
     def keep(r: Column) -> Column:
         name = r["bare"].rlike(NAME_ONLY) & r["before"].rlike(SIGN_OFF)
         return ~r["bare"].rlike(DROP_LINE) & ~name
 
-    kept = F.transform(F.filter(rows, keep), lambda r: redact_line(r["line"], terms))
-    full = F.filter(kept, lambda x: F.trim(x) != "")
-    return F.trim(F.regexp_replace(F.array_join(full, "\n"), "[ \t]{2,}", " "))
+    def whole(ls: Column, pattern: Column | None) -> Column:
+        rows = F.transform(ls, lambda x, i: F.struct(x.alias("line"), F.trim(x).alias("bare"), F.when(i > 0, F.trim(F.get(ls, i - 1))).otherwise("").alias("before")))
+        kept = F.transform(F.filter(rows, keep), lambda r: redact_line(r["line"], pattern))
+        full = F.filter(kept, lambda x: F.trim(x) != "")
+        return F.trim(F.regexp_replace(F.array_join(full, "\n"), "[ \t]{2,}", " "))
+
+    if terms is None:
+        return let(lines, lambda ls: whole(ls, None))
+    # A pattern that never matches stands for no terms, so that one expression serves all rows.
+    return let(F.coalesce(term_pattern(terms), F.lit(r"(?!)")), lambda p: let(lines, lambda ls: whole(ls, p)))
 
 
 def leaks(text: Column) -> Column:
@@ -88,8 +97,6 @@ def scrub(text: Column) -> Column:
 
 def scrub_answer(text: Column) -> Column:
     """Like the inline rules without names, but citation links stay as they are."""
-    from tarn.functions.text import CITATION
-
     t = F.coalesce(text, F.lit(""))
     links = F.regexp_extract_all(t, F.lit(CITATION), F.lit(0))
     parts = F.split(F.regexp_replace(t, CITATION, "\u0001"), "\u0001")

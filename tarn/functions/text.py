@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -21,6 +22,11 @@ FOLLOW_UP_LIMIT = 5
 SHORT_LIMIT = 4
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, where lambdas would compute it for every element."""
+    return F.transform(F.array(value), use)[0]
+
+
 def collapse(text: Column) -> Column:
     """Runs of white space as one blank, none at the ends; null as empty."""
     return F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " "))
@@ -90,7 +96,7 @@ def version_key(v: Column) -> Column:
 
 def iso_date(raw: Column) -> Column:
     """The date of a ticket stamp: three formats, else a leading ISO date, else empty."""
-    t = F.trim(F.coalesce(raw, F.lit("")))
+    t = F.regexp_replace(F.coalesce(raw, F.lit("")), r"(?U)^\s+|\s+$", "")
     tried = [F.try_to_timestamp(t, F.lit(f)) for f in ("yyyy-MM-dd h:mm a", "yyyy-MM-dd H:mm", "yyyy-MM-dd")]
     day = reduce(lambda a, b: F.coalesce(a, b), tried)
     return F.coalesce(F.date_format(day, "yyyy-MM-dd"), F.regexp_extract(t, r"^\d{4}-\d{2}-\d{2}", 0))

@@ -89,9 +89,13 @@ def article_chunks(articles: DataFrame) -> DataFrame:
 
 def word_windows(text: Column, size: int = TICKET_WORDS) -> Column:
     """Windows of ``size`` words; a text that fits keeps its own white space."""
-    w = X.words(text)
-    many = F.transform(F.sequence(F.lit(0), F.floor((F.size(w) - 1) / size).cast("int")), lambda i: F.array_join(F.slice(w, i * size + 1, size), " "))
-    return F.when(F.size(w) == 0, F.array().cast("array<string>")).when(F.size(w) <= size, F.array(F.trim(F.regexp_replace(text, r"^\s+|\s+$", "")))).otherwise(many)
+    none = F.array().cast("array<string>")
+
+    def cut(w: Column) -> Column:
+        many = F.transform(F.sequence(F.lit(0), F.floor((F.size(w) - 1) / size).cast("int")), lambda i: F.array_join(F.slice(w, i * size + 1, size), " "))
+        return F.when(F.size(w) == 0, none).when(F.size(w) <= size, F.array(F.regexp_replace(text, r"^\s+|\s+$", ""))).otherwise(many)
+
+    return X.let(X.words(text), cut)
 
 
 def is_staff(c: Column) -> Column:
@@ -101,7 +105,8 @@ def is_staff(c: Column) -> Column:
 def distinct_ci(values: Column) -> Column:
     """Trimmed, non-blank values in order, the first of those that differ in case only."""
     clean = F.filter(F.transform(values, lambda v: F.trim(v)), lambda v: v.isNotNull() & (v != ""))
-    return F.filter(clean, lambda v, i: F.array_position(F.transform(clean, lambda x: F.lower(x)), F.lower(v)) == i + 1)
+    pairs = F.transform(clean, lambda v: F.struct(F.lower(v).alias("k"), v.alias("v")))
+    return X.let(pairs, lambda ps: X.let(ps["k"], lambda ks: F.transform(F.filter(ps, lambda p, i: F.array_position(ks, p["k"]) == i + 1), lambda p: p["v"])))
 
 
 def known_terms(comments: Column, resolution: Column, *fields: Column) -> Column:

@@ -11,7 +11,9 @@ from tarn.functions import redaction as R
 from tarn.functions import text as X
 from tarn.operators import chunking, conversation, incremental, reports
 from tarn.operators import retrieval as ret
+from tarn.sources import sinks
 from tarn.sources.tables import table
+from tarn.streaming.state import gate_log
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -124,8 +126,7 @@ def cache_keys(s: SparkSession, d: str) -> DataFrame:
     return c.select("chunk_no", conversation.cache_key(X.normalise_query(F.col("title"), []), F.col("product"), F.col("kind"), "v1").alias("key"))
 
 
-@query(r"""SELECT rec_id, CASE WHEN regexp_matches(t, '^\s') THEN '' WHEN try_strptime(t, '%Y-%m-%d %I:%M %p') IS NOT NULL THEN substr(t,1,10) WHEN try_strptime(t, '%Y-%m-%d %H:%M') IS NOT NULL THEN substr(t,1,10) WHEN try_strptime(t, '%Y-%m-%d') IS NOT NULL THEN substr(t,1,10)
-    ELSE coalesce(regexp_extract(t, '^\d{4}-\d{2}-\d{2}'), '') END AS day FROM (SELECT rec_id, trim(coalesce(created_at,'')) AS t FROM ticket)""")
+@query(r"SELECT rec_id, coalesce(regexp_extract(regexp_replace(coalesce(created_at,''), '^[\s\x{00A0}\x{202F}]+', ''), '^\d{4}-\d{2}-\d{2}'), '') AS day FROM ticket")
 def ticket_dates(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "ticket").select("rec_id", X.iso_date(F.col("created_at")).alias("day"))
 
@@ -611,3 +612,56 @@ def training_examples(s: SparkSession, d: str) -> DataFrame:
     t = t.select("rec_id", chunking.problem_text(F.col("comments"), F.col("title"), F.col("_t")).alias("p"), chunking.resolution_text(F.col("comments"), F.col("resolution"), F.col("_t")).alias("r")).where("p <> '' and r <> ''")
     msg = lambda role, c: F.struct(F.lit(role).alias("role"), R.scrub(c).alias("content"))
     return t.select("rec_id", F.to_json(F.struct(F.array(msg("system", F.lit("Answer from the given context.")), msg("user", F.col("p")), msg("assistant", F.col("r"))).alias("messages"))).alias("record"))
+
+
+# ---------------------------------------------------------------- sinks and state
+
+
+@query()
+def ticket_markdown(s: SparkSession, d: str) -> DataFrame:
+    return sinks.ticket_markdown(table(s, d, "ticket"))
+
+
+@query()
+def article_markdown(s: SparkSession, d: str) -> DataFrame:
+    spaces = table(s, d, "kb_space").select("space_key", "lib_folder")
+    return sinks.article_markdown(table(s, d, "booking_spot_deal").join(spaces, "space_key", "left"))
+
+
+@query()
+def adaptive_gate(s: SparkSession, d: str) -> DataFrame:
+    log = table(s, d, "usage_log").withColumn("ok", F.coalesce(F.col("latency_ms") < 5000, F.lit(False)))
+    return gate_log(log, "chat_id", "log_id", "ok")
+
+
+@query("SELECT chat_id, session_start AS start, count(*) AS n FROM (SELECT chat_id, time_bucket(INTERVAL '10 minutes', ts) AS session_start FROM usage_log WHERE ts IS NOT NULL) GROUP BY ALL")
+def usage_windows(s: SparkSession, d: str) -> DataFrame:
+    """Extension: turns per chat and ten minutes."""
+    g = table(s, d, "usage_log").where("ts is not null").groupBy("chat_id", F.window("ts", "10 minutes").alias("w")).agg(F.count(F.lit(1)).alias("n"))
+    return g.select("chat_id", F.col("w.start").alias("start"), "n")
+
+
+@query("SELECT substr(sha1(coalesce(product,'') || ':' || coalesce(title,'')), 1, 16) AS name, product, title FROM ticket")
+def learned_entries(s: SparkSession, d: str) -> DataFrame:
+    t = table(s, d, "ticket").select("product", "title", F.col("category").alias("topic"), F.col("text").alias("answer"))
+    return sinks.learned_entry(t).select("name", "product", "title")
+
+
+# ---------------------------------------------------------------- extensions on the star schema, no parity claims
+
+
+@query(
+    """SELECT l_returnflag, l_linestatus, sum(l_quantity) AS sum_qty, round(sum(l_extendedprice * (1 - l_discount)), 2) AS sum_disc_price, count(*) AS n FROM lineitem WHERE l_shipdate <= DATE '1998-09-02' GROUP BY ALL"""
+)
+def ext_pricing_summary(s: SparkSession, d: str) -> DataFrame:
+    li = table(s, d, "lineitem").where("l_shipdate <= date'1998-09-02'")
+    return li.groupBy("l_returnflag", "l_linestatus").agg(F.sum("l_quantity").alias("sum_qty"), F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("sum_disc_price"), F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    """SELECT r_name, count(*) AS orders, round(sum(o_totalprice), 2) AS total FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY r_name"""
+)
+def ext_region_revenue(s: SparkSession, d: str) -> DataFrame:
+    o, c, n, r = (table(s, d, t) for t in ("orders", "customer", "nation", "region"))
+    j = o.join(c, o.o_custkey == c.c_custkey).join(n, c.c_nationkey == n.n_nationkey).join(r, n.n_regionkey == r.r_regionkey)
+    return j.groupBy("r_name").agg(F.count(F.lit(1)).alias("orders"), F.round(F.sum("o_totalprice"), 2).alias("total"))
