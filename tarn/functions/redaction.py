@@ -24,7 +24,7 @@ SECRET_RUN = (
 MENTION = r"(?U)@[A-Za-z][\w.\-]*"
 BARE_DOMAIN = r"(?U)@[\w.\-]+\.\w{2,}"
 URL = r"https?://\S+"
-PHONE = r"(?!(?:19|20)\d{2}[-/]\d{2}[-/]\d{2}(?![\d\s().\-]*\d))\+?\d[\d\s().\-]{6,}\d"
+PHONE = r"(?<!\d)(?!(?:19|20)\d{2}[-/]\d{2}[-/]\d{2}(?![\d\s().\-]*\d))\+?\d[\d\s().\-]{6,}\d"
 GREETING = r"\b((?i:Hi|Hello|Dear|Thanks|Thank you|Regards|Cheers|Best|Kind regards|Hey))\b([,\s]+)([A-Z][a-z]+(?:\s+[A-Z][a-z]+){0,2})(?=[\s,.!?]|$)"
 ACTION = r"\b((?i:messaged|message|asked|told|emailed|email|called|contacted|spoke to|spoke with|pinged|notified|informed|advised|reached out to))\s+(?:the\s+(?:user|customer|client)\s+)?([A-Z][a-z]+(?:\s+[A-Z][a-z]+){0,2})"
 IN_BRACKETS = r"\(([A-Z][a-z]+)\)"

@@ -22,7 +22,7 @@ def publish(df: DataFrame, table: str) -> str:
     version = f"{table}/v-{uuid.uuid4().hex}"
     df.write.parquet(version)
     fs, _, jvm = _fs(spark, table)
-    temp, final = jvm.org.apache.hadoop.fs.Path(f"{table}/_current.new"), jvm.org.apache.hadoop.fs.Path(f"{table}/_current")
+    temp, final = jvm.org.apache.hadoop.fs.Path(f"{table}/current.new"), jvm.org.apache.hadoop.fs.Path(f"{table}/current.txt")
     out = fs.create(temp, True)
     out.write(bytearray(version.encode()))
     out.close()
@@ -35,7 +35,7 @@ def publish(df: DataFrame, table: str) -> str:
 def current(spark: SparkSession, table: str) -> DataFrame | None:
     """The published version of a table; none if nothing was published yet."""
     fs, _, jvm = _fs(spark, table)
-    final = jvm.org.apache.hadoop.fs.Path(f"{table}/_current")
+    final = jvm.org.apache.hadoop.fs.Path(f"{table}/current.txt")
     if not fs.exists(final):
         return None
     return spark.read.parquet(spark.read.text(str(final)).first()[0])
