@@ -17,11 +17,10 @@ ignored, whatever their names.
 from __future__ import annotations
 
 import json
-from collections.abc import Callable
 from typing import Any
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 LEAF = "label string, filename string, mime string, saved_path string, rest string"
@@ -150,103 +149,70 @@ def parse_payloads(raw: DataFrame, id_col: str = "raw_id", payload_col: str = "p
     return rec.select("src", "row_id", "r.comments", "r.resolution", "r.attachments")
 
 
+# The expressions below are written as SQL text: one parse instead of thousands of calls from Python.
+
+
+def _typed_leaf(x: str, *have: str) -> str:
+    fields = ", ".join(f"'{f}', {f'{x}.{f}' if f in have else 'cast(null as string)'}" for f in (*LEAF_FIELDS, "rest"))
+    return f"if({x} is null, null, named_struct({fields}))"
+
+
+def _typed_comment(x: str) -> str:
+    fields = ", ".join(f"'{f}', cast({x}.{f} as string)" for f in COMMENT_FIELDS)
+    lists = f"'images', transform({x}.images, i -> {_typed_leaf('i', 'mime', 'saved_path')}), 'attachments', transform({x}.attachments, a -> {_typed_leaf('a', 'label', 'saved_path')})"
+    return f"if({x} is null, null, named_struct({fields}, 'rest', cast(null as string), {lists}))"
+
+
 def typed_tickets(tickets: DataFrame, id_col: str = "rec_id") -> DataFrame:
     """``src, row_id`` and the record of tickets whose columns are already typed, in the same shape."""
-    null = F.lit(None).cast("string")
-
-    def leaf(x: Column, *have: str) -> Column:
-        got = F.struct(*((x[f] if f in have else null).alias(f) for f in LEAF_FIELDS), null.alias("rest"))
-        return F.when(x.isNotNull(), got)
-
-    def comment(x: Column) -> Column:
-        return F.when(
-            x.isNotNull(),
-            F.struct(
-                *(x[f].cast("string").alias(f) for f in COMMENT_FIELDS),
-                null.alias("rest"),
-                F.transform(x["images"], lambda i: leaf(i, "mime", "saved_path")).alias("images"),
-                F.transform(x["attachments"], lambda a: leaf(a, "label", "saved_path")).alias("attachments"),
-            ),
-        )
-
-    r = F.col("resolution")
-    return tickets.select(
-        F.lit("ticket").alias("src"),
-        F.col(id_col).cast("bigint").alias("row_id"),
-        F.transform("comments", comment).alias("comments"),
-        F.when(
-            r.isNotNull(),
-            F.struct(r["text"].alias("text"), null.alias("rest"), F.transform(r["comments"], comment).alias("comments"), F.transform(r["attachments"], lambda a: leaf(a, "label", "saved_path")).alias("attachments")),
-        ).alias("resolution"),
-        F.transform("attachments", lambda a: leaf(a, "filename", "saved_path")).alias("attachments"),
+    resolution = f"""named_struct('text', resolution.text, 'rest', cast(null as string), 'comments', transform(resolution.comments, c -> {_typed_comment('c')}),
+      'attachments', transform(resolution.attachments, a -> {_typed_leaf('a', 'label', 'saved_path')}))"""
+    return tickets.selectExpr(
+        "'ticket' as src",
+        f"cast(`{id_col}` as bigint) as row_id",
+        f"transform(comments, c -> {_typed_comment('c')}) as comments",
+        f"if(resolution is null, null, {resolution}) as resolution",
+        f"transform(attachments, a -> {_typed_leaf('a', 'filename', 'saved_path')}) as attachments",
     )
 
 
 # ---------------------------------------------------------------- bottom-up hashing
 
+_NODE = "struct<hash:string,canon:string,role:string,kind:string,ordinal:int>"
+_PARENT = _NODE[:-1] + f",images:array<{_NODE}>,attachments:array<{_NODE}>>"
 
-def _filled(x: Column) -> Column:
-    """A canonical scalar: blank strings are null."""
-    return F.when(x.rlike(r"(?U)\S"), x)
 
+def _hashed(kind: str, fields: tuple[str, ...], x: str, ordinal: str, role: str, lists: dict[str, str]) -> str:
+    """A hashed object: its canonical JSON holds its non-blank scalars and its children's hashes in order.
 
-def _node(kind: str, scalars: dict[str, Column], children: dict[str, Column]) -> Column:
-    """A hashed object: its canonical JSON holds its scalars and its children's hashes in order."""
-    canon = F.struct(
-        F.lit(kind).alias("kind"),
-        *(_filled(c).alias(f) for f, c in scalars.items()),
-        *(F.when(F.exists(c, lambda n: n["hash"].isNotNull()), F.transform(c, lambda n: n["hash"])).alias(f) for f, c in children.items()),
-    )
-    return canon
-
-
-def _let(value: Column, use: Callable[[Column], Column]) -> Column:
-    """``use(value)`` with the value computed once: lambdas share nothing else between uses."""
-    return F.transform(F.array(value), use)[0]
-
-
-def _hashed(kind: str, fields: tuple[str, ...], x: Column, ordinal: Column, role: str, lists: dict[str, Column]) -> Column:
-    empty = f'{{"kind":"{kind}"}}'
-    canon = F.when(x.isNotNull(), F.nullif(F.to_json(_node(kind, {f: x[f] for f in fields}, lists)), F.lit(empty)))
-    return _let(
-        canon,
-        lambda c: F.struct(
-            F.sha2(c, 256).alias("hash"),
-            c.alias("canon"),
-            F.lit(role).alias("role"),
-            F.lit(kind).alias("kind"),
-            ordinal.alias("ordinal"),
-            *(v.alias(f) for f, v in lists.items()),
-        ),
-    )
+    Blank objects have no hash.  The JSON is bound once by a lambda, as every other use would compute it anew."""
+    scalars = "".join(f", '{f}', if({x}.{f} rlike r'(?U)\\S', {x}.{f}, null)" for f in fields)
+    kids = "".join(f", '{f}', if(exists({c}, k -> k.hash is not null), transform({c}, k -> k.hash), null)" for f, c in lists.items())
+    canon = f"""if({x} is null, null, nullif(to_json(named_struct('kind', '{kind}'{scalars}{kids})), '{{"kind":"{kind}"}}'))"""
+    kept = "".join(f", '{f}', {c}" for f, c in lists.items())
+    return f"transform(array({canon}), j -> named_struct('hash', sha2(j, 256), 'canon', j, 'role', '{role}', 'kind', '{kind}', 'ordinal', {ordinal}{kept}))[0]"
 
 
-def _leaves(xs: Column, kind: str, role: str) -> Column:
-    got = F.transform(xs, lambda x, i: _hashed(kind, (*LEAF_FIELDS, "rest"), x, i, role, {}))
-    return F.coalesce(got, F.array().cast("array<struct<hash:string,canon:string,role:string,kind:string,ordinal:int>>"))
+def _leaves(xs: str, kind: str, role: str) -> str:
+    return f"coalesce(transform({xs}, (l, m) -> {_hashed(kind, (*LEAF_FIELDS, 'rest'), 'l', 'm', role, {})}), cast(array() as array<{_NODE}>))"
 
 
-def _comments(xs: Column) -> Column:
+def _comments(xs: str) -> str:
     # Two passes: the leaves of every comment are hashed once, then the comments over them.
-    with_leaves = F.transform(xs, lambda x, i: F.struct(x.alias("x"), i.alias("i"), _leaves(x["images"], "image", "images").alias("images"), _leaves(x["attachments"], "attachment", "attachments").alias("attachments")))
-    return F.transform(with_leaves, lambda c: _hashed("comment", (*COMMENT_FIELDS, "rest"), c["x"], c["i"], "comments", {"images": c["images"], "attachments": c["attachments"]}))
-
+    first = f"transform({xs}, (x, i) -> named_struct('x', x, 'i', i, 'images', {_leaves('x.images', 'image', 'images')}, 'attachments', {_leaves('x.attachments', 'attachment', 'attachments')}))"
+    one = _hashed("comment", (*COMMENT_FIELDS, "rest"), "c.x", "c.i", "comments", {"images": "c.images", "attachments": "c.attachments"})
+    return f"coalesce(transform({first}, c -> {one}), cast(array() as array<{_PARENT}>))"
 
-def _occ(prefix: Column, n: Column, parent: Column, indexed: bool = True) -> Column:
-    path = F.concat(prefix, n["role"], F.lit("["), n["ordinal"].cast("string"), F.lit("]")) if indexed else n["role"]
-    return F.struct(path.alias("path"), parent.cast("string").alias("parent_hash"), n["hash"].alias("object_hash"), n["role"].alias("role"), n["kind"].alias("kind"), n["ordinal"].cast("int").alias("ordinal"), n["canon"].alias("canon"))
 
+def _occ(prefix: str, n: str, parent: str, indexed: bool = True) -> str:
+    path = f"concat({prefix}, {n}.role, '[', {n}.ordinal, ']')" if indexed else f"{n}.role"
+    return f"named_struct('path', {path}, 'parent_hash', cast({parent} as string), 'object_hash', {n}.hash, 'role', {n}.role, 'kind', {n}.kind, 'ordinal', {n}.ordinal, 'canon', {n}.canon)"
 
-def _comment_occs(prefix: str, comments: Column, parent: Column) -> Column:
-    def one(c: Column) -> Column:
-        here = F.concat(F.lit(prefix + "comments["), c["ordinal"].cast("string"), F.lit("]."))
-        return F.concat(
-            F.array(_occ(F.lit(prefix), c, parent)),
-            F.transform(c["images"], lambda n: _occ(here, n, c["hash"])),
-            F.transform(c["attachments"], lambda n: _occ(here, n, c["hash"])),
-        )
 
-    return F.flatten(F.transform(F.coalesce(comments, F.array().cast("array<struct<hash:string,canon:string,role:string,kind:string,ordinal:int,images:array<struct<hash:string,canon:string,role:string,kind:string,ordinal:int>>,attachments:array<struct<hash:string,canon:string,role:string,kind:string,ordinal:int>>>>")), one))
+def _comment_occs(prefix: str, comments: str, parent: str) -> str:
+    here = f"concat('{prefix}comments[', c.ordinal, '].')"
+    kids = ", ".join(f"transform(c.{f}, n -> {_occ(here, 'n', 'c.hash')})" for f in CHILD_LISTS["comment"])
+    return f"flatten(transform({comments}, c -> concat(array({_occ(repr(prefix), 'c', parent)}), {kids})))"
 
 
 def occurrences(records: DataFrame) -> DataFrame:
@@ -255,28 +221,15 @@ def occurrences(records: DataFrame) -> DataFrame:
     ``src, row_id, path, parent_hash, object_hash, role, kind, ordinal, canon``; ``parent_hash`` is null for
     children of the ticket itself, ``ordinal`` is the position from 0 in stored order (0 for the resolution).
     """
-    hashed = records.select(
-        "src",
-        "row_id",
-        _comments(F.col("comments")).alias("comments"),
-        _leaves(F.col("attachments"), "attachment", "attachments").alias("attachments"),
-        F.col("resolution").alias("res"),
-        _comments(F.col("resolution.comments")).alias("res_comments"),
-        _leaves(F.col("resolution.attachments"), "attachment", "attachments").alias("res_attachments"),
-    )
-    none = F.array().cast("array<struct<hash:string,canon:string,role:string,kind:string,ordinal:int>>")
-    lists = {"comments": F.col("res_comments"), "attachments": F.coalesce(F.col("res_attachments"), none)}
-    res = _hashed("resolution", ("text", "rest"), F.col("res"), F.lit(0), "resolution", lists)
-    whole = hashed.select("src", "row_id", "comments", "attachments", res.alias("n"))
-    n = F.col("n")
-    places = F.concat(
-        _comment_occs("", F.col("comments"), F.lit(None)),
-        F.transform("attachments", lambda a: _occ(F.lit(""), a, F.lit(None))),
-        F.array(_occ(F.lit(""), n, F.lit(None), indexed=False)),
-        _comment_occs("resolution.", n["comments"], n["hash"]),
-        F.transform(F.coalesce(n["attachments"], none), lambda a: _occ(F.lit("resolution."), a, n["hash"])),
-    )
-    return whole.select("src", "row_id", F.explode(F.filter(places, lambda o: o["object_hash"].isNotNull())).alias("o")).select("src", "row_id", "o.*")
+    hashed = records.selectExpr(
+        "src", "row_id", f"{_comments('comments')} as comments", f"{_leaves('attachments', 'attachment', 'attachments')} as attachments", "resolution as res",
+        f"{_comments('resolution.comments')} as res_comments", f"{_leaves('resolution.attachments', 'attachment', 'attachments')} as res_attachments",
+    )
+    res = _hashed("resolution", ("text", "rest"), "res", "0", "resolution", {"comments": "res_comments", "attachments": "res_attachments"})
+    whole = hashed.selectExpr("src", "row_id", "comments", "attachments", f"{res} as n")
+    places = f"""concat({_comment_occs('', 'comments', 'null')}, transform(attachments, a -> {_occ("''", 'a', 'null')}), array({_occ("''", 'n', 'null', indexed=False)}),
+      {_comment_occs('resolution.', 'n.comments', 'n.hash')}, transform(n.attachments, a -> {_occ("'resolution.'", 'a', 'n.hash')}))"""
+    return whole.selectExpr("src", "row_id", f"explode(filter({places}, o -> o.object_hash is not null)) as o").select("src", "row_id", "o.*")
 
 
 def objects(bridge: DataFrame) -> DataFrame:
