@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tarn.functions import redaction as R
 from tarn.functions import text as X
-from tarn.operators import chunking, conversation, incremental, reports
+from tarn.operators import answering, chunking, conversation, incremental, reports
 from tarn.operators import retrieval as ret
 from tarn.sources import sinks
 from tarn.sources.tables import table
@@ -665,3 +665,59 @@ def ext_region_revenue(s: SparkSession, d: str) -> DataFrame:
     o, c, n, r = (table(s, d, t) for t in ("orders", "customer", "nation", "region"))
     j = o.join(c, o.o_custkey == c.c_custkey).join(n, c.c_nationkey == n.n_nationkey).join(r, n.n_regionkey == r.r_regionkey)
     return j.groupBy("r_name").agg(F.count(F.lit(1)).alias("orders"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+
+
+# ---------------------------------------------------------------- from hits to answers
+
+
+def _context(s: SparkSession, d: str, k: int = 8) -> DataFrame:
+    c = table(s, d, "chunk").select(F.col("chunk_no").alias("doc_id"), "kind", "ticket_id", "title", "url", "text", F.col("indexed_at").cast("string").alias("created_at"))
+    return _bm25(s, d, ret.TOP_K).drop("score").join(c, "doc_id").where(F.col("rank") <= k)
+
+
+@query(
+    f"""WITH {_BM25}, c AS (SELECT query_id, doc_id, rank, ticket_id FROM bm JOIN chunk ON chunk_no = doc_id WHERE rank <= 8)
+    SELECT query_id, doc_id FROM c WHERE ticket_id IS NULL UNION ALL SELECT query_id, doc_id FROM (SELECT *, row_number() OVER (PARTITION BY query_id, ticket_id ORDER BY rank) AS n FROM c WHERE ticket_id IS NOT NULL) WHERE n = 1"""
+)
+def expand_tickets(s: SparkSession, d: str) -> DataFrame:
+    c = table(s, d, "chunk").where("kind = 'ticket' and ticket_id is not null and chunk_index is not null").select("ticket_id", "chunk_index", "text").distinct()
+    return answering.expand_tickets(_context(s, d), c).select("query_id", "doc_id")
+
+
+@query(
+    f"""WITH {_BM25}, hq AS (SELECT query_id, doc_id, rank, kind, url FROM bm JOIN chunk ON chunk_no = doc_id), c AS (SELECT * FROM hq WHERE rank <= 8),
+    b AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS n FROM hq WHERE kind = 'article' AND trim(url) <> '' AND query_id NOT IN (SELECT query_id FROM c WHERE kind = 'article') AND query_id IN (SELECT query_id FROM c))
+    SELECT query_id, doc_id FROM c UNION ALL SELECT query_id, doc_id FROM b WHERE n = 1"""
+)
+def ensure_article(s: SparkSession, d: str) -> DataFrame:
+    return answering.ensure_kind(_context(s, d), _context(s, d, ret.TOP_K), "article", F.trim("url") != "").select("query_id", "doc_id")
+
+
+@query(
+    f"""WITH {_BM25}, hq AS (SELECT query_id, doc_id, rank, title, url FROM bm JOIN chunk ON chunk_no = doc_id WHERE rank <= 8), o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS n FROM hq)
+    SELECT query_id, count(*)::int AS n_entries, string_agg('[' || n || '] ' || CASE WHEN trim(coalesce(o.url,'')) <> '' THEN '[' || coalesce(o.title,'') || '](' || o.url || ')' ELSE coalesce(o.title,'') END || chr(10) || coalesce(c.text,''), chr(10) || chr(10) ORDER BY n) AS context
+    FROM o JOIN chunk c ON c.chunk_no = o.doc_id GROUP BY query_id"""
+)
+def context_text(s: SparkSession, d: str) -> DataFrame:
+    return answering.context_text(_context(s, d))
+
+
+@query()
+def related_tickets(s: SparkSession, d: str) -> DataFrame:
+    return answering.related_tickets(_context(s, d), _context(s, d, ret.TOP_K))
+
+
+@query()
+def suggestion_lists(s: SparkSession, d: str) -> DataFrame:
+    return answering.suggestions(_context(s, d, ret.TOP_K))
+
+
+@query()
+def turn_decisions(s: SparkSession, d: str) -> DataFrame:
+    """The kind of turn each held-out question would get."""
+    top = rerank_gate(s, d).groupBy("query_id").agg(F.max("score").alias("score"))
+    q = table(s, d, "eval_holdout").select(F.col("item_id").alias("query_id"), "question", "product")
+    rows = q.join(top, "query_id", "left").join(product_dominance(s, d).select("query_id", "clarify"), "query_id", "left").join(suggestion_lists(s, d), "query_id", "left")
+    short = F.size(X.words(F.col("question"))) < X.SHORT_LIMIT
+    kind = answering.decision(F.coalesce("score", F.lit(0.0)), F.coalesce("clarify", F.lit(False)), F.col("product").isNotNull(), short, F.col("suggestions").isNotNull())
+    return rows.select("query_id", kind.alias("kind"))
