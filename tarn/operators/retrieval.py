@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarn.functions.text import TOKEN, sigmoid, tokens
+from tarn.sources.tables import spread
 
 # BM25 and fusion parameters, candidates and gates.
 K1, B, EPSILON = 1.5, 0.75, 0.25
@@ -122,7 +123,7 @@ def _best(rows: DataFrame, shared, score: Callable, k: int, positive: bool) -> D
         cols = list(zip(*out, strict=True)) if out else [(), (), ()]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.float64()), strict=True)], names=["query_id", "doc_id", "score"])
 
-    return rows.mapInArrow(run, "query_id bigint, doc_id bigint, score double")
+    return spread(rows).mapInArrow(run, "query_id bigint, doc_id bigint, score double")
 
 
 def dense_topk(vectors: DataFrame, queries: DataFrame, k: int = TOP_K, doc_id: str = "vec_id", vector: str = "embedding", qid: str = "query_id", qvector: str = "query_vec") -> DataFrame:

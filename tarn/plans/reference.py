@@ -12,7 +12,7 @@ from tarn.functions import text as X
 from tarn.operators import answering, chunking, conversation, incremental, reports
 from tarn.operators import retrieval as ret
 from tarn.sources import sinks
-from tarn.sources.tables import table
+from tarn.sources.tables import spread, table
 from tarn.streaming.state import gate_log
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -152,13 +152,14 @@ def scrub_emails(s: SparkSession, d: str) -> DataFrame:
     UNION ALL SELECT chunk_no, 'password' FROM chunk WHERE regexp_matches(coalesce(text,''), '(?i)\bpassword\s*[:=]\s*[^\[\s]'))"""
 )
 def leak_scan(s: SparkSession, d: str) -> DataFrame:
-    return table(s, d, "chunk").select("chunk_no", F.explode(R.leaks(F.col("text"))).alias("kind"))
+    return spread(table(s, d, "chunk").select("chunk_no", "text")).select("chunk_no", F.explode(R.leaks(F.col("text"))).alias("kind"))
 
 
 @query()
 def redact_tickets(s: SparkSession, d: str) -> DataFrame:
     terms = chunking.known_terms(F.col("comments"), F.col("resolution"), F.col("created_by"), F.col("assignee"))
-    return table(s, d, "ticket").withColumn("_t", terms).select("rec_id", R.redact(F.col("body"), F.col("_t")).alias("body"), R.redact(F.col("title"), F.col("_t")).alias("title"))
+    tickets = spread(table(s, d, "ticket").select("rec_id", "title", "body", "comments", "resolution", "created_by", "assignee"))
+    return tickets.withColumn("_t", terms).select("rec_id", R.redact(F.col("body"), F.col("_t")).alias("body"), R.redact(F.col("title"), F.col("_t")).alias("title"))
 
 
 @query()
