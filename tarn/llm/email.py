@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tarn.sources.tables import spread
+
 LABELS = "AMUSD"
 
 # Closing formulas, by language.
@@ -371,7 +373,7 @@ def other_lines(tickets: DataFrame) -> DataFrame:
                                 labs.append(lab)
                 yield pa.RecordBatch.from_arrays([pa.array(rec, pa.int64()), pa.array(no, pa.int32()), pa.array(line, pa.int32()), pa.array(labs, pa.string())], names=["rec_id", "comment_no", "line_no", "label"])
 
-    return _messages(tickets).mapInArrow(run, LINES)
+    return spread(_messages(tickets)).mapInArrow(run, LINES)
 
 
 NEW = "rec_id bigint, comment_no int, new_text string"
@@ -390,4 +392,4 @@ def reduced(tickets: DataFrame) -> DataFrame:
                     out += [(row, k, new_text(c["body"], c["author"]) if c else None) for k, c in enumerate(comments or [], 1)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.string()), strict=True)], names=["rec_id", "comment_no", "new_text"])
 
-    return _messages(tickets).mapInArrow(run, NEW)
+    return spread(_messages(tickets)).mapInArrow(run, NEW)

@@ -6,7 +6,8 @@ profile lacks count as its length.  The distances of a document's units, weighte
 together with a charge for every change of language, so short headings and names follow their neighbours while
 real changes, even within a line, are kept.
 
-Profiles are fitted on a bounded sample of labelled documents (``SAMPLE`` rows, drawn by hash) after seeding them
+Profiles are fitted on a bounded sample of labelled documents (``SAMPLE`` rows, drawn by hash, and of each language
+at most ``UNITS`` units) after seeding them
 with a few sentences per language; units whose nearest seeded profile disagrees with their document's label are left
 out, so wrong labels do no harm.  Everything else runs over all documents.
 
@@ -28,8 +29,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tarn.sources.tables import spread
+
 #: Labelled rows the profiles are fitted on, at most.
 SAMPLE = 3000
+#: Units a language is fitted on, at most.
+UNITS = 800
 #: N-grams of a profile, at most.
 PROFILE = 3000
 GRAMS = (1, 2, 3, 4)
@@ -212,7 +217,13 @@ def ranked(counts: Counter[str]) -> list[str]:
 def fit(samples: list[tuple[str, str]]) -> dict[str, list[str]]:
     """Profiles from (language, text) pairs whose languages may be wrong."""
     counts = {lang: Counter(g for w in words_of(t) for g in grams(w)) for lang, t in SEEDS.items()}
-    parts = [(lang, u.words) for lang, text in samples for u in units(text) if u.letters >= 20]
+    parts: list[tuple[str, list[str]]] = []
+    seen: Counter[str] = Counter()
+    for lang, text in samples:
+        for u in units(text) if seen[lang] < UNITS else ():
+            if u.letters >= 20 and seen[lang] < UNITS:
+                seen[lang] += 1
+                parts.append((lang, u.words))
     for slack in (0.08, 0.02):  # first by the seeds, which know few words, then by what they taught
         now = Profiles({lang: ranked(c) for lang, c in counts.items()})
         at = {lang: k for k, lang in enumerate(now.langs)}
@@ -293,4 +304,4 @@ def identify(docs: DataFrame, profiles: dict[str, list[str]]) -> DataFrame:
             cols = list(zip(*out, strict=True)) if out else [()] * len(types)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=names)
 
-    return docs.where(F.col("text").isNotNull()).select("doc_id", "lang", "text").mapInArrow(run, STRETCHES)
+    return spread(docs.where(F.col("text").isNotNull()).select("doc_id", "lang", "text")).mapInArrow(run, STRETCHES)
