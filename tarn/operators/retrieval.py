@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarn.functions.text import TOKEN, sigmoid, tokens
-from tarn.sources.tables import spread
+from tarn.sources.tables import cut, spread
 
 # BM25 and fusion parameters, candidates and gates.
 K1, B, EPSILON = 1.5, 0.75, 0.25
@@ -64,8 +64,9 @@ def _ranked(parts: list[DataFrame], k: int) -> DataFrame:
 
 def bm25_topk(docs: DataFrame, queries: DataFrame, k: int = TOP_K, doc_id: str = "doc_id", text: str = "text", qid: str = "query_id", query: str = "query") -> DataFrame:
     """``query_id, doc_id, score, rank``: the k best documents of each query; scores are rounded to 6 places before ranking."""
+    docs = spread(docs.select(doc_id, text))
     n, avgdl = corpus_stats(docs, text)
-    df = document_frequencies(docs, text)
+    df = cut(document_frequencies(docs, text))  # read by the floor and by every block
     floor = (df.agg(F.avg(_idf(n, F.col("df")))).first()[0] or 0.0) * EPSILON if n else 0.0
     terms = queries.select(F.explode(F.array_distinct(tokens(F.col(query)))).alias("term")).distinct()
     idf = _idf(n, F.col("df"))
