@@ -45,7 +45,7 @@ def words(text: Column) -> Column:
 
 def normalise_query(text: Column, synonyms: list[tuple[str, str]]) -> Column:
     """Lower case, signs but # and _ as blanks, synonyms folded from the longest down."""
-    q = collapse(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\w\s#]", " "))
+    q = collapse(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}_\s#]", " "))
     for name, to in sorted(synonyms, key=lambda s: (-len(s[0]), s[0])):
         if name != to:
             q = F.regexp_replace(q, rf"\b{name}\b", to)
@@ -70,7 +70,7 @@ def ticket_refs(text: Column) -> Column:
 def mentions(text: Column, names: list[tuple[str, str]]) -> Column:
     """Distinct targets of the names that occur as whole words, in the order of ``names``."""
     low = F.lower(F.coalesce(text, F.lit("")))
-    return F.array_distinct(F.filter(F.array(*(F.when(low.rlike(rf"\b{n}\b"), F.lit(to)) for n, to in names)), lambda x: x.isNotNull()))
+    return F.array_distinct(F.filter(F.array(*(F.when(low.rlike(rf"(?<![\p{{L}}\p{{N}}_]){n}(?![\p{{L}}\p{{N}}_])"), F.lit(to)) for n, to in names)), lambda x: x.isNotNull()))
 
 
 def slug(text: Column, empty: str = "untitled", limit: int = 120) -> Column:

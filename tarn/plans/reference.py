@@ -43,7 +43,7 @@ SYNONYMS = [("web 2 5", "web2"), ("web 4 0", "web4"), ("rest api", "api")]
 
 
 @query(
-    r"""SELECT item_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(trim(regexp_replace(regexp_replace(lower(coalesce(question,'')), '[^a-z0-9_\s#]', ' ', 'g'), '\s+', ' ', 'g')),
+    r"""SELECT item_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(trim(regexp_replace(regexp_replace(lower(coalesce(question,'')), '[^\p{L}\p{N}_\s#]', ' ', 'g'), '\s+', ' ', 'g')),
     '\brest api\b', 'api', 'g'), '\bweb 2 5\b', 'web2', 'g'), '\bweb 4 0\b', 'web4', 'g'), '\s+', ' ', 'g')) AS norm FROM eval_holdout"""
 )
 def normalize_query(s: SparkSession, d: str) -> DataFrame:
@@ -71,14 +71,12 @@ def ticket_refs(s: SparkSession, d: str) -> DataFrame:
 _PRODUCTS = [("tradedesk", "tradedesk"), ("saleshub", "saleshub"), ("formflow", "formflow"), ("rest api", "api"), ("api", "api"), ("web 2", "web2"), ("web 4", "web4")]
 
 
-@query(
-    r"""SELECT doc_id, array_to_string(list_sort(list_distinct(list_filter([CASE WHEN regexp_matches(t,'\btradedesk\b') THEN 'tradedesk' END, CASE WHEN regexp_matches(t,'\bsaleshub\b') THEN 'saleshub' END,
-    CASE WHEN regexp_matches(t,'\bformflow\b') THEN 'formflow' END, CASE WHEN regexp_matches(t,'\bapi\b') THEN 'api' END, CASE WHEN regexp_matches(t,'\bweb 2\b') THEN 'web2' END,
-    CASE WHEN regexp_matches(t,'\bweb 4\b') THEN 'web4' END], lambda x: x IS NOT NULL))), ',') AS products FROM (SELECT doc_id, lower(coalesce(text,'')) AS t FROM documents WHERE regexp_full_match(coalesce(text,''), '[\x00-\x7F]*'))"""
-)
+_NAMED = ", ".join(rf"CASE WHEN regexp_matches(t, '(?:^|[^\p{{L}}\p{{N}}_]){n}(?:[^\p{{L}}\p{{N}}_]|$)') THEN '{to}' END" for n, to in _PRODUCTS)
+
+
+@query(f"SELECT doc_id, array_to_string(list_sort(list_distinct(list_filter([{_NAMED}], lambda x: x IS NOT NULL))), ',') AS products FROM (SELECT doc_id, lower(coalesce(text,'')) AS t FROM documents)")
 def product_mentions(s: SparkSession, d: str) -> DataFrame:
-    docs = table(s, d, "documents").where(F.coalesce("text", F.lit("")).rlike(r"^[\x00-\x7F]*$"))  # as word boundaries differ between engines beyond ASCII
-    return docs.select("doc_id", F.array_join(F.array_sort(X.mentions(F.col("text"), _PRODUCTS)), ",").alias("products"))
+    return table(s, d, "documents").select("doc_id", F.array_join(F.array_sort(X.mentions(F.col("text"), _PRODUCTS)), ",").alias("products"))
 
 
 @query("SELECT art_no, CASE WHEN s = '' THEN 'untitled' ELSE substr(s, 1, 120) END AS slug FROM (SELECT art_no, regexp_replace(regexp_replace(lower(coalesce(title,'')), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') AS s FROM booking_spot_deal)")
@@ -118,12 +116,11 @@ def token_estimate(s: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    r"""SELECT chunk_no, sha1(n || '|' || coalesce(product,'') || '|' || coalesce(kind,'') || '|v1') AS key FROM (SELECT *, trim(regexp_replace(regexp_replace(lower(coalesce(title,'')), '[^a-z0-9_\s#]', ' ', 'g'), '\s+', ' ', 'g')) AS n FROM chunk
-    WHERE regexp_full_match(coalesce(title,''), '[\x00-\x7F]*'))"""
+    r"""SELECT chunk_no, sha1(n || '|' || coalesce(product,'') || '|' || coalesce(kind,'') || '|v1') AS key FROM (SELECT *, trim(regexp_replace(regexp_replace(lower(coalesce(title,'')), '[^\p{L}\p{N}_\s#]', ' ', 'g'), '\s+', ' ', 'g')) AS n FROM chunk)"""
 )
 def cache_keys(s: SparkSession, d: str) -> DataFrame:
-    c = table(s, d, "chunk").where(F.coalesce("title", F.lit("")).rlike(r"^[\x00-\x7F]*$"))  # as word classes differ between engines beyond ASCII
-    return c.select("chunk_no", conversation.cache_key(X.normalise_query(F.col("title"), []), F.col("product"), F.col("kind"), "v1").alias("key"))
+    key = conversation.cache_key(X.normalise_query(F.col("title"), []), F.col("product"), F.col("kind"), "v1")
+    return table(s, d, "chunk").select("chunk_no", key.alias("key"))
 
 
 @query(r"SELECT rec_id, coalesce(regexp_extract(regexp_replace(coalesce(created_at,''), '^[\s\x{00A0}\x{202F}]+', ''), '^\d{4}-\d{2}-\d{2}'), '') AS day FROM ticket")
