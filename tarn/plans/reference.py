@@ -460,12 +460,13 @@ _VERSION_SQL = r"SELECT doc_id, regexp_extract(coalesce(text,''), '\d+\.\d+(?:\.
 
 
 @query(
-    f"""WITH v AS (SELECT DISTINCT version, list_transform(string_split(version, '.'), lambda x: x::int) AS k FROM ({_VERSION_SQL}) WHERE version <> '')
-    SELECT version, row_number() OVER (ORDER BY k DESC)::int AS place FROM v"""
+    f"""SELECT DISTINCT version, array_to_string(list_transform(list_transform(string_split(version, '.'), lambda x: x::int), lambda x: lpad(x::varchar, 9, '0')), '.') AS sort_key FROM ({_VERSION_SQL}) WHERE version <> ''"""
 )
 def version_order(s: SparkSession, d: str) -> DataFrame:
+    """Versions from the newest down, with a key that sorts as text; a range-partitioned sort."""
     v = table(s, d, "documents").select(X.version(F.col("text")).alias("version")).where("version <> ''").distinct()
-    return v.withColumn("place", F.row_number().over(Window.orderBy(X.version_key(F.col("version")).desc())))  # distinct versions only
+    key = F.array_join(F.transform(X.version_key(F.col("version")), lambda n: F.lpad(n.cast("string"), 9, "0")), ".")
+    return v.withColumn("sort_key", key).orderBy(F.desc("sort_key"))
 
 
 @query(
