@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarn.sources.tables import bounded_rows
+from tarn.sources.tables import bounded_rows, spread
 
 # Boundaries, strongest first: each match ends where a piece may start.
 _STRENGTHS = [
@@ -123,4 +123,4 @@ def cut_oversized(over: DataFrame, by: dict[str, tuple[int, int]]) -> DataFrame:
                     out += [(field, row, k + 1, len(got), s + 1, c + 1, e, text[s:e]) for k, (s, c, e) in enumerate(got)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
 
-    return over.mapInArrow(cut, PIECES)
+    return spread(over).mapInArrow(cut, PIECES)
