@@ -89,10 +89,11 @@ def ship_gate(scores: DataFrame, base: str, tuned: str) -> DataFrame:
 
 
 def index_rows(items: DataFrame, order: dict[str, int], product: str, space: str, title: str) -> DataFrame:
-    """Index lines by product order, space and title, with pipes escaped; products without an order are left out."""
-    rank = F.create_map(*(x for k, v in order.items() for x in (F.lit(k), F.lit(v))))[F.col(product)]
+    """Index lines by product order, space and title, with pipes escaped; null and unlisted products share the place after the last."""
+    places = F.create_map(*(x for k, v in order.items() for x in (F.lit(k), F.lit(v))))
+    rank = F.coalesce(places[F.col(product)], F.lit(max(order.values()) + 1))
     line = F.concat(F.lit("| "), F.replace(F.coalesce(title, F.lit("")), F.lit("|"), F.lit("\\|")), F.lit(" | "), F.replace(F.coalesce(space, F.lit("")), F.lit("|"), F.lit("\\|")), F.lit(" |"))
-    return items.withColumn("product_order", rank).where("product_order is not null").withColumn("line", line)
+    return items.withColumn("product_order", rank).withColumn("line", line)
 
 
 def holdout(rows: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:

@@ -484,7 +484,22 @@ def index_head(s: SparkSession, d: str) -> DataFrame:
     FROM booking_spot_deal WHERE product IN ('api','web2','web4')""".replace("\\\\", "\\")
 )
 def kb_index(s: SparkSession, d: str) -> DataFrame:
-    return reports.index_rows(table(s, d, "booking_spot_deal"), {"api": 0, "web2": 1, "web4": 2}, "product", F.col("space_name"), F.col("title")).select("art_no", "product_order", "line")
+    """The three products its SQL names; :func:`kb_index_whole` has them all."""
+    order = {"api": 0, "web2": 1, "web4": 2}
+    items = table(s, d, "booking_spot_deal").where(F.col("product").isin(*order))
+    return reports.index_rows(items, order, "product", F.col("space_name"), F.col("title")).select("art_no", "product_order", "line")
+
+
+PRODUCT_ORDER = {p: i for i, p in enumerate(("tradedesk", "web2", "web4", "api", "saleshub", "formflow", "other"))}
+
+
+@query(
+    """SELECT art_no, coalesce(list_position(['tradedesk','web2','web4','api','saleshub','formflow','other'], product), 8)::int - 1 AS product_order,
+    '| ' || replace(coalesce(title,''), '|', '\\|') || ' | ' || replace(coalesce(space_name,''), '|', '\\|') || ' |' AS line FROM booking_spot_deal""".replace("\\\\", "\\")
+)
+def kb_index_whole(s: SparkSession, d: str) -> DataFrame:
+    """Every article, products in the index's order, those without a place last."""
+    return reports.index_rows(table(s, d, "booking_spot_deal"), PRODUCT_ORDER, "product", F.col("space_name"), F.col("title")).select("art_no", "product_order", "line")
 
 
 @query(
