@@ -335,6 +335,48 @@ def delete_chunks(s: SparkSession, d: str) -> DataFrame:
     return incremental.delete(cur, old, "id")
 
 
+def _halves(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """The index as it is and as it was at the middle of its time, with all four states between them.
+
+    A stated synthetic pair: the older one holds the chunks indexed before the middle of all times, each id as it first was
+    and every tenth chunk with an earlier text; the current one holds each id as it last was, without every tenth chunk as withdrawn."""
+    c = table(s, d, "chunk").withColumn("_us", F.unix_micros(F.col("indexed_at").cast("timestamp")))
+    middle = c.agg(F.min("_us").alias("_lo"), F.max("_us").alias("_hi")).select(F.expr("_lo + (_hi - _lo) div 2").alias("_middle"))
+    text = F.coalesce("text", F.lit(""))
+    first = F.sha1(F.when(F.col("chunk_no") % 10 == 1, F.concat(text, F.lit(" (draft)"))).otherwise(text))
+    c = c.where("id is not null").select("id", "chunk_no", "indexed_at", "_us", F.sha1(text).alias("sig"), first.alias("first"))
+    cur = c.where("chunk_no % 10 <> 0").groupBy("id").agg(F.max_by("sig", F.struct("indexed_at", "chunk_no")).alias("sig"))
+    old = c.join(F.broadcast(middle), F.col("_us") < F.col("_middle")).groupBy("id").agg(F.min_by("first", F.struct("indexed_at", "chunk_no")).alias("sig"))
+    return cur, old
+
+
+_HALVES = """mid AS (SELECT min(epoch_us(indexed_at)) + (max(epoch_us(indexed_at)) - min(epoch_us(indexed_at))) // 2 AS us FROM chunk),
+cur AS (SELECT id, arg_max(sha1(coalesce(text,'')), (coalesce(epoch_us(indexed_at), -9223372036854775807), chunk_no)) AS sig FROM chunk WHERE id IS NOT NULL AND chunk_no % 10 <> 0 GROUP BY id),
+old AS (SELECT id, arg_min(sha1(coalesce(text,'') || CASE WHEN chunk_no % 10 = 1 THEN ' (draft)' ELSE '' END), (epoch_us(indexed_at), chunk_no)) AS sig FROM chunk, mid WHERE id IS NOT NULL AND epoch_us(indexed_at) < mid.us GROUP BY id)"""
+
+
+@query(
+    f"""WITH {_HALVES} SELECT coalesce(c.id, o.id) AS id, CASE WHEN o.id IS NULL THEN 'added' WHEN c.id IS NULL THEN 'removed' WHEN c.sig IS NOT DISTINCT FROM o.sig THEN 'unchanged' ELSE 'changed' END AS state FROM cur c FULL JOIN old o ON c.id = o.id"""
+)
+def manifest_diff_whole(s: SparkSession, d: str) -> DataFrame:
+    cur, old = _halves(s, d)
+    return incremental.manifest_diff(cur, old, "id")
+
+
+@query(f"WITH {_HALVES} SELECT id, sig FROM cur UNION ALL SELECT id, sig FROM old WHERE id NOT IN (SELECT id FROM cur)")
+def upsert_chunks_whole(s: SparkSession, d: str) -> DataFrame:
+    cur, old = _halves(s, d)
+    return incremental.upsert(old, cur, "id")
+
+
+@query(f"WITH {_HALVES} SELECT id, sig FROM old WHERE id IN (SELECT id FROM cur)")
+def delete_chunks_whole(s: SparkSession, d: str) -> DataFrame:
+    """The older index without the ids that were removed since."""
+    cur, old = _halves(s, d)
+    gone = incremental.manifest_diff(cur, old, "id").where("state = 'removed'")
+    return incremental.delete(old, gone, "id")
+
+
 @query("SELECT chunk_no FROM chunk WHERE ticket_id IN (SELECT ticket_id FROM ticket WHERE trim(coalesce(ticket_id,'')) <> '' AND status IS NULL)")
 def fetch_by_ticket(s: SparkSession, d: str) -> DataFrame:
     return incremental.fetch(table(s, d, "chunk"), table(s, d, "ticket").where("status is null"), "ticket_id").select("chunk_no")

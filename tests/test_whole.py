@@ -1,10 +1,16 @@
 """Whole jobs: what an operator must not leave out."""
 
+from pathlib import Path
+
+import pytest
 from pyspark.sql import functions as F
 
 from tarn.operators import reports
 from tarn.plans import reference
 
+DATA = Path("/root/testdata/sf0.01")
+tables = pytest.mark.skipif(not DATA.exists(), reason="no test tables")
+
 
 def test_index_keeps_every_product(spark):
     rows = [(i, p, "s", f"t|{i}") for i, p in enumerate([*reference.PRODUCT_ORDER, "new", None])]
@@ -12,3 +18,14 @@ def test_index_keeps_every_product(spark):
     got = reports.index_rows(items, reference.PRODUCT_ORDER, "product", F.col("space_name"), F.col("title")).orderBy("art_no").collect()
     assert [r["product_order"] for r in got] == [0, 1, 2, 3, 4, 5, 6, 7, 7]
     assert got[0]["line"] == "| t\\|0 | s |"
+
+
+@tables
+def test_snapshots_have_all_states(spark):
+    states = {r["id"]: r["state"] for r in reference.manifest_diff_whole(spark, str(DATA)).collect()}
+    assert set(states.values()) == {"added", "changed", "removed", "unchanged"}
+    now = reference._halves(spark, str(DATA))[0].count()
+    removed = sum(x == "removed" for x in states.values())
+    assert reference.upsert_chunks_whole(spark, str(DATA)).count() == now + removed
+    left = {r["id"] for r in reference.delete_chunks_whole(spark, str(DATA)).collect()}
+    assert left == {i for i, x in states.items() if x in ("changed", "unchanged")}
