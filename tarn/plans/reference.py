@@ -456,6 +456,31 @@ def usage_cost(s: SparkSession, d: str) -> DataFrame:
     return reports.cost(log, rates).select("log_id", F.round("cost", 9).alias("cost"))
 
 
+#: Stand-in rates per million tokens in and out; ``gateway-mid`` has none on purpose, so unknown models cost nothing.
+RATES = [("local-small", 0.2, 1.0), ("local-large", 2.0, 10.0)]
+
+
+@query(
+    """WITH r(m, i, o) AS (VALUES ('local-small', 0.2::double, 1.0::double), ('local-large', 2.0::double, 10.0::double))
+    SELECT log_id, round((coalesce(tokens_in,0) * coalesce(i, 0) + coalesce(tokens_out,0) * coalesce(o, 0)) / 1e6, 9) AS cost FROM usage_log LEFT JOIN r ON lower(trim(model)) = r.m"""
+)
+def usage_cost_whole(s: SparkSession, d: str) -> DataFrame:
+    rates = s.createDataFrame(RATES, "model string, rate_in double, rate_out double")
+    return reports.cost(table(s, d, "usage_log"), F.broadcast(rates)).select("log_id", F.round("cost", 9).alias("cost"))
+
+
+@query(
+    """WITH l AS (SELECT *, epoch_us(ts) >= (SELECT max(epoch_us(ts)) // 86400000000 * 86400000000 FROM usage_log) AS new, coalesce(tokens_in,0) AS i, coalesce(tokens_out,0) AS o FROM usage_log)
+    SELECT coalesce(sum(i),0)::bigint AS total_in, coalesce(sum(o),0)::bigint AS total_out, count_if(i + o > 0)::bigint AS total_queries,
+    coalesce(sum(i) FILTER (new),0)::bigint AS session_in, coalesce(sum(o) FILTER (new),0)::bigint AS session_out, count_if(i + o > 0 AND coalesce(new, false))::bigint AS session_queries FROM l"""
+)
+def usage_summary_whole(s: SparkSession, d: str) -> DataFrame:
+    """In all and in the session, which is the last day (UTC) of the log."""
+    log = table(s, d, "usage_log")
+    last = log.agg(F.max(F.unix_micros(F.col("ts").cast("timestamp"))).alias("_last")).select(F.timestamp_micros(F.expr("_last div 86400000000 * 86400000000")).alias("_since"))
+    return reports.usage(log.crossJoin(F.broadcast(last)), F.col("_since"))
+
+
 @query(
     """SELECT log_id, round(avg(CASE WHEN coalesce(latency_ms,0) > 5000 THEN 1.0 ELSE 0.0 END) OVER (PARTITION BY chat_id ORDER BY ts NULLS FIRST, log_id ROWS BETWEEN 19 PRECEDING AND CURRENT ROW), 6) AS failure_share FROM usage_log"""
 )
@@ -758,6 +783,20 @@ def context_text(s: SparkSession, d: str) -> DataFrame:
     return answering.context_text(_context(s, d))
 
 
+@query(
+    f"""WITH {_BM25}, hq AS (SELECT query_id, doc_id, rank, title, url FROM bm JOIN chunk ON chunk_no = doc_id WHERE rank <= 8), o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS n FROM hq),
+    t AS (SELECT query_id, string_agg('[' || n || '] ' || CASE WHEN trim(coalesce(o.url,'')) <> '' THEN '[' || coalesce(o.title,'') || '](' || o.url || ')' ELSE coalesce(o.title,'') END || chr(10) || coalesce(c.text,''), chr(10) || chr(10) ORDER BY n) AS context
+    FROM o JOIN chunk c ON c.chunk_no = o.doc_id GROUP BY query_id),
+    c AS (SELECT query_id, unnest(regexp_extract_all(context, '{X.CITATION}', 2)) AS url FROM t), k AS (SELECT url FROM booking_spot_deal WHERE url IS NOT NULL UNION SELECT url FROM ticket WHERE url IS NOT NULL)
+    SELECT c.query_id, c.url, k.url IS NOT NULL AS verified, count(*) AS n FROM c LEFT JOIN k ON c.url = k.url GROUP BY ALL"""
+)
+def citation_validate_whole(s: SparkSession, d: str) -> DataFrame:
+    """The citations of each context, and whether an article or a ticket has their address."""
+    cites = context_text(s, d).select("query_id", F.explode(F.regexp_extract_all("context", F.lit(X.CITATION), F.lit(2))).alias("url"))
+    known = table(s, d, "booking_spot_deal").select("url").union(table(s, d, "ticket").select("url")).where("url is not null").distinct().withColumn("_k", F.lit(True))
+    return cites.join(known, "url", "left").groupBy("query_id", "url").agg(F.max(F.coalesce("_k", F.lit(False))).alias("verified"), F.count(F.lit(1)).alias("n"))
+
+
 @query()
 def related_tickets(s: SparkSession, d: str) -> DataFrame:
     return answering.related_tickets(_context(s, d), _context(s, d, ret.TOP_K))

@@ -29,3 +29,15 @@ def test_snapshots_have_all_states(spark):
     assert reference.upsert_chunks_whole(spark, str(DATA)).count() == now + removed
     left = {r["id"] for r in reference.delete_chunks_whole(spark, str(DATA)).collect()}
     assert left == {i for i, x in states.items() if x in ("changed", "unchanged")}
+
+
+@tables
+def test_usage_and_citations_meet_real_rows(spark):
+    d = str(DATA)
+    model = spark.read.parquet(f"{d}/usage_log.parquet").select("log_id", F.lower(F.trim("model")).alias("model"), "tokens_out")
+    paid = reference.usage_cost_whole(spark, d).join(model, "log_id").where("tokens_out > 0").groupBy("model").agg(F.min("cost").alias("low"), F.max("cost").alias("high")).collect()
+    got = {r["model"]: (r["low"] > 0, r["high"] > 0) for r in paid}
+    assert got["local-small"] == got["local-large"] == (True, True) and got["gateway-mid"] == (False, False)
+    r = reference.usage_summary_whole(spark, d).first()
+    assert 0 < r["session_queries"] < r["total_queries"]
+    assert reference.citation_validate_whole(spark, d).where("verified").count() > 0
