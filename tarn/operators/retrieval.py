@@ -62,9 +62,11 @@ def _ranked(parts: list[DataFrame], k: int) -> DataFrame:
     return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def bm25_topk(docs: DataFrame, queries: DataFrame, k: int = TOP_K, doc_id: str = "doc_id", text: str = "text", qid: str = "query_id", query: str = "query") -> DataFrame:
-    """``query_id, doc_id, score, rank``: the k best documents of each query; scores are rounded to 6 places before ranking."""
-    docs = spread(docs.select(doc_id, text))
+def bm25_topk(docs: DataFrame, queries: DataFrame, k: int = TOP_K, doc_id: str = "doc_id", text: str = "text", qid: str = "query_id", query: str = "query", keep: Column | None = None) -> DataFrame:
+    """``query_id, doc_id, score, rank``: the k best documents of each query; scores are rounded to 6 places before ranking.
+
+    ``keep`` says which documents may be found; the statistics are of all."""
+    docs = spread(docs.select(doc_id, text, (F.lit(True) if keep is None else keep).alias("_keep")))
     n, avgdl = corpus_stats(docs, text)
     df = cut(document_frequencies(docs, text))  # read by the floor and by every block
     floor = (df.agg(F.avg(_idf(n, F.col("df")))).first()[0] or 0.0) * EPSILON if n else 0.0
@@ -100,7 +102,7 @@ def bm25_topk(docs: DataFrame, queries: DataFrame, k: int = TOP_K, doc_id: str =
                     s[at] += idf * (tf[w] * (K1 + 1) / (tf[w] + norm))
                 yield i, np.round(s, 6)
 
-        parts.append(_best(docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("x")), shared, score, k, positive=True))
+        parts.append(_best(docs.where("_keep").select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("x")), shared, score, k, positive=True))
     return _ranked(parts, k)
 
 
@@ -127,8 +129,9 @@ def _best(rows: DataFrame, shared, score: Callable, k: int, positive: bool) -> D
     return spread(rows).mapInArrow(run, "query_id bigint, doc_id bigint, score double")
 
 
-def dense_topk(vectors: DataFrame, queries: DataFrame, k: int = TOP_K, doc_id: str = "vec_id", vector: str = "embedding", qid: str = "query_id", qvector: str = "query_vec") -> DataFrame:
-    """``query_id, doc_id, score, rank``: exact nearest rows by squared distance (score is its negative)."""
+def dense_topk(vectors: DataFrame, queries: DataFrame, k: int = TOP_K, doc_id: str = "vec_id", vector: str = "embedding", qid: str = "query_id", qvector: str = "query_vec", keep: Column | None = None) -> DataFrame:
+    """``query_id, doc_id, score, rank``: exact nearest rows by squared distance (score is its negative), of those to ``keep``."""
+    vectors = vectors if keep is None else vectors.where(keep)
     parts = []
     for block in _blocks(queries, qid):
         rows = block.where(F.col(qvector).isNotNull()).select(F.col(qid).cast("bigint").alias("q"), F.col(qvector).alias("v")).collect()

@@ -277,6 +277,24 @@ def product_filter_topk(s: SparkSession, d: str) -> DataFrame:
     return _bm25(s, d).join(keep, "doc_id", "left_semi").select("query_id", "doc_id")
 
 
+_BM25_TRADEDESK = _BM25.replace("FROM bs WHERE score > 0", "FROM bs WHERE score > 0 AND doc_id IN (SELECT chunk_no FROM chunk WHERE product = 'tradedesk')")
+
+
+@query(f"WITH {_BM25_TRADEDESK} SELECT query_id, doc_id, rank::int AS rank FROM bm")
+def product_filter_topk_whole(s: SparkSession, d: str) -> DataFrame:
+    """The 30 best of one product, by the statistics of all."""
+    q = table(s, d, "eval_holdout").select(F.col("item_id").alias("query_id"), F.col("question").alias("query"))
+    return ret.bm25_topk(table(s, d, "chunk"), q, doc_id="chunk_no", keep=F.col("product") == "tradedesk").select("query_id", "doc_id", "rank")
+
+
+@query(f"WITH {_DENSE.replace('WHERE q.vec_id % 50 = 0', 'WHERE q.vec_id % 50 = 0 AND v.label = 0')} SELECT query_id, doc_id, rank::int AS rank FROM de")
+def dense_filter_topk(s: SparkSession, d: str) -> DataFrame:
+    """The 30 nearest of one label, which stands in for the product: vectors have none."""
+    v = table(s, d, "embeddings")
+    q = v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec"))
+    return ret.dense_topk(v, q, keep=F.col("label") == 0).select("query_id", "doc_id", "rank")
+
+
 @query(
     f"""WITH {_BM25}, p AS (SELECT query_id, product, count(*) AS n FROM bm JOIN chunk ON chunk_no = doc_id GROUP BY ALL)
     SELECT query_id, count(*) AS products, round(max(n) / sum(n), 6) AS share, count(*) > 1 AND max(n) / sum(n) < 0.60 AS clarify FROM p GROUP BY query_id"""

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tarn.operators import reports
+from tarn.operators import retrieval as ret
 from tarn.plans import reference
 
 DATA = Path("/root/testdata/sf0.01")
@@ -41,3 +42,14 @@ def test_usage_and_citations_meet_real_rows(spark):
     r = reference.usage_summary_whole(spark, d).first()
     assert 0 < r["session_queries"] < r["total_queries"]
     assert reference.citation_validate_whole(spark, d).where("verified").count() > 0
+
+
+def test_filter_comes_before_the_cut(spark):
+    docs = spark.createDataFrame([(i, "red apple" if i < 5 else "red sky and sea " + "x " * i, "a" if i < 5 else "b") for i in range(9)] + [(i, "zzz", "a") for i in range(9, 40)], "doc_id bigint, text string, product string")
+    q = spark.createDataFrame([(1, "red apple")], "query_id bigint, query string")
+    every = {r["doc_id"]: r["score"] for r in ret.bm25_topk(docs, q, 40).collect()}
+    got = ret.bm25_topk(docs, q, 3, keep=F.col("product") == "b").orderBy("rank").collect()
+    assert [r["doc_id"] for r in got] == [5, 6, 7] and [r["score"] for r in got] == [every[i] for i in (5, 6, 7)]
+    v = spark.createDataFrame([(1, [0.0, 1.0], 0), (2, [1.0, 0.0], 1), (3, [0.9, 0.1], 1), (4, [0.5, 0.5], 0)], "vec_id bigint, embedding array<float>, label int")
+    qv = spark.createDataFrame([(9, [1.0, 0.0])], "query_id bigint, query_vec array<float>")
+    assert [r["doc_id"] for r in ret.dense_topk(v, qv, 2, keep=F.col("label") == 0).orderBy("rank").collect()] == [4, 1]
