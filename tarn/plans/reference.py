@@ -271,6 +271,44 @@ def rerank_gate(s: SparkSession, d: str) -> DataFrame:
     return ret.rerank(c, X.is_error(F.col("query"))).select("query_id", "doc_id", F.round("rerank", 4).alias("score"), "rank")
 
 
+def _hybrid(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Every fiftieth document with a vector as a query, and the fused hits of its text and its vector.
+
+    Documents and vectors are paired by ``doc_id = vec_id``, a synthetic association: the tables have no other."""
+    docs = table(s, d, "documents").select("doc_id", "text")
+    v = table(s, d, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding").join(docs.select("doc_id"), "doc_id", "left_semi")
+    q = v.where("doc_id % 50 = 0").join(docs, "doc_id").select(F.col("doc_id").alias("query_id"), F.col("text").alias("query"), F.col("embedding").alias("query_vec"))
+    return q, ret.fuse(ret.bm25_topk(docs, q), ret.dense_topk(v, q, doc_id="doc_id"))
+
+
+_PAIRED = "embeddings WHERE vec_id IN (SELECT doc_id FROM documents)"
+_BM25_DOCS = _BM25.replace("chunk_no AS doc_id", "doc_id").replace("FROM chunk", "FROM documents").replace("item_id AS query_id", "query_id").replace("SELECT item_id, unnest", "SELECT query_id, unnest").replace("FROM eval_holdout", "FROM hq")
+_HYBRID = f"""hq AS (SELECT doc_id AS query_id, text AS question FROM documents WHERE doc_id % 50 = 0 AND doc_id IN (SELECT vec_id FROM embeddings)), pv AS (SELECT * FROM {_PAIRED}),
+{_BM25_DOCS}, {_DENSE.replace("embeddings q, embeddings v", "pv q, pv v")},
+f AS (SELECT query_id, doc_id, round(sum(1.0::double / (60 + rank)), 9) AS score FROM (SELECT query_id, doc_id, rank FROM bm UNION ALL SELECT query_id, doc_id, rank FROM de) GROUP BY ALL)"""
+
+
+@query(f"WITH {_HYBRID} SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)::int AS rank FROM f")
+def hybrid_rrf_whole(s: SparkSession, d: str) -> DataFrame:
+    """Keyword and vector candidates of the same query, fused."""
+    return _hybrid(s, d)[1].select("query_id", "doc_id", "rank")
+
+
+@query(
+    f"""WITH {_HYBRID}, c AS (SELECT f.query_id, f.doc_id, list_distinct(regexp_extract_all(lower(coalesce(question,'')), '[a-z0-9#]+')) AS q, list_distinct(regexp_extract_all(lower(coalesce(text,'')), '[a-z0-9#]+')) AS w,
+      coalesce(regexp_matches(question, '{_ERR}'), false) AS wide FROM f JOIN hq ON hq.query_id = f.query_id JOIN documents ON documents.doc_id = f.doc_id),
+    x AS (SELECT *, CASE WHEN len(q) = 0 THEN -4.0 ELSE len(list_intersect(q, w)) * 8.0::double / len(q) - 4.0 END AS logit FROM c),
+    r AS (SELECT query_id, doc_id, wide, round(CASE WHEN logit >= 0 THEN 1 / (1 + exp(-logit)) ELSE exp(logit) / (1 + exp(logit)) END, 6) AS score FROM x),
+    k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank, max(score) OVER (PARTITION BY query_id) AS top FROM r)
+    SELECT query_id, doc_id, round(score, 4) AS score, rank::int AS rank FROM k WHERE rank <= CASE WHEN wide THEN 14 ELSE 8 END AND top >= 0.06"""
+)
+def rerank_gate_whole(s: SparkSession, d: str) -> DataFrame:
+    """The fused list, reranked behind the gate."""
+    q, hits = _hybrid(s, d)
+    c = hits.select("query_id", "doc_id").join(q.select("query_id", "query"), "query_id").join(table(s, d, "documents").select("doc_id", "text"), "doc_id")
+    return ret.rerank(c, F.coalesce(X.is_error(F.col("query")), F.lit(False))).select("query_id", "doc_id", F.round("rerank", 4).alias("score"), "rank")
+
+
 @query(f"WITH {_BM25} SELECT query_id, doc_id FROM bm JOIN chunk ON chunk_no = doc_id WHERE product = 'tradedesk'")
 def product_filter_topk(s: SparkSession, d: str) -> DataFrame:
     keep = table(s, d, "chunk").where("product = 'tradedesk'").select(F.col("chunk_no").alias("doc_id"))

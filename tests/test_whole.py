@@ -53,3 +53,13 @@ def test_filter_comes_before_the_cut(spark):
     v = spark.createDataFrame([(1, [0.0, 1.0], 0), (2, [1.0, 0.0], 1), (3, [0.9, 0.1], 1), (4, [0.5, 0.5], 0)], "vec_id bigint, embedding array<float>, label int")
     qv = spark.createDataFrame([(9, [1.0, 0.0])], "query_id bigint, query_vec array<float>")
     assert [r["doc_id"] for r in ret.dense_topk(v, qv, 2, keep=F.col("label") == 0).orderBy("rank").collect()] == [4, 1]
+
+
+@tables
+def test_hybrid_has_hits_of_both_searches(spark):
+    q, hits = reference._hybrid(spark, str(DATA))
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    words = {(r["query_id"], r["doc_id"]) for r in ret.bm25_topk(docs, q).collect()}
+    fused = {(r["query_id"], r["doc_id"]) for r in hits.collect()}
+    assert words < fused
+    assert {x for x, _ in fused} == {r["query_id"] for r in q.collect()}
