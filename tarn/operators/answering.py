@@ -11,6 +11,7 @@ from tarn.operators.retrieval import CONFIDENCE_FLOOR, assemble, first_per
 OUT_OF_SCOPE, LOW_CONFIDENCE = 0.02, 0.35
 ATTACHED_CHARS = 20_000
 RELATED = 2
+SEED_CHARS, SEED_K = 200, 12
 
 
 def expand_tickets(context: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -31,8 +32,14 @@ def ensure_kind(context: DataFrame, quick: DataFrame, kind: str, usable: Column
     return context.unionByName(best.join(last, "query_id").withColumn("rank", F.col("_last") + 1).select(*context.columns))
 
 
+def ticket_seeds(context: DataFrame) -> DataFrame:
+    """``query_id, query``: title and first characters of the first ticket of each context; contexts without a ticket have none."""
+    first = first_per(context.where("kind = 'ticket'"), ["query_id"], [F.col("rank"), F.col("doc_id")])
+    return first.select("query_id", F.concat(F.coalesce("title", F.lit("")), F.lit(" "), F.substring(F.coalesce("text", F.lit("")), 1, SEED_CHARS)).alias("query"))
+
+
 def related_tickets(context: DataFrame, quick: DataFrame) -> DataFrame:
-    """The two newest other tickets among the quick hits of a question: ``query_id, ticket_id, created_at, place``."""
+    """The two newest other tickets among the hits of a context's seed: ``query_id, ticket_id, created_at, place``."""
     present = context.where("ticket_id is not null").select("query_id", "ticket_id").distinct()
     others = quick.where("ticket_id is not null").join(present, ["query_id", "ticket_id"], "left_anti")
     once = first_per(others, ["query_id", "ticket_id"], [F.col("rank"), F.col("doc_id")])

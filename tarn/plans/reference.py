@@ -12,7 +12,7 @@ from tarn.functions import text as X
 from tarn.operators import answering, chunking, conversation, incremental, reports
 from tarn.operators import retrieval as ret
 from tarn.sources import sinks
-from tarn.sources.tables import spread, table
+from tarn.sources.tables import cut, spread, table
 from tarn.streaming.state import gate_log
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -855,7 +855,12 @@ def citation_validate_whole(s: SparkSession, d: str) -> DataFrame:
 
 @query()
 def related_tickets(s: SparkSession, d: str) -> DataFrame:
-    return answering.related_tickets(_context(s, d), _context(s, d, ret.TOP_K))
+    """The tickets like the first ticket of each context, by a search of their own (BM25, as chunks have no vectors)."""
+    context = cut(_context(s, d))
+    c = table(s, d, "chunk")
+    hits = ret.bm25_topk(c, cut(answering.ticket_seeds(context)), answering.SEED_K, doc_id="chunk_no")
+    rows = c.where("kind = 'ticket'").select(F.col("chunk_no").alias("doc_id"), "ticket_id", F.col("indexed_at").cast("string").alias("created_at"))
+    return answering.related_tickets(context, hits.join(rows, "doc_id"))
 
 
 @query()

@@ -5,7 +5,7 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
-from tarn.operators import reports
+from tarn.operators import answering, reports
 from tarn.operators import retrieval as ret
 from tarn.plans import reference
 
@@ -63,3 +63,20 @@ def test_hybrid_has_hits_of_both_searches(spark):
     fused = {(r["query_id"], r["doc_id"]) for r in hits.collect()}
     assert words < fused
     assert {x for x, _ in fused} == {r["query_id"] for r in q.collect()}
+
+
+def test_seeds_are_the_first_tickets(spark):
+    rows = [(1, 10, 1, "article", None, "A", "x"), (1, 11, 2, "ticket", "t", "T", "y" * 300), (1, 12, 3, "ticket", "u", "U", "z"), (2, 13, 1, "article", None, "A", "x")]
+    ctx = spark.createDataFrame(rows, "query_id int, doc_id int, rank int, kind string, ticket_id string, title string, text string")
+    assert [tuple(r) for r in answering.ticket_seeds(ctx).collect()] == [(1, "T " + "y" * 200)]
+
+
+@tables
+def test_related_tickets_come_from_the_seed(spark):
+    d = str(DATA)
+    got = {(r["query_id"], r["ticket_id"]) for r in reference.related_tickets(spark, d).collect()}
+    context = reference._context(spark, d).collect()
+    assert {q for q, _ in got} <= {r["query_id"] for r in context if r["kind"] == "ticket"}
+    assert not got & {(r["query_id"], r["ticket_id"]) for r in context}
+    own = {(r["query_id"], r["ticket_id"]) for r in reference._context(spark, d, ret.TOP_K).collect()}
+    assert got - own  # found by the seed only
