@@ -309,8 +309,6 @@ def decode(kinds_of: list[str | None]) -> list[str | None]:
                         s += 0.8
                 elif lab == "D" and first == "rule" and j == i + 1:
                     s -= 3.0
-                    if lines > 60:
-                        break
                 at = best[j].get(lab)
                 if at is None or s > at[0]:
                     best[j][lab] = (s, i, prev)

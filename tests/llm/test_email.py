@@ -49,3 +49,9 @@ def test_table(spark):
     assert got == [(0, 0, 1), (1, 0, 2), (1, 0, 2), (1, 3, 2), (1, 3, 3)]
     assert sorted((r["rec_id"] or 0, r["comment_no"], r["new_text"]) for r in E.reduced(d).where("rec_id = 1").collect())[0] == (1, 0, "Text.")
     assert E.other_lines(d.where("false")).count() == 0
+
+
+@pytest.mark.parametrize("n", [58, 61, 120])
+def test_rule_of_a_long_notice_is_not_authored(n):
+    notice = "\n".join(["CONFIDENTIAL - this mail is intended for the person it is"] + ["addressed to; delete it if it reached you by mistake."] * n)
+    assert labels("The new text goes here.\n\n----------\n" + notice) == "A." + "D" * (n + 2)
