@@ -2,14 +2,15 @@
 
 A profile is the list of a language's n-grams from the most frequent down.  A unit of text (a sentence or line) is
 compared to each profile by the out-of-place distance between its own n-gram ranking and the profile's; n-grams a
-profile lacks count as its length.  The distances of a document's units, weighted by their letters, are decoded
+profile lacks count as its length.  All profiles are cut to the same length, that of the shortest, as a longer one
+would be charged less for the same text.  The distances of a document's units, weighted by their letters, are decoded
 together with a charge for every change of language, so short headings and names follow their neighbours while
 real changes, even within a line, are kept.
 
-Profiles are fitted on a bounded sample of labelled documents (``SAMPLE`` rows, drawn by hash, and of each language
-at most ``UNITS`` units) after seeding them
-with a few sentences per language; units whose nearest seeded profile disagrees with their document's label are left
-out, so wrong labels do no harm.  Everything else runs over all documents.
+Profiles are fitted on a bounded sample of labelled documents, drawn by hash language by language (``SAMPLE`` documents
+of each, and at most ``UNITS`` units) after seeding them with a few sentences per language; units whose nearest seeded
+profile disagrees with their document's label are left out, so wrong labels do no harm.  A language nobody labelled
+keeps its seeds.  Everything else runs over all documents.
 
 Defined results: null, empty and blank texts, and texts with code or log lines only, have no stretches; such lines
 between prose belong to the stretch before them.  A label is right if any notation of it names the one language of
@@ -18,6 +19,7 @@ the text; repeated documents each get their rows.
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -25,21 +27,23 @@ from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tarn.sources.tables import spread
 
-#: Labelled rows the profiles are fitted on, at most.
-SAMPLE = 3000
+#: Labelled documents of each language the profiles are fitted on, at most.
+SAMPLE = 300
 #: Units a language is fitted on, at most.
 UNITS = 800
 #: N-grams of a profile, at most.
 PROFILE = 3000
 GRAMS = (1, 2, 3, 4)
 #: What a change of language costs, in letters fully out of place.
-SWITCH = 4.0
+SWITCH = 5.0
 
 # The languages with the codes and names labels use for them.
 NAMES = {
@@ -52,7 +56,7 @@ NAMES = {
     "nl": "nld dut dutch nederlands niederländisch néerlandais neerlandés olandese holandês holenderski нидерландский オランダ語",
     "pl": "pol polish polski polnisch polonais polaco polacco polonês pools польский ポーランド語",
     "ru": "rus russian русский russisch russe ruso russo rosyjski ロシア語",
-    "ja": "jpn japanese 日本語 japanisch japonais japonés giapponese japonês japans japoński японский",
+    "ja": "jpn japanese 日本語 japanisch japonais japonés giapponese japonês japans japoński японский jp",
 }
 # Seed sentences, only to start the fitting from.
 SEEDS = {
@@ -95,13 +99,24 @@ _CODE = re.compile(
 )
 
 
+_SIGN = re.compile(r"[^\w\s.,!?\-'\"’“”()*:#>…。、，]|_")
+_TAG = re.compile(r"(?:(?:lang(?:uage)?|locale|iso(?:[ _-]?639(?:-[1-3])?)?)\s*[:=]\s*)?([^\W\d_]{2,3})(?:[-_.@;(,/ ].*)?", re.DOTALL)
+_NAME = re.compile(r"[^\W\d_]+")
+
+
 def label_code(label: str | None) -> str | None:
-    """The two-letter code a label names, in any notation; null if it names none of the languages."""
-    name = (label or "").strip().casefold()
+    """The two-letter code a label names, in any notation; null if it names none of the languages, or several.
+
+    Codes may carry a region, a script, a weight or a prefix (``en-GB``, ``en;q=0.9``, ``[fr]``, ``lang=fr``); names may
+    stand among other words (``British English``)."""
+    name = (label or "").strip(" \t\r\n[](){}<>\"'").casefold()
     if name in _BY_NAME:
         return _BY_NAME[name]
-    head = re.split(r"[-_ (/.,]", name, maxsplit=1)[0]
-    return _BY_NAME.get(head)
+    tag = _TAG.fullmatch(name)
+    if tag:
+        return _BY_NAME.get(tag[1])
+    named = {_BY_NAME[w] for w in _NAME.findall(name) if len(w) > 3 or not w.isascii() if w in _BY_NAME}
+    return named.pop() if len(named) == 1 else None
 
 
 @dataclass(slots=True)
@@ -119,17 +134,15 @@ def is_code(line: str) -> bool:
     if _CODE.match(line):
         return True
     body = line.strip()
-    signs = sum(not (c.isalnum() or c.isspace() or c in ".,!?-'\"’“”()*:#>…。、，") for c in body)
-    return len(body) >= 12 and signs > 0.18 * len(body)
+    return len(body) >= 12 and len(_SIGN.findall(body)) > 0.18 * len(body)
 
 
 def words_of(text: str) -> list[str]:
-    """Words as compared, in lower case: without endless runs, codes in capitals and, where enough others are left,
-    words that begin with a capital within the text, which are mostly names and belong to no language."""
-    found = [m for m in _WORD.finditer(text) if m.end() - m.start() <= 40 or _cjk(m.group())]
-    if not found:
+    """Words as compared, in lower case: without codes in capitals and, where enough others are left, words that begin
+    with a capital within the text, which are mostly names and belong to no language."""
+    texts = _WORD.findall(text)
+    if not texts:
         return []
-    texts = [m.group() for m in found]
     if "".join(texts).isupper():
         return [w.lower() for w in texts]
     plain = [w for i, w in enumerate(texts) if i == 0 or not w[0].isupper()]
@@ -138,10 +151,6 @@ def words_of(text: str) -> list[str]:
     return [w.lower() for w in texts if not (w.isupper() and 1 < len(w) <= 5 and w.isascii())]
 
 
-def _cjk(w: str) -> bool:
-    return any("぀" <= c <= "鿿" for c in w)
-
-
 def units(text: str) -> list[Unit]:
     """The prose of a text in units, in order; fences, code and log lines are left out."""
     out: list[Unit] = []
@@ -167,15 +176,16 @@ def units(text: str) -> list[Unit]:
 
 
 class Profiles:
-    """Ranks of n-grams in every language."""
+    """Ranks of n-grams in every language, all lists cut to the length of the shortest."""
 
     def __init__(self, ranked: dict[str, list[str]]) -> None:
         self.langs = sorted(ranked)
-        grams = sorted({g for gs in ranked.values() for g in gs})
+        self.length = min(map(len, ranked.values()))
+        grams = sorted({g for gs in ranked.values() for g in gs[: self.length]})
         self.row = {g: i + 1 for i, g in enumerate(grams)}
-        self.ranks = np.full((len(grams) + 1, len(self.langs)), 4 * PROFILE, dtype=np.float32)
+        self.ranks = np.full((len(grams) + 1, len(self.langs)), 4 * self.length, dtype=np.float32)
         for k, lang in enumerate(self.langs):
-            for r, g in enumerate(ranked[lang]):
+            for r, g in enumerate(ranked[lang][: self.length]):
                 self.ranks[self.row[g], k] = r
         self.known: dict[str, list[int]] = {}
 
@@ -184,25 +194,39 @@ class Profiles:
         if got is None:
             get = self.row.get
             got = [get(g, 0) for g in grams(word)]
-            if len(self.known) > 200_000:
-                self.known.clear()
-            self.known[word] = got
+            if len(word) <= 40:
+                if len(self.known) > 200_000:
+                    self.known.clear()
+                self.known[word] = got
         return got
 
-    def distances(self, words: list[str]) -> np.ndarray:
-        """The mean out-of-place distance to each profile, from 0 to 1."""
+    def distances(self, texts: list[list[str]]) -> np.ndarray:
+        """The mean out-of-place distance of each list of words to each profile, from 0 to 1; without words, 1.
+
+        All lists are compared at once: (list, n-gram) pairs are counted by one sort, and each list's n-grams get
+        their own ranks from the most frequent down, equal counts sharing their middle rank."""
+        out = np.ones((len(texts), len(self.langs)))
         rows: list[int] = []
-        for w in words:
-            rows += self.rows(w)
+        sizes = np.zeros(len(texts), dtype=np.int64)
+        for i, words in enumerate(texts):
+            before = len(rows)
+            for w in words:
+                rows += self.rows(w)
+            sizes[i] = len(rows) - before
         if not rows:
-            return np.full(len(self.langs), 1.0)
-        ids, counts = np.unique(np.array(rows, dtype=np.int32), return_counts=True)
-        # Own ranks from the most frequent down; equal counts share their middle rank.
-        by = np.bincount(counts)
-        above = np.cumsum(by[::-1])[::-1]
-        own = (above - by / 2).astype(np.float32)[counts][:, None]
-        place = np.minimum(np.abs(self.ranks[ids] - own), PROFILE)
-        return counts.astype(np.float32) @ place / (len(rows) * PROFILE)
+            return out
+        width = len(self.ranks)
+        pairs, counts = np.unique(np.repeat(np.arange(len(texts)) * width, sizes) + np.array(rows, dtype=np.int64), return_counts=True)
+        at = pairs // width
+        order = np.lexsort((-counts, at))
+        at, ids, counts = at[order], (pairs % width)[order], counts[order]
+        first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
+        tie = np.flatnonzero(np.r_[True, (at[1:] != at[:-1]) | (counts[1:] != counts[:-1])])
+        shared = np.diff(np.r_[tie, len(at)])
+        own = np.repeat(tie + shared / 2, shared) - np.repeat(first, np.diff(np.r_[first, len(at)]))
+        place = np.minimum(np.abs(self.ranks[ids] - own[:, None].astype(np.float32)), self.length) * counts[:, None].astype(np.float32)
+        out[at[first]] = np.add.reduceat(place, first, axis=0) / (sizes[at[first]][:, None] * self.length)
+        return out
 
 
 def grams(word: str) -> list[str]:
@@ -228,54 +252,77 @@ def fit(samples: list[tuple[str, str]]) -> dict[str, list[str]]:
         now = Profiles({lang: ranked(c) for lang, c in counts.items()})
         at = {lang: k for k, lang in enumerate(now.langs)}
         fresh = {lang: Counter(g for w in words_of(t) for g in grams(w)) for lang, t in SEEDS.items()}
-        for lang, ws in parts:
-            far = now.distances(ws)
+        for (lang, ws), far in zip(parts, now.distances([ws for _, ws in parts]), strict=True):
             if far[at[lang]] <= far.min() + slack:
                 fresh[lang].update(g for w in ws for g in grams(w))
         counts = fresh
     return {lang: ranked(c) for lang, c in counts.items()}
 
 
+def _codes(labels: pd.Series) -> pd.Series:
+    return labels.map(label_code, na_action="ignore")
+
+
 def fit_profiles(docs: DataFrame, sample: int = SAMPLE) -> dict[str, list[str]]:
-    """Profiles from at most ``sample`` labelled documents, drawn by the hash of their ids."""
-    known = F.lower(F.regexp_extract(F.trim("lang"), r"^([^\s\-_(/.,]+)", 1)).isin(*_BY_NAME)
-    labelled = docs.where(known & F.col("text").isNotNull()).select("doc_id", "lang", "text")
-    n = docs.count()
-    share = min(1.0, 4.0 * sample / max(n, 1))
-    few = labelled.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < F.lit(int(share * 1_000_000)))
-    rows = few.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).collect()
-    return fit([(code, r["text"]) for r in rows if (code := label_code(r["lang"]))])
-
-
-def stretches(text: str, profiles: Profiles) -> list[tuple[int, int, str, float]]:
-    """(place of the first letter from 1, last place, language, confidence) of each stretch."""
-    us = units(text)
-    if not us:
-        return []
-    k = len(profiles.langs)
-    costs = np.array([profiles.distances(u.words) * max(u.letters, 1) for u in us])
+    """Profiles from at most ``sample`` labelled documents of each language, drawn by the hash of their ids.
+
+    The labels are counted first, from their column alone; then each language's documents pass by a share that leaves
+    about four times the sample, so what is ranked and collected is bounded whatever the size or balance of the input."""
+    _code = F.pandas_udf(_codes, T.StringType())
+    labels = docs.where("text is not null").groupBy("lang").agg(F.count(F.lit(1)).alias("n")).withColumn("code", _code("lang"))
+    counts = {r["code"]: r["n"] for r in labels.where("code is not null").groupBy("code").agg(F.sum("n").alias("n")).collect()}  # a row a language
+    if not counts:
+        return fit([])
+    draw = F.pmod(F.xxhash64("doc_id", F.lit("profiles")), F.lit(1 << 53)) / F.lit(float(1 << 53))
+    share = F.create_map(*(F.lit(x) for code, n in counts.items() for x in (code, min(1.0, 4.0 * sample / n))))
+    few = docs.where("text is not null").select("doc_id", "lang", "text", draw.alias("draw")).where(F.col("draw") < max(min(1.0, 4.0 * sample / n) for n in counts.values()))
+    few = few.withColumn("code", _code("lang")).where(F.col("draw") < share[F.col("code")])
+    nth = F.row_number().over(Window.partitionBy("code").orderBy("draw", "doc_id"))
+    rows = few.withColumn("nth", nth).where(F.col("nth") <= sample).select("code", "draw", "doc_id", "text").collect()
+    return fit([(r["code"], r["text"]) for r in sorted(rows, key=lambda r: (r["draw"], r["doc_id"], r["text"]))])
+
+
+def _path(costs: np.ndarray) -> np.ndarray:
+    """The cheapest sequence of languages; where all units are nearest to the same one, that one."""
+    nearest = costs.argmin(axis=1)
+    if (nearest == nearest[0]).all():
+        return nearest
+    same = np.arange(costs.shape[1])
     best, back = costs[0], []
     for c in costs[1:]:
         least = int(np.argmin(best))
         stay = best <= best[least] + SWITCH
-        back.append(np.where(stay, np.arange(k), least))
+        back.append(np.where(stay, same, least))
         best = np.where(stay, best, best[least] + SWITCH) + c
     path = [int(np.argmin(best))]
     for b in reversed(back):
         path.append(int(b[path[-1]]))
-    path.reverse()
-    out: list[tuple[int, int, str, float]] = []
-    i = 0
-    while i < len(us):
-        j = i
-        while j + 1 < len(us) and path[j + 1] == path[i]:
-            j += 1
-        total = costs[i : j + 1].sum(axis=0)
-        others = np.delete(total, path[i])
-        margin = float(others.min() - total[path[i]]) if len(others) else 0.0
-        out.append((us[i].letter + 1, us[j].end, profiles.langs[path[i]], 1.0 / (1.0 + float(np.exp(-max(min(margin, 50.0), -50.0))))))
-        i = j + 1
-    return [(a, out[n + 1][0] - 1 if n + 1 < len(out) else len(text), lang, conf) for n, (a, _, lang, conf) in enumerate(out)]
+    return np.array(path[::-1])
+
+
+def stretches(texts: list[str], profiles: Profiles) -> list[list[tuple[int, int, str, float]]]:
+    """(place of the first letter from 1, last place, language, confidence) of each stretch of each text."""
+    parts = [units(t) for t in texts]
+    flat = [u for us in parts for u in us]
+    if not flat:
+        return [[] for _ in texts]
+    costs = profiles.distances([u.words for u in flat]) * np.maximum([u.letters for u in flat], 1)[:, None]
+    out: list[list[tuple[int, int, str, float]]] = []
+    at = 0
+    for text, us in zip(texts, parts, strict=True):
+        own, at = costs[at : at + len(us)], at + len(us)
+        got: list[tuple[int, str, float]] = []
+        if us:
+            path = _path(own)
+            starts = np.flatnonzero(np.r_[True, path[1:] != path[:-1]])
+            for i, total in zip(starts.tolist(), np.add.reduceat(own, starts, axis=0), strict=True):
+                least = total[path[i]]
+                total[path[i]] = np.inf
+                margin = min(float(total.min() - least), 50.0)
+                got.append((us[i].letter + 1, profiles.langs[path[i]], 1.0 / (1.0 + math.exp(-max(margin, -50.0)))))
+        ends = [a - 1 for a, _, _ in got[1:]] + [len(text)]
+        out.append([(a, z, lang, conf) for (a, lang, conf), z in zip(got, ends, strict=False)])
+    return out
 
 
 @lru_cache(maxsize=2)
@@ -283,6 +330,20 @@ def _profiles(key: tuple[tuple[str, tuple[str, ...]], ...]) -> Profiles:
     return Profiles({lang: list(gs) for lang, gs in key})
 
 
+def _slices(batch: pa.RecordBatch) -> Iterator[tuple[list[int], list[str | None], list[str]]]:
+    """A batch in parts of about a quarter million characters, so that a part's arrays stay small."""
+    ids, labels, texts = ([], [], [])
+    size = 0
+    for doc, label, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        ids.append(doc), labels.append(label), texts.append(text)
+        size += len(text)
+        if size >= 250_000:
+            yield ids, labels, texts
+            ids, labels, texts, size = [], [], [], 0
+    if ids:
+        yield ids, labels, texts
+
+
 STRETCHES = "doc_id bigint, label string, stretch_no int, n_stretches int, start_pos int, end_pos int, lang string, confidence double, label_ok boolean"
 
 
@@ -296,11 +357,10 @@ def identify(docs: DataFrame, profiles: dict[str, list[str]]) -> DataFrame:
         names = [c.split()[0] for c in STRETCHES.split(", ")]
         for batch in batches:
             out = []
-            for doc, label, text in zip(*batch.columns, strict=True):
-                doc, label = doc.as_py(), label.as_py()
-                got = stretches(text.as_py(), own)
-                ok = len(got) == 1 and label_code(label) == got[0][2]
-                out += [(doc, label, n + 1, len(got), a, z, lang, conf, ok) for n, (a, z, lang, conf) in enumerate(got)]
+            for ids, labels, texts in _slices(batch):
+                for doc, label, got in zip(ids, labels, stretches(texts, own), strict=True):
+                    ok = len(got) == 1 and label_code(label) == got[0][2]
+                    out += [(doc, label, n + 1, len(got), a, z, lang, conf, ok) for n, (a, z, lang, conf) in enumerate(got)]
             cols = list(zip(*out, strict=True)) if out else [()] * len(types)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=names)
 
