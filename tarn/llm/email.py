@@ -269,16 +269,18 @@ def decode(kinds_of: list[str | None]) -> list[str | None]:
         else:
             blocks.append([r, r + 1])
     n = len(blocks)
-    sums = [[0.0] for _ in LABELS]
-    for a, z in blocks:
-        earns = _EARNS[rows[a][1]]
-        for li, got in enumerate(earns):
-            sums[li].append(sums[li][-1] + got * (z - a))
-    gap = [a > 0 and rows[a][0] > rows[a - 1][0] + 1 for a, _ in blocks]  # a blank line before the block
-    best: list[dict[str, tuple[float, int, str | None]]] = [{} for _ in range(n + 1)]
     firsts = [rows[a][1] for a, _ in blocks]
+    gap = [a > 0 and rows[a][0] > rows[a - 1][0] + 1 for a, _ in blocks]  # a blank line before the block
     opens = [[li for li in range(5) if not li or firsts[i] in _OPENS[LABELS[li]]] for i in range(n)]
-    for i in range(n):  # every span that starts at block i, after the best spans that end before it
+    # best[j]: the best division of the blocks before j whose last span has a label: (score, where that span starts, label before it).
+    best: list[dict[str, tuple[float, int, str | None]]] = [{} for _ in range(n + 1)]
+    # Open spans of a label differ by a constant from block to block, so of each only the best need go on: (score so far, start, before).
+    # Signatures differ until the charge for length sets in for both, and one that opens with a rule until it has a second block.
+    went: list[tuple[float, int, str | None] | None] = [None] * 5
+    young: list[tuple[float, int, str | None]] = []
+    ruled: tuple[float, int, str | None] | None = None
+    sums = [0.0] * 5
+    for i, (a, z) in enumerate(blocks):  # block i ends the spans before it, begins new ones and lengthens those that are open
         first, before = firsts[i], best[i]
         for li in opens[i]:
             lab = LABELS[li]
@@ -288,34 +290,54 @@ def decode(kinds_of: list[str | None]) -> list[str | None]:
                 came, prev = max((p - _MOVE[q, lab], q) for q, (p, _, _) in before.items() if q != lab)
             else:
                 came, prev = 0.0, None
-            start = came + (_OPENS[lab][first] if li else 0.0) - sums[li][i]
+            start = came + (_OPENS[lab][first] if li else 0.0) - sums[li]
             if lab == "S":
                 if first in ("short", "name", "contact") and i and not gap[i]:
                     start -= 2.0
                 if i == 0 and first not in ("close", "rule"):
                     start -= 2.0
-            total = sums[li]
-            for j in range(i + 1, n + 1):
-                s = start + total[j]
-                if lab == "U":
-                    s += 3.0 if j == n else -6.0
-                elif lab == "S":
-                    lines = blocks[j - 1][1] - blocks[i][0]
-                    if lines > 8:
-                        s -= (lines - 8) * 0.7
-                    if first == "rule" and lines == 1:
-                        s -= 3.0
-                    if j == n:
-                        s += 0.8
-                elif lab == "D" and first == "rule" and j == i + 1:
-                    s -= 3.0
-                at = best[j].get(lab)
-                if at is None or s > at[0]:
-                    best[j][lab] = (s, i, prev)
-                elif lab in "AMU":  # an earlier span of the label is as good here, and stays so
-                    break
-                if s < came - 30:
-                    break
+                young.append((start, i, prev))
+            elif lab == "D" and first == "rule":
+                ruled = (start, i, prev)
+            elif went[li] is None or start > went[li][0]:
+                went[li] = (start, i, prev)
+        for li, got in enumerate(_EARNS[first]):
+            sums[li] += got * (z - a)
+        ends, j = best[i + 1], i + 1
+        for li in range(5):
+            if li == 3:
+                continue
+            lab, top = LABELS[li], went[li]
+            if ruled and li == 4:
+                if top is None or ruled[0] - 3.0 > top[0]:  # a rule alone is hardly a notice
+                    ends[lab] = (ruled[0] - 3.0 + sums[li], ruled[1], ruled[2])
+                else:
+                    ends[lab] = (top[0] + sums[li], top[1], top[2])
+                if top is None or ruled[0] > top[0]:
+                    went[li] = ruled
+                ruled = None
+            elif top is not None:
+                ends[lab] = (top[0] + sums[li] + ((3.0 if j == n else -6.0) if lab == "U" else 0.0), top[1], top[2])
+        last = 0.8 if j == n else 0.0
+        old = went[3]  # its score leaves out the charge for the lines up to its start
+        if old is not None:
+            ends["S"] = (old[0] + 5.6 - 0.7 * z + sums[3] + last, old[1], old[2])
+        kept = []
+        for s in young:
+            lines = z - blocks[s[1]][0]
+            score = s[0] + sums[3] + last
+            if lines > 8:
+                score -= (lines - 8) * 0.7
+                key = s[0] + 0.7 * blocks[s[1]][0]
+                if went[3] is None or key > went[3][0]:
+                    went[3] = (key, s[1], s[2])
+            else:
+                kept.append(s)
+                if lines == 1 and firsts[s[1]] == "rule":
+                    score -= 3.0
+            if "S" not in ends or score > ends["S"][0]:
+                ends["S"] = (score, s[1], s[2])
+        young = kept
     out: list[str | None] = [None] * len(kinds_of)
     j, lab = n, max(best[n], key=lambda x: best[n][x][0])
     while j > 0:

@@ -1,9 +1,11 @@
 """Cutting oversized texts at natural boundaries.
 
 Recursive bisection: a stretch longer than the limit less the overlap is cut at the strongest boundary near its
-midpoint (heading, paragraph, line, sentence, clause, word, anywhere), and its halves likewise.  Afterwards each
-piece but the first is given the last ``overlap`` characters of what comes before it.  Pieces record where their own
-text (the core) starts, so the cores in order are the text again.
+midpoint (heading, paragraph, line, sentence, clause, word), and its halves likewise.  Near is a quarter of the stretch
+to either side, and where no boundary lies there, twice as far and so on; only a stretch without any boundary is cut
+between characters.  Afterwards each piece but the first is given exactly the last ``overlap`` characters of what comes
+before it, as the limits state a length; so an overlap may begin within a word.  Pieces record where their own text (the
+core) starts, so the cores in order are the text again.
 
 Defined results: null texts have no pieces; a text within the limit, the empty one too, is one piece; a text
 without any boundary is cut between characters, but never within a line break or before a combining mark;
@@ -14,6 +16,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -63,19 +66,20 @@ def cores(text: str, limit: int, overlap: int) -> list[tuple[int, int]]:
         return [(0, len(text))]
     room = limit - overlap
     marks = boundaries(text)
-    places = sorted(marks)
+    places = sorted(p for p in marks if _whole(text, p))
     out: list[tuple[int, int]] = []
     stack = [(0, len(text))]
-    from bisect import bisect_left, bisect_right
-
     while stack:
         a, z = stack.pop()
         if z - a <= room:
             out.append((a, z))
             continue
         mid, reach = (a + z) // 2, max(1, (z - a) // 4)
-        near = places[bisect_left(places, max(a + 1, mid - reach)) : bisect_right(places, min(z - 1, mid + reach))]
-        near = [p for p in near if _whole(text, p)]
+        while True:  # wider and wider until there is a boundary
+            near = places[bisect_left(places, max(a + 1, mid - reach)) : bisect_right(places, min(z - 1, mid + reach))]
+            if near or reach >= z - mid:
+                break
+            reach *= 2
         if near:
             at = max(near, key=lambda p: (marks[p], -abs(p - mid), -p))
         else:

@@ -1,3 +1,6 @@
+import itertools
+import random
+
 import pytest
 
 from tarn.llm import email as E
@@ -55,3 +58,49 @@ def test_table(spark):
 def test_rule_of_a_long_notice_is_not_authored(n):
     notice = "\n".join(["CONFIDENTIAL - this mail is intended for the person it is"] + ["addressed to; delete it if it reached you by mistake."] * n)
     assert labels("The new text goes here.\n\n----------\n" + notice) == "A." + "D" * (n + 2)
+
+
+def score(kinds, labs):
+    """What one division of a message earns, by the rules; null if a span may not open as it does."""
+    rows = [(i, k) for i, k in enumerate(kinds) if k]
+    total, i = 0.0, 0
+    while i < len(rows):
+        j = i
+        while j + 1 < len(rows) and labs[j + 1] == labs[i]:
+            j += 1
+        lab, first, end, lines = labs[i], rows[i][1], j + 1 == len(rows), j + 1 - i
+        if lab != "A" and first not in E._OPENS[lab]:
+            return None
+        total += sum(E._EARNS[k][E.LABELS.index(lab)] for _, k in rows[i : j + 1]) + (E._OPENS[lab][first] if lab != "A" else 0.0)
+        total -= E._MOVE[labs[i - 1], lab] if i else 0.0
+        if lab == "U":
+            total += 3.0 if end else -6.0
+        if lab == "S":
+            total -= max(0, lines - 8) * 0.7
+            total -= 2.0 if first in ("short", "name", "contact") and i and rows[i][0] == rows[i - 1][0] + 1 else 0.0
+            total -= 2.0 if i == 0 and first not in ("close", "rule") else 0.0
+            total += 0.8 if end else 0.0
+        if lab in "SD" and first == "rule" and lines == 1:
+            total -= 3.0
+        i = j + 1
+    return total
+
+
+def test_decoding_is_exact():
+    rng = random.Random(4)
+    some = ["short", "close", "name", "rule", "disc", "contact", "intro", "mark", "greet", "mobile", None]
+    for _ in range(40):
+        kinds = rng.choices(some, k=6)
+        n = sum(k is not None for k in kinds)
+        best = max(s for labs in itertools.product(E.LABELS, repeat=n) if (s := score(kinds, labs)) is not None)
+        assert score(kinds, [x for x in E.decode(kinds) if x]) == pytest.approx(best, abs=1e-6)
+
+
+def test_long_signatures_are_decoded_exactly():
+    """Two labels only, as all divisions into authored and signature spans of longer messages can be tried."""
+    rng = random.Random(8)
+    for _ in range(30):
+        kinds = ["plain", *rng.choices(["short", "short", "close", "contact"], k=11)]
+        best = max(s for labs in itertools.product("AS", repeat=12) if (s := score(kinds, labs)) is not None)
+        got = [x for x in E.decode(kinds) if x]
+        assert score(kinds, got) >= best - 1e-6

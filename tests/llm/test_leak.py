@@ -33,6 +33,35 @@ def test_places_are_in_the_original(spark):
     assert text[r["start_pos"] - 1 :].startswith("ex") and text[: r["end_pos"]].endswith("archives")
 
 
+def test_places_with_broken_hyphens(spark):
+    passage = "exposure figure lag when a weekend dealer archives"
+    text = "one bro-\nken and ano-\nther and a thi-\nrd word before: " + passage + " and more"
+    d = spark.createDataFrame([(1, text)], "doc_id bigint, text string")
+    r = L.find_leaks(d, spark.createDataFrame([(7, Q, None, None, None)], ITEMS)).first()
+    assert text[r["start_pos"] - 1 : r["end_pos"]] == passage and r["n_runs"] == 1
+    inside = text.replace("weekend", "week-\nend")
+    r = L.find_leaks(spark.createDataFrame([(1, inside)], "doc_id bigint, text string"), spark.createDataFrame([(7, Q, None, None, None)], ITEMS)).first()
+    assert inside[r["start_pos"] - 1 : r["end_pos"]] == passage.replace("weekend", "week-\nend")
+
+
+def test_tracking_is_the_same_normalising():
+    rng = random.Random(5)
+    bits = ["Straße", "ﬁne", "e\u0301", "가", "\u1100\u1161\u11a8", "\u09c7\u09be", "&amp;", "&nbsp", "&#233;", "&notit;", "<b>x</b>", "<br/>", "[a](http://x y)", "[t](u)", "w**o**rd", "co\u00adop", "\u200b", "ＡＢ", "Ⅷ", "İ", " ", "\n", "a_b", "q\u0323\u0307", "&lt;i&gt;"]
+    for _ in range(600):
+        text = "".join(rng.choices(bits, k=rng.randint(0, 25)))
+        t = L.tracked(text)
+        assert t.text == L.folded(text) and len(t.first) == len(t.last) == len(t.text)
+        assert t.first == sorted(t.first)
+
+
+def test_items_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(L, "MAX_CHARS", 60)
+    items = [(i, Q.replace("lag", f"lag{i}"), None, None, None) for i in range(6)]
+    docs = [(i, items[i][1]) for i in range(6)]
+    got = run(spark, docs, items)
+    assert {(i, i) for i in range(6)} <= set(got) and len(got) == len(set(got))
+
+
 def test_equal_to_brute_force(spark):
     rng = random.Random(3)
     words = [f"w{i}" for i in range(12)]

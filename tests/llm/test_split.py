@@ -26,6 +26,20 @@ def test_nothing_lost_within_limit_and_overlap(seed):
         assert c == e0 and c - s == min(overlap, c)
 
 
+@pytest.mark.parametrize("seed", range(10))
+def test_no_word_is_cut_while_a_boundary_is_there(seed):
+    rng = random.Random(seed)
+    text = "w " * 100 + "x" * 560 + " t" * 120
+    assert all(text[a - 1].isspace() or text[a].isspace() for a, _ in S.cores(text, 600, 0)[1:])
+    text = text_of(rng, 4000)
+    limit = rng.randint(30, 200)
+    legal = {p for p in S.boundaries(text) if S._whole(text, p)}
+    got = S.cores(text, limit, 0)
+    for (a, z), (_, z2) in zip(got, got[1:], strict=False):
+        if z not in legal:  # only a run of characters without any boundary is cut elsewhere
+            assert not any(a < p < z2 for p in legal if p - a <= limit // 2 and z2 - p <= limit // 2) or not [p for p in legal if a < p < z2]
+
+
 def test_prefers_strong_boundaries():
     text = "a " * 300 + "\n# Middle\n" + "b " * 300
     cut = S.cores(text, 800, 50)
