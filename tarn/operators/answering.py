@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tarn.functions.text import CITATION
+from tarn.operators.products import DISPLAY, display, looked_up
 from tarn.operators.retrieval import CONFIDENCE_FLOOR, assemble, first_per
 
 # Scores under which a question is out of scope, or an answer gets a footer, and the longest attached text.
@@ -47,27 +49,54 @@ def related_tickets(context: DataFrame, quick: DataFrame) -> DataFrame:
     return once.withColumn("place", F.row_number().over(w)).where(F.col("place") <= RELATED).select("query_id", "ticket_id", "created_at", "place")
 
 
-def cite(label: Column, url: Column) -> Column:
-    """``[label](url)``, or the label alone without a url."""
-    return F.when(F.trim(url) != "", F.concat(F.lit("["), label, F.lit("]("), url, F.lit(")"))).otherwise(label)
+def linked(label: Column, url: Column) -> Column:
+    """``[label](url)``, or ``[label]`` without a url."""
+    return F.concat(F.lit("["), label, F.when(url != "", F.concat(F.lit("]("), url, F.lit(")"))).otherwise("]"))
+
+
+def cite() -> Column:
+    """How an entry is cited: a ticket by number and product, an article by product, category and title."""
+    text = lambda c: F.coalesce(c, F.lit(""))
+    product = display(F.col("product"))
+    dot = F.lit(" · ")
+    label = F.when(F.col("kind") == "ticket", F.concat(F.lit("Ticket #"), text("ticket_id"), dot, product)).otherwise(F.concat(product, dot, F.coalesce(F.nullif("category", F.lit("")), F.lit("general")), dot, text("title")))
+    return linked(label, text("url"))
+
+
+NO_CONTEXT = "CONTEXT (the only facts you may use):\n\n(no relevant articles found)\n"
 
 
 def context_text(context: DataFrame) -> DataFrame:
-    """The numbered context of each question."""
+    """The numbered context of each question; questions without hits get :data:`NO_CONTEXT` from the caller's outer join."""
     w = Window.partitionBy("query_id").orderBy("rank", "doc_id")
     rows = context.withColumn("_n", F.row_number().over(w))
-    entry = F.concat(F.lit("["), F.col("_n").cast("string"), F.lit("] "), cite(F.coalesce("title", F.lit("")), F.coalesce("url", F.lit(""))), F.lit("\n"), F.coalesce("text", F.lit("")))
+    entry = F.concat(F.col("_n").cast("string"), F.lit(". "), cite(), F.lit("\n   "), F.coalesce("text", F.lit("")), F.lit("\n"))
     got = rows.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct(F.col("_n").alias("n"), entry.alias("e")))).alias("p"))
-    return got.select("query_id", F.size("p").alias("n_entries"), F.array_join(F.transform("p", lambda x: x["e"]), "\n\n").alias("context"))
+    return got.select("query_id", F.size("p").alias("n_entries"), F.concat(F.lit(NO_CONTEXT.split("(no")[0]), F.array_join(F.transform("p", lambda x: x["e"]), "\n")).alias("context"))
 
 
-def suggestions(hits: DataFrame, k: int = 3) -> DataFrame:
-    """Up to k cited titles per question, each title once, only such with a url (a feature's limit)."""
-    once = first_per(hits.where("trim(url) <> '' and trim(title) <> ''"), ["query_id", "title"], [F.col("rank"), F.col("doc_id")])
+def suggestions(hits: DataFrame, k: int | None = None) -> DataFrame:
+    """Cited titles per question, each title once, only such with a url; at most k if given (a feature's limit)."""
+    once = first_per(hits.where("coalesce(url, '') <> ''").withColumn("title", F.coalesce("title", F.lit(""))), ["query_id", "title"], [F.col("rank"), F.col("doc_id")])
     w = Window.partitionBy("query_id").orderBy("rank", "doc_id")
-    top = once.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= k)
-    got = top.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("_n", cite(F.col("title"), F.col("url")).alias("c")))).alias("p"))
-    return got.select("query_id", F.array_join(F.transform("p", lambda x: F.concat(F.lit("- "), x["c"])), "\n").alias("suggestions"))
+    top = once.withColumn("_n", F.row_number().over(w)).where(F.lit(True) if k is None else F.col("_n") <= k)
+    shown = F.coalesce(looked_up(F.col("product"), DISPLAY), F.lit(""))
+    line = F.concat(F.lit("• "), linked(F.col("title"), F.col("url")), F.lit("  — "), shown, F.lit(" · "), F.coalesce("category", F.lit("")))
+    got = top.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("_n", line.alias("c")))).alias("p"))
+    return got.select("query_id", F.array_join(F.transform("p", lambda x: x["c"]), "\n").alias("suggestions"))
+
+
+def validate_citations(answers: DataFrame, retrieved: DataFrame) -> DataFrame:
+    """``query_id, verified, unverified, all_verified, stripped_text``: the links of each answer (query_id, answer) whose address is
+    among those retrieved for it (query_id, url), and the others, which the text loses to ``[unverified]``."""
+    urls = retrieved.where("url is not null").groupBy("query_id").agg(F.collect_set("url").alias("_urls"))
+    text = F.coalesce("answer", F.lit(""))
+    links = F.arrays_zip(F.regexp_extract_all(text, F.lit(CITATION), F.lit(0)).alias("raw"), F.regexp_extract_all(text, F.lit(CITATION), F.lit(2)).alias("url"))
+    rows = answers.join(urls, "query_id", "left").select("query_id", text.alias("_text"), F.coalesce("_urls", F.array().cast("array<string>")).alias("_urls"), links.alias("_links"))
+    good = lambda x: F.array_contains(F.col("_urls"), x["url"])
+    rows = rows.select("query_id", "_text", F.filter("_links", good).alias("verified"), F.filter("_links", lambda x: ~good(x)).alias("unverified"))
+    stripped = F.aggregate("unverified", F.col("_text"), lambda a, x: F.replace(a, x["raw"], F.lit("[unverified]")))
+    return rows.select("query_id", "verified", "unverified", (F.size("unverified") == 0).alias("all_verified"), stripped.alias("stripped_text"))
 
 
 def decision(score: Column, clarify: Column, named: Column, short: Column, suggested: Column) -> Column:

@@ -36,12 +36,16 @@ def recent_mention(turns: DataFrame, conv: str, order: list[str], flag: Column)
     return turns.withColumn("recent", F.max(flag.cast("int")).over(w) == 1)
 
 
-def fused_query(turns: DataFrame, conv: str, order: list[str], content: str, clarified: Column) -> DataFrame:
-    """A short reply, or one to a clarification, is searched with the question before it."""
-    prev = F.lag(content).over(Window.partitionBy(conv).orderBy(*order))
+def fused_query(turns: DataFrame, conv: str, order: list[str], content: str, clarifies: Column, role: str = "role") -> DataFrame:
+    """The users' turns with what they are searched with: a reply under five words, or one after a clarification by the last
+    assistant, together with the last question of the user before it. ``clarifies`` says which assistant turns ask back."""
+    w = Window.partitionBy(conv).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    text = F.coalesce(content, F.lit(""))
+    prev = F.last(F.when(F.col(role) == "user", text), ignorenulls=True).over(w)
+    asked = F.coalesce(F.last(F.when(F.col(role) == "assistant", F.coalesce(clarifies, F.lit(False))), ignorenulls=True).over(w), F.lit(False))
     short = F.size(X.words(F.col(content))) < X.FOLLOW_UP_LIMIT
-    both = F.concat(prev, F.lit(" "), F.coalesce(content, F.lit("")))
-    return turns.withColumn("search_query", F.when(prev.isNotNull() & (clarified | short), both).otherwise(F.coalesce(content, F.lit(""))))
+    rows = turns.withColumn("search_query", F.when((F.coalesce(prev, F.lit("")) != "") & (asked | short), F.concat(prev, F.lit(" "), text)).otherwise(text))
+    return rows.where(F.col(role) == "user")
 
 
 def refers_back(text: Column) -> Column:

@@ -37,11 +37,6 @@ def completeness(expected: DataFrame, present: DataFrame, group: list[str], key:
     return both.groupBy(*group).agg(F.count(F.lit(1)).alias("expected"), F.count("_have").alias("present"), F.sum(F.when(F.col("_have").isNull(), 1).otherwise(0)).alias("missing"))
 
 
-def with_total(per_group: DataFrame, group: str, counters: list[str]) -> DataFrame:
-    """Per-group counters and, under a null group, their total."""
-    return per_group.rollup(group).agg(*(F.sum(c).alias(c) for c in counters))
-
-
 def merge_first(parts: list[DataFrame], key: str, limit: int | None = None) -> DataFrame:
     """Parts one after another, the first row of each key; parts carry ``pos`` as their own order."""
     tagged = [p.withColumn("part", F.lit(i)) for i, p in enumerate(parts)]
@@ -68,15 +63,10 @@ def replay(compacted: DataFrame, journal: DataFrame, key: str) -> DataFrame:
 
 def newest_cached(cache: DataFrame, key: str, put: str, limit: int) -> DataFrame:
     """The ``limit`` entries put last: a limit of the cache, not of the data (one top-k, no full sort)."""
-    last = first_per(cache, [key], [F.col(put).desc()])
+    last = cache.groupBy(key).agg(F.max(put).alias(put))
     return last.orderBy(F.col(put).desc(), key).limit(limit)
 
 
-def first_terminal(events: DataFrame, key: str, order: list[Column]) -> DataFrame:
-    """Exactly-once accounting: the first terminal event of each key."""
-    return first_per(events, [key], order)
-
-
 def attempts(log: DataFrame, key: str, ok: str, limit: int = 3) -> DataFrame:
     """Per key the attempts, whether any of the first ``limit`` succeeded, and whether it was retried."""
     return log.groupBy(key).agg(F.count(F.lit(1)).alias("attempts"), F.max(ok).alias("ok")).withColumn("retried", F.col("attempts") > 1).withColumn("exhausted", ~F.col("ok") & (F.col("attempts") >= limit))

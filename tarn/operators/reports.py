@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tarn.sources.tables import cut
+
 # The share of one product above which no clarification is asked.
 DOMINANT = 0.60
 
@@ -88,14 +90,28 @@ def ship_gate(scores: DataFrame, base: str, tuned: str) -> DataFrame:
     return t.join(b, F.lit(True)).select("ta", "ba", "ts", "bs", (reason == "ok").alias("ship"), reason.alias("reason"))
 
 
-def index_rows(items: DataFrame, order: dict[str, int], product: str, space: str, title: str) -> DataFrame:
+def index_rows(items: DataFrame, order: dict[str, int], product: str, space: Column, title: Column, url: Column) -> DataFrame:
     """Index lines by product order, space and title, with pipes escaped; null and unlisted products share the place after the last."""
     places = F.create_map(*(x for k, v in order.items() for x in (F.lit(k), F.lit(v))))
     rank = F.coalesce(places[F.col(product)], F.lit(max(order.values()) + 1))
-    line = F.concat(F.lit("| "), F.replace(F.coalesce(title, F.lit("")), F.lit("|"), F.lit("\\|")), F.lit(" | "), F.replace(F.coalesce(space, F.lit("")), F.lit("|"), F.lit("\\|")), F.lit(" |"))
+    cell = lambda c: F.replace(F.coalesce(c, F.lit("")), F.lit("|"), F.lit("\\|"))
+    line = F.concat(F.lit("| "), cell(title), F.lit(" | "), cell(space), F.lit(" | "), F.coalesce(url, F.lit("")), F.lit(" |"))
     return items.withColumn("product_order", rank).withColumn("line", line)
 
 
+def placed(rows: DataFrame, group: str, order: list[Column]) -> DataFrame:
+    """Rows with their ``place`` in their group. The order is made by one range-partitioned sort; only the number of rows of each
+    group in each partition, a few per partition, is gathered to number them, so no group is ever in one task."""
+    # the order's values travel as columns, so that the window below runs over small counts alone
+    cols = [f"_o{i}" for i in range(len(order))]
+    tagged = rows.withColumns(dict(zip(cols, order, strict=True))).repartitionByRange(group, *cols).sortWithinPartitions(group, *cols).withColumn("_part", F.spark_partition_id()).withColumn("_seq", F.monotonically_increasing_id())
+    tagged = cut(tagged)
+    counts = tagged.groupBy(group, "_part").agg(F.count(F.lit(1)).alias("_n"), F.min("_seq").alias("_low"))
+    before = counts.withColumn("_before", F.coalesce(F.sum("_n").over(Window.partitionBy(group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    joined = tagged.join(F.broadcast(before.select(F.col(group).alias("_g"), F.col("_part").alias("_p"), "_low", "_before")), (F.col(group).eqNullSafe(F.col("_g"))) & (F.col("_part") == F.col("_p")))
+    return joined.withColumn("place", (F.col("_before") + F.col("_seq") - F.col("_low") + 1).cast("int")).drop("_g", "_p", "_low", "_before", "_part", "_seq", *cols)
+
+
 def holdout(rows: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
     """``part`` eval for the ``n`` rows first by seeded hash, train for the others (a top-n, no full sort)."""
     h = F.xxhash64(F.col(key), F.lit(seed))

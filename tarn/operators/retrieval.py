@@ -10,8 +10,6 @@ nothing; rows scoring 0 or less are no candidates; repeated rows are separate ro
 
 from __future__ import annotations
 
-import heapq
-import math
 import re
 from collections import Counter
 from collections.abc import Callable, Iterator
@@ -30,13 +28,7 @@ RRF_K = 60
 TOP_K, RERANK_K, RERANK_K_ERROR = 30, 8, 14
 CONFIDENCE_FLOOR = 0.06
 #: Queries per broadcast block.
-BLOCK = 2_000
-
-
-def corpus_stats(docs: DataFrame, text: str = "text") -> tuple[int, float]:
-    """Number of documents and their mean length in tokens."""
-    r = docs.select(F.size(tokens(F.col(text))).alias("n")).agg(F.count(F.lit(1)).alias("n"), F.sum("n").alias("t")).first()
-    return r["n"], (r["t"] or 0) / max(r["n"], 1)
+BLOCK = 20_000
 
 
 def document_frequencies(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -62,24 +54,50 @@ def _ranked(parts: list[DataFrame], k: int) -> DataFrame:
     return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def _term_counts(docs: DataFrame, text: str) -> DataFrame:
+    """``term, df, cf``: how many documents have a term and how often it occurs; counted per batch before anything is moved."""
+    found = re.compile(TOKEN).findall
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        df: Counter[str] = Counter()
+        cf: Counter[str] = Counter()
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(list(df), pa.string()), pa.array(list(df.values()), pa.int64()), pa.array([cf[t] for t in df], pa.int64())], names=["term", "df", "cf"])
+
+        for batch in batches:
+            for t in batch.column(0).to_pylist():
+                tf = Counter(found((t or "").lower()))
+                df.update(tf.keys())
+                cf.update(tf)
+            if len(df) > 500_000:  # a bound on memory, not on terms
+                yield out()
+                df.clear(), cf.clear()
+        yield out()
+
+    return docs.select(text).mapInArrow(run, "term string, df bigint, cf bigint").groupBy("term").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf"))
+
+
 def bm25_topk(docs: DataFrame, queries: DataFrame, k: int = TOP_K, doc_id: str = "doc_id", text: str = "text", qid: str = "query_id", query: str = "query", keep: Column | None = None) -> DataFrame:
     """``query_id, doc_id, score, rank``: the k best documents of each query; scores are rounded to 6 places before ranking.
 
-    ``keep`` says which documents may be found; the statistics are of all."""
+    ``keep`` says which documents may be found; the statistics are of all. The corpus is read twice for any number of queries up
+    to ``BLOCK``: once for the statistics, of which one row comes back, and once to score."""
     docs = spread(docs.select(doc_id, text, (F.lit(True) if keep is None else keep).alias("_keep")))
-    n, avgdl = corpus_stats(docs, text)
-    df = cut(document_frequencies(docs, text))  # read by the floor and by every block
-    floor = (df.agg(F.avg(_idf(n, F.col("df")))).first()[0] or 0.0) * EPSILON if n else 0.0
-    terms = queries.select(F.explode(F.array_distinct(tokens(F.col(query)))).alias("term")).distinct()
-    idf = _idf(n, F.col("df"))
-    weights = df.join(terms, "term", "left_semi").select("term", F.when(idf < 0, F.lit(floor)).otherwise(idf).alias("idf"))
+    n = docs.count()
     found = re.compile(TOKEN).findall
+    blocks = _blocks(queries, qid)
+    counts = _term_counts(docs, text)
+    if len(blocks) > 1:
+        counts = cut(counts)  # read once per block
     parts = []
-    for block in _blocks(queries, qid):
+    for block in blocks:
         rows = block.select(F.col(qid).cast("bigint").alias("q"), F.col(query).alias("t")).collect()  # at most BLOCK rows, or as many as one hash block holds
-        vocab = {w for r in rows for w in found((r["t"] or "").lower())}
-        known = {r["term"]: r["idf"] for r in weights.join(block.select(F.explode(F.array_distinct(tokens(F.col(query)))).alias("term")).distinct(), "term", "left_semi").collect() if r["term"] in vocab}
-        ids = [r["q"] for r in rows]
+        asked = block.select(F.explode(F.array_distinct(tokens(F.col(query)))).alias("term")).distinct().withColumn("_asked", F.lit(True))
+        idf = _idf(n, F.col("df"))
+        stats = counts.join(F.broadcast(asked), "term", "left").agg(F.sum("cf").alias("tokens"), F.avg(idf).alias("mean"), F.collect_list(F.when(F.col("_asked"), F.struct("term", idf.alias("idf")))).alias("known")).first()
+        avgdl, floor = (stats["tokens"] or 0) / max(n, 1), (stats["mean"] or 0.0) * EPSILON
+        known = {r["term"]: r["idf"] if r["idf"] >= 0 else floor for r in stats["known"]}
         by_term: dict[str, tuple[list[int], list[float]]] = {}
         for i, r in enumerate(rows):
             for w, times in Counter(found((r["t"] or "").lower())).items():
@@ -87,65 +105,94 @@ def bm25_topk(docs: DataFrame, queries: DataFrame, k: int = TOP_K, doc_id: str =
                     at = by_term.setdefault(w, ([], []))
                     at[0].append(i)
                     at[1].append(times * known[w])
-        shared = docs.sparkSession.sparkContext.broadcast((ids, by_term))
+        arrays = {w: (np.array(a, dtype=np.int64), np.array(b)) for w, (a, b) in by_term.items()}
+        shared = docs.sparkSession.sparkContext.broadcast((np.array([r["q"] for r in rows], dtype=np.int64), arrays))
 
-        def score(texts: list[str | None], shared=shared) -> Iterator[tuple[int, np.ndarray]]:
-            ids, by_term = shared.value
-            arrays = {w: (np.array(a), np.array(b)) for w, (a, b) in by_term.items()}
+        def score(texts: list[str | None], low: np.ndarray, shared=shared, avgdl=avgdl) -> np.ndarray:
+            arrays = shared.value[1]
+            out = np.zeros((len(texts), len(low)))
             for i, t in enumerate(texts):
                 tf = Counter(found((t or "").lower()))
                 length = sum(tf.values())
                 norm = K1 * (1 - B + B * length / avgdl) if avgdl else 0.0
-                s = np.zeros(len(ids))
+                s = out[i]
                 for w in sorted(tf.keys() & arrays.keys()):
                     at, idf = arrays[w]
                     s[at] += idf * (tf[w] * (K1 + 1) / (tf[w] + norm))
-                yield i, np.round(s, 6)
+            return np.round(out, 6)
 
-        parts.append(_best(docs.where("_keep").select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("x")), shared, score, k, positive=True))
+        parts.append(_best(docs.where("_keep").select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("x")), shared, score, k, 0.0))
     return _ranked(parts, k)
 
 
-def _best(rows: DataFrame, shared, score: Callable, k: int, positive: bool) -> DataFrame:
-    """The k best rows per query of every partition."""
+def _kept(q: np.ndarray, d: np.ndarray, s: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of candidates (query, document, score) the k best of each query, by score, then document."""
+    order = np.lexsort((d, -s, q))
+    q, d, s = q[order], d[order], s[order]
+    start = np.flatnonzero(np.r_[True, q[1:] != q[:-1]]) if len(q) else np.zeros(0, dtype=np.int64)
+    nth = np.arange(len(q)) - np.repeat(start, np.diff(np.r_[start, len(q)]))
+    return q[nth < k], d[nth < k], s[nth < k]
+
+
+def _best(rows: DataFrame, shared, score: Callable[[list, np.ndarray], np.ndarray], k: int, above: float) -> DataFrame:
+    """The k best rows per query of every partition, scored in parts of a batch as matrices (rows by queries).
+
+    Each query's k-th best score so far is the bar that later rows must reach, so few of them are looked at again."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = shared.value[0]
-        heaps: list[list[tuple[float, int]]] = [[] for _ in ids]
+        low = np.full(len(ids), -np.inf)
+        step = max(1, 1_000_000 // max(len(ids), 1))
+        q, d, s = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0)
         for batch in batches:
-            docs = batch.column(0).to_pylist()
-            for i, s in score(batch.column(1).to_pylist()):
-                for q in np.nonzero(s > 0)[0] if positive else range(len(ids)):
-                    item = (float(s[q]), -docs[i])
-                    h = heaps[q]
-                    if len(h) < k:
-                        heapq.heappush(h, item)
-                    elif item > h[0]:
-                        heapq.heapreplace(h, item)
-        out = [(ids[q], -d, s) for q, h in enumerate(heaps) for s, d in h]
-        cols = list(zip(*out, strict=True)) if out else [(), (), ()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.float64()), strict=True)], names=["query_id", "doc_id", "score"])
+            docs = np.array(batch.column(0).to_pylist(), dtype=object)
+            xs = batch.column(1).to_pylist()
+            for lo in range(0, len(xs), step):
+                got = score(xs[lo : lo + step], low)
+                i, at = np.nonzero((got >= low) & (got > above))
+                if not len(i):
+                    continue
+                new = np.array([-(1 << 63) if x is None else x for x in docs[lo + i]], dtype=np.int64)
+                q, d, s = _kept(np.r_[q, at], np.r_[d, new], np.r_[s, got[i, at]], k)
+                full = np.bincount(q, minlength=len(ids)) >= k
+                last = np.r_[q[1:] != q[:-1], True]
+                bar = np.full(len(ids), -np.inf)
+                bar[q[last]] = s[last]
+                low = np.where(full, bar, -np.inf)
+        out = [pa.array(ids[q]), pa.array(d, mask=d == -(1 << 63)), pa.array(s)]
+        yield pa.RecordBatch.from_arrays(out, names=["query_id", "doc_id", "score"])
 
     return spread(rows).mapInArrow(run, "query_id bigint, doc_id bigint, score double")
 
 
 def dense_topk(vectors: DataFrame, queries: DataFrame, k: int = TOP_K, doc_id: str = "vec_id", vector: str = "embedding", qid: str = "query_id", qvector: str = "query_vec", keep: Column | None = None) -> DataFrame:
-    """``query_id, doc_id, score, rank``: exact nearest rows by squared distance (score is its negative), of those to ``keep``."""
+    """``query_id, doc_id, score, rank``: exact nearest rows by squared distance (score is its negative), of those to ``keep``.
+
+    One matrix product per batch says which rows may be among the k nearest; only their distances are computed exactly."""
     vectors = vectors if keep is None else vectors.where(keep)
     parts = []
     for block in _blocks(queries, qid):
         rows = block.where(F.col(qvector).isNotNull()).select(F.col(qid).cast("bigint").alias("q"), F.col(qvector).alias("v")).collect()
         if not rows:
             continue
-        shared = vectors.sparkSession.sparkContext.broadcast(([r["q"] for r in rows], np.array([r["v"] for r in rows], dtype=np.float64)))
-
-        def score(vs: list, shared=shared) -> Iterator[tuple[int, np.ndarray]]:
-            q = shared.value[1]
-            for i, v in enumerate(vs):
-                if v is not None and len(v) == q.shape[1]:
-                    yield i, np.round(-((q - np.array(v, dtype=np.float64)) ** 2).sum(axis=1), 6)
-
-        parts.append(_best(vectors.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(vector).alias("x")), shared, score, k, positive=False))
+        matrix = np.array([r["v"] for r in rows], dtype=np.float64)
+        shared = vectors.sparkSession.sparkContext.broadcast((np.array([r["q"] for r in rows], dtype=np.int64), matrix, (matrix**2).sum(axis=1)))
+
+        def score(vs: list, low: np.ndarray, shared=shared) -> np.ndarray:
+            _, q, size = shared.value
+            out = np.full((len(vs), len(q)), -np.inf)
+            fit = [i for i, v in enumerate(vs) if v is not None and len(v) == q.shape[1] and None not in v]
+            if not fit:
+                return out
+            x = np.array([vs[i] for i in fit], dtype=np.float64)
+            near = 2 * x @ q.T - (x**2).sum(axis=1)[:, None] - size
+            i, at = np.nonzero(near >= np.where(np.isfinite(low), low - 1e-5 * (1 + np.abs(low)), low))
+            for lo in range(0, len(i), 200_000):
+                a, b = i[lo : lo + 200_000], at[lo : lo + 200_000]
+                out[np.array(fit)[a], b] = np.round(-((q[b] - x[a]) ** 2).sum(axis=1), 6)
+            return out
+
+        parts.append(_best(vectors.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(vector).alias("x")), shared, score, k, -np.inf))
     if not parts:
         return vectors.sparkSession.createDataFrame([], "query_id bigint, doc_id bigint, score double, rank int")
     return _ranked(parts, k)
@@ -173,19 +220,26 @@ def rerank(candidates: DataFrame, wide: Column | None = None) -> DataFrame:
     return ranked.withColumn("top_score", top).where((F.col("rank") <= limit) & (F.col("top_score") >= CONFIDENCE_FLOOR))
 
 
-def assemble(chunks: DataFrame, key: str, index: str, text: str) -> DataFrame:
-    """Whole parents of chunks: the head's text, then the bodies of the others without their title line."""
-    body = F.when(F.col(index) == F.min(index).over(Window.partitionBy(key)), F.col(text)).otherwise(F.regexp_replace(F.col(text), r"(?s)^.*?\n\n", ""))
-    parts = chunks.withColumn("_body", F.coalesce(body, F.lit("")))
-    got = parts.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(index).alias("i"), F.col("_body").alias("b")))).alias("p"))
-    return got.select(key, F.size("p").alias("n_chunks"), F.array_join(F.transform("p", lambda x: x["b"]), "\n").alias("text"))
+def _stripped(text: Column) -> Column:
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
 
 
-def first_per(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
-    """The first row of each key under an order."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+def assemble(chunks: DataFrame, key: str, index: str, text: str) -> DataFrame:
+    """Whole parents of chunks: the head's text, then the bodies of the others without their title line (all up to the first
+    blank line), stripped, joined by blank lines; empty bodies are left out. Null texts count as empty, ties go by text."""
+    got = chunks.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(index).alias("i"), F.coalesce(text, F.lit("")).alias("t")))).alias("p"))
+    at = lambda t: F.instr(t, F.lit("\n\n"))
+    body = lambda t: _stripped(F.when(at(t) > 0, F.substr(t, at(t) + 2)).otherwise(t))
+    rest = F.filter(F.transform(F.slice("p", 2, F.greatest(F.size("p"), F.lit(1))), lambda x: body(x["t"])), lambda t: t != "")
+    return got.select(key, F.size("p").alias("n_chunks"), F.array_join(F.concat(F.array(_stripped(F.col("p")[0]["t"])), rest), "\n\n").alias("text"))
 
 
-def log_odds(p: float) -> float:
-    return math.log(p / (1 - p))
+def first_per(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
+    """The first row of each key under an order; nulls come first. Rows are reduced in each partition before they are moved,
+    so a key with a third of all rows costs one row per partition."""
+    rest = [c for c in df.columns if c not in keys]
+    at = F.struct(*(c.alias(f"o{i}") for i, c in enumerate(order)))
+    if not rest:
+        return df.distinct()
+    got = df.groupBy(*keys).agg(F.min_by(F.struct(*rest), at).alias("_first"))
+    return got.select(*keys, *(F.col("_first")[c].alias(c) for c in rest)).select(*df.columns)

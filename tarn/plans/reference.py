@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tarn.functions import redaction as R
 from tarn.functions import text as X
-from tarn.operators import answering, chunking, conversation, incremental, reports
+from tarn.operators import answering, chunking, conversation, incremental, products, reports
 from tarn.operators import retrieval as ret
 from tarn.sources import sinks
 from tarn.sources.tables import cut, spread, table
@@ -143,13 +143,13 @@ def scrub_emails(s: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    r"""SELECT * FROM (SELECT chunk_no, 'email' AS kind FROM chunk WHERE regexp_matches(coalesce(text,''), '[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}')
-    UNION ALL SELECT chunk_no, 'phone' FROM chunk WHERE regexp_matches(coalesce(text,''), '(?:^|[^0-9])(?:\+?\d{1,2}[\s.\-]?)?(?:\(\d{3}\)\s?|\d{3}[\s.\-])\d{3}[\s.\-]\d{4}(?:[^0-9]|$)')
-    UNION ALL SELECT chunk_no, 'secret' FROM chunk WHERE regexp_matches(coalesce(text,''), '\b(?:sk-[A-Za-z0-9\-]{16,}|AKIA[0-9A-Z]{16}|xox[baprs]-[A-Za-z0-9\-]{10,}|gh[pousr]_[A-Za-z0-9]{20,})\b')
-    UNION ALL SELECT chunk_no, 'password' FROM chunk WHERE regexp_matches(coalesce(text,''), '(?i)\bpassword\s*[:=]\s*[^\[\s]'))"""
+    r"""SELECT * FROM (SELECT rec_id, 'email' AS kind FROM ticket WHERE regexp_matches(coalesce(body,''), '[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}')
+    UNION ALL SELECT rec_id, 'phone' FROM ticket WHERE regexp_matches(coalesce(body,''), '(?:^|[^0-9])(?:\+?\d{1,2}[\s.\-]?)?(?:\(\d{3}\)\s?|\d{3}[\s.\-])\d{3}[\s.\-]\d{4}(?:[^0-9]|$)')
+    UNION ALL SELECT rec_id, 'secret' FROM ticket WHERE regexp_matches(coalesce(body,''), '\b(?:sk-[A-Za-z0-9\-]{16,}|AKIA[0-9A-Z]{16}|xox[baprs]-[A-Za-z0-9\-]{10,}|gh[pousr]_[A-Za-z0-9]{20,})\b')
+    UNION ALL SELECT rec_id, 'password' FROM ticket WHERE regexp_matches(coalesce(body,''), '(?i)\bpassword\s*[:=]\s*[^\[\s]'))"""
 )
 def leak_scan(s: SparkSession, d: str) -> DataFrame:
-    return spread(table(s, d, "chunk").select("chunk_no", "text")).select("chunk_no", F.explode(R.leaks(F.col("text"))).alias("kind"))
+    return spread(table(s, d, "ticket").select("rec_id", "body")).select("rec_id", F.explode(R.leaks(F.col("body"))).alias("kind"))
 
 
 @query()
@@ -185,11 +185,13 @@ def ticket_chunks(s: SparkSession, d: str) -> DataFrame:
     return chunking.ticket_chunks(table(s, d, "ticket"))
 
 
-@query(
-    r"""SELECT ticket_id, count(*)::int AS n_chunks, string_agg(CASE WHEN chunk_index = m THEN text ELSE regexp_replace(text, '(?s)^.*?\n\n', '') END, chr(10) ORDER BY chunk_index, t2) AS text FROM
-    (SELECT ticket_id, chunk_index, coalesce(text,'') AS text, min(chunk_index) OVER (PARTITION BY ticket_id) AS m, CASE WHEN chunk_index = min(chunk_index) OVER (PARTITION BY ticket_id) THEN coalesce(text,'') ELSE regexp_replace(coalesce(text,''), '(?s)^.*?\n\n', '') END AS t2
-     FROM (SELECT DISTINCT ticket_id, chunk_index, text FROM chunk WHERE kind = 'ticket' AND ticket_id IS NOT NULL AND chunk_index IS NOT NULL)) GROUP BY ticket_id"""
-)
+_STRIP = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
+_PARENTS = rf"""pc AS (SELECT *, row_number() OVER (PARTITION BY ticket_id ORDER BY chunk_index, text) AS n FROM (SELECT DISTINCT ticket_id, chunk_index, coalesce(text,'') AS text FROM chunk WHERE kind = 'ticket' AND ticket_id IS NOT NULL AND chunk_index IS NOT NULL)),
+pb AS (SELECT *, CASE WHEN n > 1 AND contains(text, chr(10) || chr(10)) THEN {_STRIP.format("substr(text, instr(text, chr(10) || chr(10)) + 2)")} ELSE {_STRIP.format("text")} END AS body FROM pc),
+parents AS (SELECT ticket_id, count(*)::int AS n_chunks, coalesce(string_agg(body, chr(10) || chr(10) ORDER BY n) FILTER (n = 1 OR body <> ''), '') AS text FROM pb GROUP BY ticket_id)"""
+
+
+@query(f"WITH {_PARENTS} SELECT ticket_id, n_chunks, text FROM parents")
 def parent_assembly(s: SparkSession, d: str) -> DataFrame:
     c = table(s, d, "chunk").where("kind = 'ticket' and ticket_id is not null and chunk_index is not null").select("ticket_id", "chunk_index", "text").distinct()
     return ret.assemble(c, "ticket_id", "chunk_index", "text")
@@ -245,18 +247,6 @@ def suggest_dedup(s: SparkSession, d: str) -> DataFrame:
     return ret.first_per(hits, ["query_id", "label"], [F.col("rank")]).select("query_id", "doc_id", "label")
 
 
-@query(
-    f"""WITH {_BM25}, lim AS (SELECT query_id, doc_id, rank FROM bm), alt AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY doc_id DESC) AS rank FROM bm),
-    f AS (SELECT query_id, doc_id, round(sum(1.0::double / (60 + rank)), 9) AS score FROM (SELECT * FROM lim UNION ALL SELECT * FROM alt) GROUP BY ALL)
-    SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)::int AS rank FROM f"""
-)
-def hybrid_rrf(s: SparkSession, d: str) -> DataFrame:
-    """Keyword candidates fused with a second order of them (newest chunk first), as chunks have no vectors here."""
-    a = _bm25(s, d)
-    b = a.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("doc_id"))))
-    return ret.fuse(a, b).select("query_id", "doc_id", "rank")
-
-
 @query(
     f"""WITH {_BM25}, c AS (SELECT query_id, doc_id, list_distinct(regexp_extract_all(lower(coalesce(question,'')), '[a-z0-9#]+')) AS q, list_distinct(regexp_extract_all(lower(coalesce(text,'')), '[a-z0-9#]+')) AS w,
       regexp_matches(question, '{_ERR}') AS wide FROM bm JOIN eval_holdout ON item_id = query_id JOIN chunk ON chunk_no = doc_id),
@@ -265,7 +255,8 @@ def hybrid_rrf(s: SparkSession, d: str) -> DataFrame:
     k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank, max(score) OVER (PARTITION BY query_id) AS top FROM r)
     SELECT query_id, doc_id, round(score, 4) AS score, rank::int AS rank FROM k WHERE rank <= CASE WHEN wide THEN 14 ELSE 8 END AND top >= 0.06"""
 )
-def rerank_gate(s: SparkSession, d: str) -> DataFrame:
+def chunk_rerank(s: SparkSession, d: str) -> DataFrame:
+    """Keyword hits on chunks, which have no vectors, reranked behind the gate."""
     q = table(s, d, "eval_holdout").select(F.col("item_id").alias("query_id"), F.col("question").alias("query"))
     c = _bm25(s, d).drop("rank").join(F.broadcast(q), "query_id").join(table(s, d, "chunk").select(F.col("chunk_no").alias("doc_id"), "text"), "doc_id")
     return ret.rerank(c, X.is_error(F.col("query"))).select("query_id", "doc_id", F.round("rerank", 4).alias("score"), "rank")
@@ -289,7 +280,7 @@ f AS (SELECT query_id, doc_id, round(sum(1.0::double / (60 + rank)), 9) AS score
 
 
 @query(f"WITH {_HYBRID} SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)::int AS rank FROM f")
-def hybrid_rrf_whole(s: SparkSession, d: str) -> DataFrame:
+def hybrid_rrf(s: SparkSession, d: str) -> DataFrame:
     """Keyword and vector candidates of the same query, fused."""
     return _hybrid(s, d)[1].select("query_id", "doc_id", "rank")
 
@@ -302,24 +293,18 @@ def hybrid_rrf_whole(s: SparkSession, d: str) -> DataFrame:
     k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank, max(score) OVER (PARTITION BY query_id) AS top FROM r)
     SELECT query_id, doc_id, round(score, 4) AS score, rank::int AS rank FROM k WHERE rank <= CASE WHEN wide THEN 14 ELSE 8 END AND top >= 0.06"""
 )
-def rerank_gate_whole(s: SparkSession, d: str) -> DataFrame:
+def rerank_gate(s: SparkSession, d: str) -> DataFrame:
     """The fused list, reranked behind the gate."""
     q, hits = _hybrid(s, d)
     c = hits.select("query_id", "doc_id").join(q.select("query_id", "query"), "query_id").join(table(s, d, "documents").select("doc_id", "text"), "doc_id")
     return ret.rerank(c, F.coalesce(X.is_error(F.col("query")), F.lit(False))).select("query_id", "doc_id", F.round("rerank", 4).alias("score"), "rank")
 
 
-@query(f"WITH {_BM25} SELECT query_id, doc_id FROM bm JOIN chunk ON chunk_no = doc_id WHERE product = 'tradedesk'")
-def product_filter_topk(s: SparkSession, d: str) -> DataFrame:
-    keep = table(s, d, "chunk").where("product = 'tradedesk'").select(F.col("chunk_no").alias("doc_id"))
-    return _bm25(s, d).join(keep, "doc_id", "left_semi").select("query_id", "doc_id")
-
-
 _BM25_TRADEDESK = _BM25.replace("FROM bs WHERE score > 0", "FROM bs WHERE score > 0 AND doc_id IN (SELECT chunk_no FROM chunk WHERE product = 'tradedesk')")
 
 
 @query(f"WITH {_BM25_TRADEDESK} SELECT query_id, doc_id, rank::int AS rank FROM bm")
-def product_filter_topk_whole(s: SparkSession, d: str) -> DataFrame:
+def product_filter_topk(s: SparkSession, d: str) -> DataFrame:
     """The 30 best of one product, by the statistics of all."""
     q = table(s, d, "eval_holdout").select(F.col("item_id").alias("query_id"), F.col("question").alias("query"))
     return ret.bm25_topk(table(s, d, "chunk"), q, doc_id="chunk_no", keep=F.col("product") == "tradedesk").select("query_id", "doc_id", "rank")
@@ -358,39 +343,6 @@ def term_stats(s: SparkSession, d: str) -> DataFrame:
 # ---------------------------------------------------------------- joins, sets, incremental
 
 
-def _snapshots(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """A manifest of the older halves of the index and the current one: chunks indexed first, and last, of each id."""
-    c = table(s, d, "chunk").where("id is not null")
-    sig = F.sha1(F.coalesce("text", F.lit("")))
-    cur = c.groupBy("id").agg(F.max_by(sig, F.struct("indexed_at", "chunk_no")).alias("sig"))
-    old = c.where("indexed_at < timestamp'2025-01-01'").groupBy("id").agg(F.min_by(sig, F.struct("indexed_at", "chunk_no")).alias("sig"))
-    return cur, old
-
-
-_SNAP = """cur AS (SELECT id, arg_max(sha1(coalesce(text,'')), (coalesce(epoch_us(indexed_at), -9223372036854775807), chunk_no)) AS sig FROM chunk WHERE id IS NOT NULL GROUP BY id),
-old AS (SELECT id, arg_min(sha1(coalesce(text,'')), (epoch_us(indexed_at), chunk_no)) AS sig FROM chunk WHERE id IS NOT NULL AND indexed_at < TIMESTAMP '2025-01-01' GROUP BY id)"""
-
-
-@query(
-    f"""WITH {_SNAP} SELECT coalesce(c.id, o.id) AS id, CASE WHEN o.id IS NULL THEN 'added' WHEN c.id IS NULL THEN 'removed' WHEN c.sig IS NOT DISTINCT FROM o.sig THEN 'unchanged' ELSE 'changed' END AS state FROM cur c FULL JOIN old o ON c.id = o.id"""
-)
-def manifest_diff(s: SparkSession, d: str) -> DataFrame:
-    cur, old = _snapshots(s, d)
-    return incremental.manifest_diff(cur, old, "id")
-
-
-@query(f"WITH {_SNAP} SELECT id, sig FROM cur UNION ALL SELECT id, sig FROM old WHERE id NOT IN (SELECT id FROM cur)")
-def upsert_chunks(s: SparkSession, d: str) -> DataFrame:
-    cur, old = _snapshots(s, d)
-    return incremental.upsert(old, cur, "id")
-
-
-@query(f"WITH {_SNAP} SELECT id, sig FROM cur WHERE id NOT IN (SELECT id FROM old)")
-def delete_chunks(s: SparkSession, d: str) -> DataFrame:
-    cur, old = _snapshots(s, d)
-    return incremental.delete(cur, old, "id")
-
-
 def _halves(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """The index as it is and as it was at the middle of its time, with all four states between them.
 
@@ -414,19 +366,19 @@ old AS (SELECT id, arg_min(sha1(coalesce(text,'') || CASE WHEN chunk_no % 10 = 1
 @query(
     f"""WITH {_HALVES} SELECT coalesce(c.id, o.id) AS id, CASE WHEN o.id IS NULL THEN 'added' WHEN c.id IS NULL THEN 'removed' WHEN c.sig IS NOT DISTINCT FROM o.sig THEN 'unchanged' ELSE 'changed' END AS state FROM cur c FULL JOIN old o ON c.id = o.id"""
 )
-def manifest_diff_whole(s: SparkSession, d: str) -> DataFrame:
+def manifest_diff(s: SparkSession, d: str) -> DataFrame:
     cur, old = _halves(s, d)
     return incremental.manifest_diff(cur, old, "id")
 
 
 @query(f"WITH {_HALVES} SELECT id, sig FROM cur UNION ALL SELECT id, sig FROM old WHERE id NOT IN (SELECT id FROM cur)")
-def upsert_chunks_whole(s: SparkSession, d: str) -> DataFrame:
+def upsert_chunks(s: SparkSession, d: str) -> DataFrame:
     cur, old = _halves(s, d)
     return incremental.upsert(old, cur, "id")
 
 
 @query(f"WITH {_HALVES} SELECT id, sig FROM old WHERE id IN (SELECT id FROM cur)")
-def delete_chunks_whole(s: SparkSession, d: str) -> DataFrame:
+def delete_chunks(s: SparkSession, d: str) -> DataFrame:
     """The older index without the ids that were removed since."""
     cur, old = _halves(s, d)
     gone = incremental.manifest_diff(cur, old, "id").where("state = 'removed'")
@@ -471,28 +423,9 @@ def url_dedup(s: SparkSession, d: str) -> DataFrame:
     return ret.first_per(table(s, d, "booking_spot_deal").where("url is not null").select("url", "art_no"), ["url"], [F.col("art_no")])
 
 
-@query(
-    r"""WITH c AS (SELECT art_no, unnest(regexp_extract_all(coalesce(body_md,''), '\[([^\]]+)\]\((https?://[^()\s]+)\)', 2)) AS url FROM booking_spot_deal), k AS (SELECT DISTINCT url FROM booking_spot_deal)
-    SELECT c.art_no, c.url, k.url IS NOT NULL AS verified, count(*) AS n FROM c LEFT JOIN k ON c.url = k.url GROUP BY ALL"""
-)
-def citation_validate(s: SparkSession, d: str) -> DataFrame:
-    deals = table(s, d, "booking_spot_deal")
-    cites = deals.select("art_no", F.explode(F.regexp_extract_all(F.coalesce("body_md", F.lit("")), F.lit(X.CITATION), F.lit(2))).alias("url"))
-    known = deals.select("url").where("url is not null").distinct().withColumn("_k", F.lit(True))
-    return cites.join(known, "url", "left").groupBy("art_no", "url").agg(F.max(F.coalesce("_k", F.lit(False))).alias("verified"), F.count(F.lit(1)).alias("n"))
-
-
 # ---------------------------------------------------------------- usage and reports
 
 
-@query(
-    """SELECT coalesce(sum(coalesce(tokens_in,0)),0)::bigint AS total_in, coalesce(sum(coalesce(tokens_out,0)),0)::bigint AS total_out, count_if(coalesce(tokens_in,0)+coalesce(tokens_out,0)>0)::bigint AS total_queries,
-    coalesce(sum(coalesce(tokens_in,0)) FILTER (ts >= '2025-06-01'),0)::bigint AS session_in, coalesce(sum(coalesce(tokens_out,0)) FILTER (ts >= '2025-06-01'),0)::bigint AS session_out, count_if(coalesce(tokens_in,0)+coalesce(tokens_out,0)>0 AND coalesce(ts >= '2025-06-01', false))::bigint AS session_queries FROM usage_log"""
-)
-def usage_summary(s: SparkSession, d: str) -> DataFrame:
-    return reports.usage(table(s, d, "usage_log"), F.lit("2025-06-01").cast("timestamp"))
-
-
 @query(
     """SELECT chat_id, (sum(coalesce(tokens_in,0)) // nullif(count_if(coalesce(tokens_in,0)+coalesce(tokens_out,0)>0),0))::bigint AS mean_in, (sum(coalesce(tokens_out,0)) // nullif(count_if(coalesce(tokens_in,0)+coalesce(tokens_out,0)>0),0))::bigint AS mean_out FROM usage_log GROUP BY chat_id"""
 )
@@ -502,16 +435,6 @@ def usage_averages(s: SparkSession, d: str) -> DataFrame:
     return u.select("chat_id", mean("total_in").alias("mean_in"), mean("total_out").alias("mean_out"))
 
 
-@query(
-    """WITH r AS (SELECT DISTINCT lower(trim(model)) AS m FROM usage_log WHERE model IS NOT NULL AND length(trim(model)) % 2 = 0)
-    SELECT log_id, round((coalesce(tokens_in,0) * CASE WHEN r.m IS NULL THEN 0.0 ELSE 2.0 END + coalesce(tokens_out,0) * CASE WHEN r.m IS NULL THEN 0.0 ELSE 10.0 END) / 1e6, 9) AS cost FROM usage_log LEFT JOIN r ON lower(trim(model)) = r.m"""
-)
-def usage_cost(s: SparkSession, d: str) -> DataFrame:
-    log = table(s, d, "usage_log")
-    rates = log.where("model is not null and length(trim(model)) % 2 = 0").select(F.lower(F.trim("model")).alias("model"), F.lit(2.0).alias("rate_in"), F.lit(10.0).alias("rate_out")).distinct()
-    return reports.cost(log, rates).select("log_id", F.round("cost", 9).alias("cost"))
-
-
 #: Stand-in rates per million tokens in and out; ``gateway-mid`` has none on purpose, so unknown models cost nothing.
 RATES = [("local-small", 0.2, 1.0), ("local-large", 2.0, 10.0)]
 
@@ -520,7 +443,7 @@ RATES = [("local-small", 0.2, 1.0), ("local-large", 2.0, 10.0)]
     """WITH r(m, i, o) AS (VALUES ('local-small', 0.2::double, 1.0::double), ('local-large', 2.0::double, 10.0::double))
     SELECT log_id, round((coalesce(tokens_in,0) * coalesce(i, 0) + coalesce(tokens_out,0) * coalesce(o, 0)) / 1e6, 9) AS cost FROM usage_log LEFT JOIN r ON lower(trim(model)) = r.m"""
 )
-def usage_cost_whole(s: SparkSession, d: str) -> DataFrame:
+def usage_cost(s: SparkSession, d: str) -> DataFrame:
     rates = s.createDataFrame(RATES, "model string, rate_in double, rate_out double")
     return reports.cost(table(s, d, "usage_log"), F.broadcast(rates)).select("log_id", F.round("cost", 9).alias("cost"))
 
@@ -530,7 +453,7 @@ def usage_cost_whole(s: SparkSession, d: str) -> DataFrame:
     SELECT coalesce(sum(i),0)::bigint AS total_in, coalesce(sum(o),0)::bigint AS total_out, count_if(i + o > 0)::bigint AS total_queries,
     coalesce(sum(i) FILTER (new),0)::bigint AS session_in, coalesce(sum(o) FILTER (new),0)::bigint AS session_out, count_if(i + o > 0 AND coalesce(new, false))::bigint AS session_queries FROM l"""
 )
-def usage_summary_whole(s: SparkSession, d: str) -> DataFrame:
+def usage_summary(s: SparkSession, d: str) -> DataFrame:
     """In all and in the session, which is the last day (UTC) of the log."""
     log = table(s, d, "usage_log")
     last = log.agg(F.max(F.unix_micros(F.col("ts").cast("timestamp"))).alias("_last")).select(F.timestamp_micros(F.expr("_last div 86400000000 * 86400000000")).alias("_since"))
@@ -602,27 +525,20 @@ def index_head(s: SparkSession, d: str) -> DataFrame:
     return v.orderBy(X.version_key(F.col("version")).desc()).limit(10)
 
 
-@query(
-    """SELECT art_no, CASE product WHEN 'api' THEN 0 WHEN 'web2' THEN 1 WHEN 'web4' THEN 2 END AS product_order, '| ' || replace(coalesce(title,''), '|', '\\|') || ' | ' || replace(coalesce(space_name,''), '|', '\\|') || ' |' AS line
-    FROM booking_spot_deal WHERE product IN ('api','web2','web4')""".replace("\\\\", "\\")
-)
-def kb_index(s: SparkSession, d: str) -> DataFrame:
-    """The three products its SQL names; :func:`kb_index_whole` has them all."""
-    order = {"api": 0, "web2": 1, "web4": 2}
-    items = table(s, d, "booking_spot_deal").where(F.col("product").isin(*order))
-    return reports.index_rows(items, order, "product", F.col("space_name"), F.col("title")).select("art_no", "product_order", "line")
+PRODUCT_ORDER = {p: i for i, p in enumerate(("tradedesk", "web2", "web4", "api", "saleshub", "formflow", "other"))}
 
 
-PRODUCT_ORDER = {p: i for i, p in enumerate(("tradedesk", "web2", "web4", "api", "saleshub", "formflow", "other"))}
+_PLACE = "CASE product " + " ".join(f"WHEN '{p}' THEN {i}" for p, i in PRODUCT_ORDER.items()) + f" ELSE {len(PRODUCT_ORDER)} END"
 
 
 @query(
-    """SELECT art_no, coalesce(list_position(['tradedesk','web2','web4','api','saleshub','formflow','other'], product), 8)::int - 1 AS product_order,
-    '| ' || replace(coalesce(title,''), '|', '\\|') || ' | ' || replace(coalesce(space_name,''), '|', '\\|') || ' |' AS line FROM booking_spot_deal""".replace("\\\\", "\\")
+    f"""SELECT art_no, {_PLACE} AS product_order, row_number() OVER (PARTITION BY {_PLACE} ORDER BY coalesce(space_name,''), coalesce(title,''), art_no)::int AS place,
+    '| ' || replace(coalesce(title,''), '|', '\\|') || ' | ' || replace(coalesce(space_name,''), '|', '\\|') || ' | ' || coalesce(url,'') || ' |' AS line FROM booking_spot_deal"""
 )
-def kb_index_whole(s: SparkSession, d: str) -> DataFrame:
-    """Every article, products in the index's order, those without a place last."""
-    return reports.index_rows(table(s, d, "booking_spot_deal"), PRODUCT_ORDER, "product", F.col("space_name"), F.col("title")).select("art_no", "product_order", "line")
+def kb_index(s: SparkSession, d: str) -> DataFrame:
+    """Every article with its place: products in the index's order, those without a place there last, then space and title."""
+    rows = reports.index_rows(table(s, d, "booking_spot_deal"), PRODUCT_ORDER, "product", F.col("space_name"), F.col("title"), F.col("url"))
+    return reports.placed(rows, "product_order", [F.coalesce("space_name", F.lit("")), F.coalesce("title", F.lit("")), F.col("art_no")]).select("art_no", "product_order", "place", "line")
 
 
 @query(
@@ -662,12 +578,14 @@ def recent_mention(s: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    rf"""WITH {_TURNS}, p AS (SELECT *, lag(content) OVER (PARTITION BY rec_id ORDER BY turn) AS prev, lag(role) OVER (PARTITION BY rec_id ORDER BY turn) AS prole, trim(regexp_replace(coalesce(content,''), '\s+', ' ', 'g')) AS t FROM turns)
-    SELECT rec_id, turn::int AS turn, CASE WHEN prev IS NOT NULL AND (coalesce(prole = 'assistant', false) OR (CASE WHEN t = '' THEN 0 ELSE len(string_split(t, ' ')) END) < 5) THEN prev || ' ' || coalesce(content,'') ELSE coalesce(content,'') END AS search_query FROM p"""
+    rf"""WITH {_TURNS}, p AS (SELECT *, last_value(CASE WHEN role = 'user' THEN coalesce(content,'') END IGNORE NULLS) OVER w AS prev, coalesce(last_value(CASE WHEN role = 'assistant' THEN regexp_matches(coalesce(content,''), '\?\s*$') END IGNORE NULLS) OVER w, false) AS asked,
+    trim(regexp_replace(coalesce(content,''), '\s+', ' ', 'g')) AS t FROM turns WINDOW w AS (PARTITION BY rec_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+    SELECT rec_id, turn::int AS turn, CASE WHEN coalesce(prev,'') <> '' AND (asked OR (CASE WHEN t = '' THEN 0 ELSE len(string_split(t, ' ')) END) < 5) THEN prev || ' ' || coalesce(content,'') ELSE coalesce(content,'') END AS search_query FROM p WHERE role = 'user'"""
 )
 def query_fusion(s: SparkSession, d: str) -> DataFrame:
-    t = _turns(s, d).withColumn("_clarified", F.coalesce(F.lag("role").over(Window.partitionBy("rec_id").orderBy("turn")) == "assistant", F.lit(False)))
-    return conversation.fused_query(t, "rec_id", ["turn"], "content", F.col("_clarified")).select("rec_id", "turn", "search_query")
+    """What each user turn is searched with. Comments have no kinds, so an assistant's turn that ends in a question mark stands for a clarification."""
+    asked = F.coalesce("content", F.lit("")).rlike(r"\?\s*$")
+    return conversation.fused_query(_turns(s, d), "rec_id", ["turn"], "content", asked).select("rec_id", "turn", "search_query")
 
 
 @query(
@@ -808,7 +726,7 @@ def ext_region_revenue(s: SparkSession, d: str) -> DataFrame:
 
 
 def _context(s: SparkSession, d: str, k: int = 8) -> DataFrame:
-    c = table(s, d, "chunk").select(F.col("chunk_no").alias("doc_id"), "kind", "ticket_id", "title", "url", "text", F.col("indexed_at").cast("string").alias("created_at"))
+    c = table(s, d, "chunk").select(F.col("chunk_no").alias("doc_id"), "kind", "ticket_id", "title", "url", "product", "category", "text", F.col("indexed_at").cast("string").alias("created_at"))
     return _bm25(s, d, ret.TOP_K).drop("score").join(c, "doc_id").where(F.col("rank") <= k)
 
 
@@ -830,27 +748,30 @@ def ensure_article(s: SparkSession, d: str) -> DataFrame:
     return answering.ensure_kind(_context(s, d), _context(s, d, ret.TOP_K), "article", F.trim("url") != "").select("query_id", "doc_id")
 
 
-@query(
-    f"""WITH {_BM25}, hq AS (SELECT query_id, doc_id, rank, title, url FROM bm JOIN chunk ON chunk_no = doc_id WHERE rank <= 8), o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS n FROM hq)
-    SELECT query_id, count(*)::int AS n_entries, string_agg('[' || n || '] ' || CASE WHEN trim(coalesce(o.url,'')) <> '' THEN '[' || coalesce(o.title,'') || '](' || o.url || ')' ELSE coalesce(o.title,'') END || chr(10) || coalesce(c.text,''), chr(10) || chr(10) ORDER BY n) AS context
-    FROM o JOIN chunk c ON c.chunk_no = o.doc_id GROUP BY query_id"""
-)
+_CITE = """CASE WHEN kind = 'ticket' THEN 'Ticket #' || coalesce(ticket_id,'') || ' · ' || pd ELSE pd || ' · ' || coalesce(nullif(category,''),'general') || ' · ' || coalesce(title,'') END"""
+_DISPLAY = "CASE coalesce(product,'') " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in products.DISPLAY.items()) + " ELSE coalesce(product,'') END"
+_CONTEXT = f"""hq AS (SELECT query_id, rank, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS n, coalesce(url,'') AS url, coalesce(text,'') AS text, {_CITE} AS label FROM (SELECT *, {_DISPLAY} AS pd FROM bm JOIN chunk ON chunk_no = doc_id WHERE rank <= 8)),
+ctx AS (SELECT query_id, count(*)::int AS n_entries, 'CONTEXT (the only facts you may use):' || chr(10) || chr(10) || string_agg(n || '. ' || CASE WHEN url <> '' THEN '[' || label || '](' || url || ')' ELSE '[' || label || ']' END || chr(10) || '   ' || text || chr(10), chr(10) ORDER BY n) AS context FROM hq GROUP BY query_id)"""
+
+
+@query(f"WITH {_BM25}, {_CONTEXT} SELECT query_id, n_entries, context FROM ctx")
 def context_text(s: SparkSession, d: str) -> DataFrame:
     return answering.context_text(_context(s, d))
 
 
 @query(
-    f"""WITH {_BM25}, hq AS (SELECT query_id, doc_id, rank, title, url FROM bm JOIN chunk ON chunk_no = doc_id WHERE rank <= 8), o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS n FROM hq),
-    t AS (SELECT query_id, string_agg('[' || n || '] ' || CASE WHEN trim(coalesce(o.url,'')) <> '' THEN '[' || coalesce(o.title,'') || '](' || o.url || ')' ELSE coalesce(o.title,'') END || chr(10) || coalesce(c.text,''), chr(10) || chr(10) ORDER BY n) AS context
-    FROM o JOIN chunk c ON c.chunk_no = o.doc_id GROUP BY query_id),
-    c AS (SELECT query_id, unnest(regexp_extract_all(context, '{X.CITATION}', 2)) AS url FROM t), k AS (SELECT url FROM booking_spot_deal WHERE url IS NOT NULL UNION SELECT url FROM ticket WHERE url IS NOT NULL)
-    SELECT c.query_id, c.url, k.url IS NOT NULL AS verified, count(*) AS n FROM c LEFT JOIN k ON c.url = k.url GROUP BY ALL"""
+    rf"""WITH {_BM25}, {_CONTEXT}, have AS (SELECT query_id, list(DISTINCT url) AS urls FROM hq WHERE rank <= 4 GROUP BY query_id),
+    c AS (SELECT query_id, context, coalesce(urls, []) AS urls, regexp_extract_all(context, '{X.CITATION}', 0) AS raws, regexp_extract_all(context, '{X.CITATION}', 2) AS cited FROM ctx LEFT JOIN have USING (query_id)),
+    v AS (SELECT *, list_filter(raws, lambda x, i: NOT list_contains(urls, cited[i])) AS bad FROM c)
+    SELECT query_id, (len(raws) - len(bad))::int AS n_verified, len(bad)::int AS n_unverified, len(bad) = 0 AS all_verified, md5(list_reduce(list_prepend(context, bad), lambda a, x: replace(a, x, '[unverified]'))) AS text_md5 FROM v"""
 )
-def citation_validate_whole(s: SparkSession, d: str) -> DataFrame:
-    """The citations of each context, and whether an article or a ticket has their address."""
-    cites = context_text(s, d).select("query_id", F.explode(F.regexp_extract_all("context", F.lit(X.CITATION), F.lit(2))).alias("url"))
-    known = table(s, d, "booking_spot_deal").select("url").union(table(s, d, "ticket").select("url")).where("url is not null").distinct().withColumn("_k", F.lit(True))
-    return cites.join(known, "url", "left").groupBy("query_id", "url").agg(F.max(F.coalesce("_k", F.lit(False))).alias("verified"), F.count(F.lit(1)).alias("n"))
+def citation_validate(s: SparkSession, d: str) -> DataFrame:
+    """Citations of answers against what was retrieved. As answers the contexts of eight entries stand in, of which only the first
+    four count as retrieved, so both outcomes occur."""
+    hits = cut(_context(s, d))
+    answers = answering.context_text(hits).select("query_id", F.col("context").alias("answer"))
+    got = answering.validate_citations(answers, hits.where("rank <= 4").select("query_id", "url"))
+    return got.select("query_id", F.size("verified").alias("n_verified"), F.size("unverified").alias("n_unverified"), "all_verified", F.md5("stripped_text").alias("text_md5"))
 
 
 @query()
@@ -871,7 +792,7 @@ def suggestion_lists(s: SparkSession, d: str) -> DataFrame:
 @query()
 def turn_decisions(s: SparkSession, d: str) -> DataFrame:
     """The kind of turn each held-out question would get."""
-    top = rerank_gate(s, d).groupBy("query_id").agg(F.max("score").alias("score"))
+    top = chunk_rerank(s, d).groupBy("query_id").agg(F.max("score").alias("score"))
     q = table(s, d, "eval_holdout").select(F.col("item_id").alias("query_id"), "question", "product")
     rows = q.join(top, "query_id", "left").join(product_dominance(s, d).select("query_id", "clarify"), "query_id", "left").join(suggestion_lists(s, d), "query_id", "left")
     short = F.size(X.words(F.col("question"))) < X.SHORT_LIMIT

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -59,10 +60,12 @@ def eval_cases(spark: SparkSession, path: str) -> DataFrame:
 
 
 def manifest(spark: SparkSession, path: str) -> DataFrame:
-    """A saved manifest; empty if there is none or it cannot be read."""
+    """A saved manifest; empty, which means a full build, if there is none. One that is there but cannot be read is an error."""
     try:
         return spark.read.parquet(path).select("path", "sig", "chunk_ids")
-    except Exception:  # noqa: BLE001 - any unreadable manifest means a full build
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], "path string, sig string, chunk_ids array<string>")
 
 

@@ -14,31 +14,47 @@ def _fs(spark: SparkSession, path: str):
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p, jvm
 
 
+_POINTER = "current-"
+
+
+def _pointers(fs, path) -> list[tuple[int, object]]:
+    """The table's pointers, oldest first; there is more than one only while or after a job is lost between two steps."""
+    if not fs.exists(path):
+        return []
+    names = [(f.getPath().getName(), f.getPath()) for f in fs.listStatus(path)]
+    return sorted(((int(n[len(_POINTER) :]), p) for n, p in names if n.startswith(_POINTER) and n[len(_POINTER) :].isdigit()), key=lambda x: x[0])
+
+
 def publish(df: DataFrame, table: str) -> str:
-    """Writes a new version beside the old ones, then moves the pointer to it: readers see one or the other, never a mix.
+    """Writes a new version beside the old ones, then adds a pointer with the next number: readers take the highest, so they see
+    one version or the other, whenever a job is lost. The pointer is written aside and renamed to a name that does not exist yet,
+    which is atomic and fails if another writer was first.
 
     Returns the version's folder."""
     spark = df.sparkSession
     version = f"{table}/v-{uuid.uuid4().hex}"
+    fs, root, jvm = _fs(spark, table)
+    before = _pointers(fs, root)
     df.write.parquet(version)
-    fs, _, jvm = _fs(spark, table)
-    temp, final = jvm.org.apache.hadoop.fs.Path(f"{table}/current.new"), jvm.org.apache.hadoop.fs.Path(f"{table}/current.txt")
-    out = fs.create(temp, True)
+    temp = jvm.org.apache.hadoop.fs.Path(f"{table}/_next-{uuid.uuid4().hex}")
+    out = fs.create(temp, False)
     out.write(bytearray(version.encode()))
     out.close()
-    if fs.exists(final):
-        fs.delete(final, False)
-    fs.rename(temp, final)
+    number = before[-1][0] + 1 if before else 1
+    final = jvm.org.apache.hadoop.fs.Path(f"{table}/{_POINTER}{number:012d}")
+    if fs.exists(final) or not fs.rename(temp, final):
+        fs.delete(temp, False)
+        raise FileExistsError(f"another writer published version {number} of {table}")
+    for _, old in before[:-1]:  # the one before stays for readers that have just looked
+        fs.delete(old, False)
     return version
 
 
 def current(spark: SparkSession, table: str) -> DataFrame | None:
     """The published version of a table; none if nothing was published yet."""
-    fs, _, jvm = _fs(spark, table)
-    final = jvm.org.apache.hadoop.fs.Path(f"{table}/current.txt")
-    if not fs.exists(final):
-        return None
-    return spark.read.parquet(spark.read.text(str(final)).first()[0])
+    fs, root, _ = _fs(spark, table)
+    found = _pointers(fs, root)
+    return spark.read.parquet(spark.read.text(str(found[-1][1])).first()[0]) if found else None
 
 
 def front_matter(*fields: tuple[str, Column]) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, Row, SparkSession
@@ -42,12 +43,20 @@ def join_small(big: DataFrame, small: DataFrame, on: list[str], bound: int = 10_
     return big.join(F.broadcast(small) if fits else small, on, how)
 
 
+class NoSharedFolder(RuntimeError):
+    """A cluster whose session names no folder that all its machines share."""
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's ``spark.checkpoint.dir``; only where it is unset (tests), a temporary folder."""
-    if spark.sparkContext.getCheckpointDir():
+    """Use the cluster's ``spark.checkpoint.dir``. Only a local session, where everything is one machine, gets a folder of its own
+    if it names none; on a cluster that is an error."""
+    sc = spark.sparkContext
+    if sc.getCheckpointDir():
         return
-    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    spark.sparkContext.setCheckpointDir(where or tempfile.mkdtemp(prefix="tarn-checkpoint-"))
+    where = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    if not where and not re.fullmatch(r"local(\[.*\])?", sc.master):
+        raise NoSharedFolder("set spark.checkpoint.dir to a folder that all machines share")
+    sc.setCheckpointDir(where or tempfile.mkdtemp(prefix="tarn-checkpoint-"))
 
 
 def cut(df: DataFrame) -> DataFrame:

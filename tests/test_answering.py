@@ -3,21 +3,26 @@ from pyspark.sql import functions as F
 from tarn.operators import answering as A
 from tarn.operators import portal as P
 
-CONTEXT = "query_id bigint, doc_id bigint, rank int, kind string, ticket_id string, title string, url string, text string, created_at string"
+CONTEXT = "query_id bigint, doc_id bigint, rank int, kind string, ticket_id string, title string, url string, text string, created_at string, product string, category string"
 
 
 def test_context(spark):
-    ctx = spark.createDataFrame([(1, 10, 1, "ticket", "t", "T", "u", "frag b", None), (1, 11, 2, "article", None, "A", "http://a", "art", None), (1, 12, 3, "ticket", "t", "T", "u", "frag a", None), (2, 10, 1, "ticket", "t", "T", "", "frag b", None)], CONTEXT)
+    ctx = spark.createDataFrame([(1, 10, 1, "ticket", "t", "T", "u", "frag b", None, "api", None), (1, 11, 2, "article", None, "A", "http://a", "art", None, "api", None), (1, 12, 3, "ticket", "t", "T", "u", "frag a", None, "api", None), (2, 10, 1, "ticket", "t", "T", "", "frag b", None, "api", None)], CONTEXT)
     chunks = spark.createDataFrame([("t", 0, "H\n\none"), ("t", 1, "H\n\ntwo"), ("z", 0, "no")], "ticket_id string, chunk_index int, text string")
     got = {(r["query_id"], r["doc_id"]): r["text"] for r in A.expand_tickets(ctx, chunks).collect()}
-    assert got == {(1, 10): "H\n\none\ntwo", (1, 11): "art", (2, 10): "H\n\none\ntwo"}
-    quick = spark.createDataFrame([(2, 20, 1, "article", None, "B", "", "x", None), (2, 21, 2, "article", None, "C", "http://c", "y", None), (3, 22, 1, "article", None, "D", "http://d", "z", None)], CONTEXT)
+    assert got == {(1, 10): "H\n\none\n\ntwo", (1, 11): "art", (2, 10): "H\n\none\n\ntwo"}
+    quick = spark.createDataFrame([(2, 20, 1, "article", None, "B", "", "x", None, "api", None), (2, 21, 2, "article", None, "C", "http://c", "y", None, "api", None), (3, 22, 1, "article", None, "D", "http://d", "z", None, "api", None)], CONTEXT)
     more = A.ensure_kind(ctx, quick, "article", F.trim("url") != "")
     assert sorted((r["query_id"], r["doc_id"], r["rank"]) for r in more.collect())[-1] == (2, 21, 2) and more.count() == 5
-    assert A.context_text(ctx).where("query_id = 1").first()["context"] == "[1] [T](u)\nfrag b\n\n[2] [A](http://a)\nart\n\n[3] [T](u)\nfrag a"
-    rel = spark.createDataFrame([(1, 30, 1, "ticket", "x", "", "", "", "2024-01-01"), (1, 31, 2, "ticket", "y", "", "", "", "2024-03-01"), (1, 32, 3, "ticket", "t", "", "", "", "2025-01-01"), (1, 33, 4, "ticket", "z", "", "", "", None)], CONTEXT)
+    want = "CONTEXT (the only facts you may use):\n\n1. [Ticket #t · API](u)\n   frag b\n\n2. [API · general · A](http://a)\n   art\n\n3. [Ticket #t · API](u)\n   frag a\n"
+    assert A.context_text(ctx).where("query_id = 1").first()["context"] == want
+    answers = spark.createDataFrame([(1, "see [A](http://a) and [B](http://b(1)) and [B](http://b(1))"), (2, "none"), (3, None)], "query_id bigint, answer string")
+    v = {r["query_id"]: r for r in A.validate_citations(answers, ctx.select("query_id", "url")).collect()}
+    assert (len(v[1]["verified"]), len(v[1]["unverified"]), v[1]["stripped_text"]) == (1, 2, "see [A](http://a) and [unverified] and [unverified]")
+    assert v[2]["all_verified"] and v[3]["stripped_text"] == ""
+    rel = spark.createDataFrame([(1, 30, 1, "ticket", "x", "", "", "", "2024-01-01", None, None), (1, 31, 2, "ticket", "y", "", "", "", "2024-03-01", None, None), (1, 32, 3, "ticket", "t", "", "", "", "2025-01-01", None, None), (1, 33, 4, "ticket", "z", "", "", "", None, "api", None)], CONTEXT)
     assert [r["ticket_id"] for r in A.related_tickets(ctx, rel).orderBy("place").collect()] == ["y", "x"]
-    assert A.suggestions(ctx).where("query_id = 1").first()["suggestions"] == "- [T](u)\n- [A](http://a)"
+    assert A.suggestions(ctx).where("query_id = 1").first()["suggestions"] == "• [T](u)  — API · \n• [A](http://a)  — API · "
 
 
 def test_decisions_and_messages(spark):

@@ -59,7 +59,7 @@ def test_blocks_of_queries_change_nothing(spark, monkeypatch):
 
 def test_parent_assembly(spark):
     c = spark.createDataFrame([("t", 1, "Head\n\nsecond"), ("t", 0, "Head\n\nfirst"), ("u", 0, None)], "k string, i int, text string")
-    assert {r["k"]: r["text"] for r in ret.assemble(c, "k", "i", "text").collect()} == {"t": "Head\n\nfirst\nsecond", "u": ""}
+    assert {r["k"]: r["text"] for r in ret.assemble(c, "k", "i", "text").collect()} == {"t": "Head\n\nfirst\n\nsecond", "u": ""}
 
 
 def test_incremental(spark):
@@ -133,7 +133,23 @@ def test_gate(spark):
     g = Gate(4)
     for _ in range(20):
         g.record(False)
-    assert g.permits == 1 and g.delay == 8.0 and g.tripped
+    assert g.permits == 1 and g.delay == 2.0 and g.tripped
+    assert g.consume_trip() and not g.consume_trip() and not g.recent
+    g.record(True)
+    assert g.permits == 2 and g.delay == 1.0
+    for _ in range(2):
+        g.record(True)
+    assert g.permits == 4 and g.delay == 0.0 and not g.tripped
+    g.tune(95.0, 4000.0), g.tune(50.0, 500.0)
+    assert g.permits == 2
+    g.tune(80.0, 4000.0)
+    assert g.permits == 2
+    g.tune(50.0, 4000.0)
+    assert g.permits == 3
+    g.set_ceiling(1)
+    assert g.permits == g.ceiling == 1
+    g.set_ceiling(8)
+    assert (g.permits, g.ceiling) == (1, 8)
     df = spark.createDataFrame([("a", i, i % 2 == 1) for i in range(30)] + [(None, 1, None), ("b", 1, True)], "k string, s bigint, ok boolean")
     rows = gate_log(df, "k", "s", "ok").collect()
     assert len(rows) == 32 and min(r["permits"] for r in rows if r["key"] == "a") == 1 and not any(r["tripped"] for r in rows)

@@ -51,6 +51,72 @@ def test_publish_and_upsert_stream(spark, tmp_path):
     assert sorted(map(tuple, sinks.current(spark, table).collect())) == [("a", 1), ("b", 2), ("c", 2)]
 
 
+def test_lost_between_the_steps_of_publishing(spark, tmp_path, monkeypatch):
+    """Whatever step is the last one done, the table that was published is still there and the next job goes on from it."""
+    table = str(tmp_path / "t")
+    one, two = (spark.createDataFrame([(v,)], "v int") for v in (1, 2))
+    sinks.publish(one, table)
+
+    class Lost(Exception):
+        pass
+
+    real = sinks._fs
+
+    class Broken:
+        def __init__(self, fs, at):
+            self.fs, self.at = fs, at
+
+        def __getattr__(self, name):
+            def call(*a):
+                if name == self.at:
+                    raise Lost
+                return getattr(self.fs, name)(*a)
+
+            return call
+
+    for at in ("create", "rename"):
+        monkeypatch.setattr(sinks, "_fs", lambda s, p, at=at: (Broken(real(s, p)[0], at), *real(s, p)[1:]))
+        try:
+            sinks.publish(two, table)
+            raise AssertionError("should be lost")
+        except Lost:
+            pass
+        monkeypatch.setattr(sinks, "_fs", real)
+        assert [r["v"] for r in sinks.current(spark, table).collect()] == [1]
+    sinks.publish(two, table)
+    assert [r["v"] for r in sinks.current(spark, table).collect()] == [2]
+
+
+def test_a_repeated_batch_chooses_the_same_rows(spark, tmp_path):
+    src, got = str(tmp_path / "src"), []
+    spark.createDataFrame([("a", 1, "x"), ("a", 3, "y"), ("a", 3, "z"), ("b", None, "q")], "k string, at int, v string").write.json(src)
+    for n in range(2):
+        state.upsert_stream(spark.readStream.schema("k string, at int, v string").json(src), str(tmp_path / f"t{n}"), "k", str(tmp_path / f"c{n}"), "at").awaitTermination()
+        got.append(sorted(map(tuple, sinks.current(spark, str(tmp_path / f"t{n}")).collect())))
+    assert got[0] == got[1] == [("a", 3, "z"), ("b", None, "q")]
+
+
+def test_no_folder_on_a_cluster(monkeypatch):
+    import pytest
+
+    from tarn.sources import tables
+
+    class Conf:
+        def get(self, *_):
+            return None
+
+    class Session:
+        conf = Conf()
+
+        class sparkContext:  # noqa: N801
+            master = "spark://host:7077"
+            getCheckpointDir = staticmethod(lambda: None)
+            getConf = staticmethod(Conf)
+
+    with pytest.raises(tables.NoSharedFolder):
+        tables.ensure_checkpoint_dir(Session())
+
+
 def test_once_and_windows(spark, tmp_path):
     src = str(tmp_path / "ev")
     spark.createDataFrame([("a", "2024-01-01 00:01:00"), ("a", "2024-01-01 00:01:00"), ("b", "2024-01-01 00:12:00")], "k string, t string").select("k", F.col("t").cast("timestamp").alias("ts")).write.parquet(src)

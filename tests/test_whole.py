@@ -16,19 +16,19 @@ tables = pytest.mark.skipif(not DATA.exists(), reason="no test tables")
 def test_index_keeps_every_product(spark):
     rows = [(i, p, "s", f"t|{i}") for i, p in enumerate([*reference.PRODUCT_ORDER, "new", None])]
     items = spark.createDataFrame(rows, "art_no int, product string, space_name string, title string")
-    got = reports.index_rows(items, reference.PRODUCT_ORDER, "product", F.col("space_name"), F.col("title")).orderBy("art_no").collect()
+    got = reports.index_rows(items, reference.PRODUCT_ORDER, "product", F.col("space_name"), F.col("title"), F.lit("u")).orderBy("art_no").collect()
     assert [r["product_order"] for r in got] == [0, 1, 2, 3, 4, 5, 6, 7, 7]
-    assert got[0]["line"] == "| t\\|0 | s |"
+    assert got[0]["line"] == "| t\\|0 | s | u |"
 
 
 @tables
 def test_snapshots_have_all_states(spark):
-    states = {r["id"]: r["state"] for r in reference.manifest_diff_whole(spark, str(DATA)).collect()}
+    states = {r["id"]: r["state"] for r in reference.manifest_diff(spark, str(DATA)).collect()}
     assert set(states.values()) == {"added", "changed", "removed", "unchanged"}
     now = reference._halves(spark, str(DATA))[0].count()
     removed = sum(x == "removed" for x in states.values())
-    assert reference.upsert_chunks_whole(spark, str(DATA)).count() == now + removed
-    left = {r["id"] for r in reference.delete_chunks_whole(spark, str(DATA)).collect()}
+    assert reference.upsert_chunks(spark, str(DATA)).count() == now + removed
+    left = {r["id"] for r in reference.delete_chunks(spark, str(DATA)).collect()}
     assert left == {i for i, x in states.items() if x in ("changed", "unchanged")}
 
 
@@ -36,12 +36,12 @@ def test_snapshots_have_all_states(spark):
 def test_usage_and_citations_meet_real_rows(spark):
     d = str(DATA)
     model = spark.read.parquet(f"{d}/usage_log.parquet").select("log_id", F.lower(F.trim("model")).alias("model"), "tokens_out")
-    paid = reference.usage_cost_whole(spark, d).join(model, "log_id").where("tokens_out > 0").groupBy("model").agg(F.min("cost").alias("low"), F.max("cost").alias("high")).collect()
+    paid = reference.usage_cost(spark, d).join(model, "log_id").where("tokens_out > 0").groupBy("model").agg(F.min("cost").alias("low"), F.max("cost").alias("high")).collect()
     got = {r["model"]: (r["low"] > 0, r["high"] > 0) for r in paid}
     assert got["local-small"] == got["local-large"] == (True, True) and got["gateway-mid"] == (False, False)
-    r = reference.usage_summary_whole(spark, d).first()
+    r = reference.usage_summary(spark, d).first()
     assert 0 < r["session_queries"] < r["total_queries"]
-    assert reference.citation_validate_whole(spark, d).where("verified").count() > 0
+    assert reference.citation_validate(spark, d).agg(F.sum("n_verified"), F.sum("n_unverified")).first() > (0, 0)
 
 
 def test_filter_comes_before_the_cut(spark):
