@@ -43,10 +43,10 @@ TICKET_KEYS = {"ticket_id", "comments", "resolution", "attachments"}
 
 
 def decoded(value: Any) -> Any:
-    """What a JSON string stands for, through any number of encodings; other values as they are."""
-    for _ in range(8):
-        if not isinstance(value, str) or value.lstrip()[:1] not in ("{", "[", '"'):
-            return value
+    """What a JSON string stands for, through any number of encodings; other values as they are.
+
+    Every decoding leaves a shorter string, so it ends."""
+    while isinstance(value, str) and value.lstrip()[:1] in ("{", "[", '"'):
         try:
             value = json.loads(value)
         except (ValueError, RecursionError):
@@ -97,29 +97,32 @@ def shaped(value: Any, kind: str) -> dict[str, Any] | None:
     return out
 
 
-def find_ticket(value: Any, depth: int = 0) -> dict[str, Any] | None:
-    """The ticket in a payload, inside any envelope."""
-    value = decoded(value)
-    if isinstance(value, dict):
-        if value.keys() & TICKET_KEYS:
-            return value
-        inner: list[Any] = list(value.values())
-    elif isinstance(value, list) and len(value) == 1:
-        inner = value
-    else:
-        return None
-    found = (find_ticket(x, depth + 1) for x in inner if depth < 6)
-    return next((x for x in found if x is not None), None)
+def find_ticket(value: Any) -> dict[str, Any] | None:
+    """The ticket in a payload, inside any envelope however deep: the first in stored order."""
+    left = [value]
+    while left:
+        now = decoded(left.pop())
+        if isinstance(now, dict):
+            if now.keys() & TICKET_KEYS:
+                return now
+            left += reversed(now.values())
+        elif isinstance(now, list) and len(now) == 1:
+            left.append(now[0])
+    return None
 
 
-def shaped_payload(payload: str | None) -> dict[str, Any] | None:
+def payload_ticket(payload: str | None) -> dict[str, Any] | None:
+    """The ticket a payload holds; null where it is unusable."""
     if not payload or not payload.strip():
         return None
     try:
-        root = json.loads(payload.lstrip("﻿"))
+        return find_ticket(json.loads(payload.lstrip("\ufeff")))
     except (ValueError, RecursionError):
         return None
-    ticket = find_ticket(root)
+
+
+def shaped_payload(payload: str | None) -> dict[str, Any] | None:
+    ticket = payload_ticket(payload)
     if ticket is None:
         return None
     return {
@@ -240,3 +243,39 @@ def objects(bridge: DataFrame) -> DataFrame:
 def bridge_rows(bridge: DataFrame) -> DataFrame:
     """The bridge without the objects' content."""
     return bridge.drop("canon")
+
+
+# ---------------------------------------------------------------- flat tables
+
+HEAD = ("ticket_id", "title", "url")
+
+
+def heads(tickets: DataFrame, raw: DataFrame) -> DataFrame:
+    """The tickets the bridge's rows belong to: ``src, row_id, ticket_id, title, url``; unusable payloads have no row.
+
+    A ticket scraped twice has a row for each of its ids, as the bridge has."""
+
+    @F.arrow_udf("struct<ok:boolean,ticket_id:string,title:string,url:string>")
+    def head(payloads: pa.Array) -> pa.Array:
+        got = [payload_ticket(p) for p in payloads.to_pylist()]
+        return pa.array([{"ok": t is not None, **{f: text((t or {}).get(f)) for f in HEAD}} for t in got], type=pa.struct([("ok", pa.bool_()), *((f, pa.string()) for f in HEAD)]))
+
+    typed = tickets.select(F.lit("ticket").alias("src"), F.col("rec_id").cast("bigint").alias("row_id"), *HEAD)
+    parsed = raw.select(F.lit("ticket_raw").alias("src"), F.col("raw_id").cast("bigint").alias("row_id"), head("payload").alias("h")).where("h.ok")
+    return typed.unionByName(parsed.select("src", "row_id", *(f"h.{f}" for f in HEAD)))
+
+
+#: The flat tables of objects, their kinds and columns; ``rest`` holds what a record had beyond them.
+TABLES = {
+    "comments": (("comment",), (*COMMENT_FIELDS, "rest")),
+    "resolutions": (("resolution",), ("text", "rest")),
+    "files": (("image", "attachment"), (*LEAF_FIELDS, "rest")),
+}
+
+
+def flat(objects_of: DataFrame, name: str) -> DataFrame:
+    """One of :data:`TABLES`, a row per distinct object: ``object_hash, kind``, the columns and ``n_occurrences``."""
+    kinds, fields = TABLES[name]
+    own = objects_of.where(F.col("kind").isin(*kinds))
+    got = own.withColumn("_o", F.from_json("canon", ", ".join(f"`{f}` string" for f in fields)))
+    return got.select("object_hash", "kind", *(F.col(f"_o.{f}").alias(f) for f in fields), "n_occurrences")

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tarn.sources.tables import join_small
+from tarn.sources.tables import bounded_rows, join_small
 
 READ = T.StructType([T.StructField("local_us", T.LongType()), T.StructField("offset_s", T.IntegerType()), T.StructField("zone", T.StringType())])
 
@@ -281,23 +281,32 @@ def _shift(local_us: Column, zone: Column | str) -> Column:
     return F.unix_micros(F.to_utc_timestamp(F.timestamp_micros(local_us), zone))
 
 
-def estimate_zones(reads: DataFrame, group: str, ingested: str, candidates: list[str]) -> DataFrame:
-    """Per group the candidate history that fits its zoneless values best: ``group, est_zone, violations, n_values``.
+#: Zones that portals may declare, at most; there are about 600 in all.
+MAX_ZONES = 1000
 
-    A value later than its row's ingestion is a violation.  Ties go to the smaller total lag, then to the name.
-    One pass and one partial aggregation whatever the number of candidates; groups without zoneless values or
-    without ingestion times are absent.
+
+def estimate_zones(reads: DataFrame, group: list[str], ingested: str, candidates: list[str]) -> DataFrame:
+    """Per group the candidate offset history (a zone with its changes of offset) that fits its zoneless values best: the group's
+    columns, ``est_zone, violations, n_values, spread_s``.
+
+    A value later than its row's ingestion is a violation, and the fewest win.  Where several histories violate nothing more, the
+    one under which the lags to ingestion spread least is taken, as a wrong history shifts some of the year's lags by its changes
+    of offset; then the smaller lag, then the name.  One pass and one partial aggregation whatever the number of candidates;
+    groups without zoneless values or without ingestion times are absent.
     """
-    use = reads.where(F.col("read.local_us").isNotNull() & F.col("read.offset_s").isNull() & F.col("read.zone").isNull() & F.col(ingested).isNotNull() & F.col(group).isNotNull())
-    lags = use.select(group, *((F.unix_micros(F.col(ingested).cast("timestamp")) - _shift(F.col("read.local_us"), F.lit(z))).alias(f"_{i}") for i, z in enumerate(candidates)))
+    known = F.lit(True)
+    for g in group:
+        known = known & F.col(g).isNotNull()
+    use = reads.where(F.col("read.local_us").isNotNull() & F.col("read.offset_s").isNull() & F.col("read.zone").isNull() & F.col(ingested).isNotNull() & known)
+    lags = use.select(*group, *(((F.unix_micros(F.col(ingested).cast("timestamp")) - _shift(F.col("read.local_us"), F.lit(z))) / 1e6).alias(f"_{i}") for i, z in enumerate(candidates)))
     aggs = []
     for i in range(len(candidates)):
         lag = F.col(f"_{i}")
-        aggs += [F.sum((lag < 0).cast("bigint")).alias(f"v{i}"), F.sum(F.when(lag >= 0, lag / 1e6)).alias(f"s{i}")]
-    sums = lags.groupBy(group).agg(F.count(F.lit(1)).alias("n_values"), *aggs)
-    options = F.array(*(F.struct(F.col(f"v{i}").alias("violations"), F.coalesce(F.col(f"s{i}"), F.lit(0.0)).alias("lag_s"), F.lit(z).alias("zone")) for i, z in enumerate(candidates)))
+        aggs += [F.count_if(lag < 0).alias(f"v{i}"), F.avg(F.when(lag >= 0, lag)).alias(f"s{i}"), F.stddev_pop(F.when(lag >= 0, lag)).alias(f"d{i}")]
+    sums = lags.groupBy(*group).agg(F.count(F.lit(1)).alias("n_values"), *aggs)
+    options = F.array(*(F.struct(F.col(f"v{i}").alias("violations"), F.coalesce(F.round(f"d{i}"), F.lit(0.0)).alias("spread_s"), F.coalesce(F.round(f"s{i}"), F.lit(0.0)).alias("lag_s"), F.lit(z).alias("zone")) for i, z in enumerate(candidates)))
     best = sums.withColumn("best", F.array_min(options))
-    return best.select(group, F.col("best.zone").alias("est_zone"), F.col("best.violations").alias("violations"), "n_values")
+    return best.select(*group, F.col("best.zone").alias("est_zone"), F.col("best.violations").alias("violations"), "n_values", F.col("best.spread_s").alias("spread_s"))
 
 
 def to_utc(df: DataFrame, zone: Column) -> Column:
@@ -320,11 +329,12 @@ def normalise(df: DataFrame, value: str, portals: DataFrame, portal: str = "port
     packed = df.select(F.struct(*kept).alias("_row"), F.col(value).alias("_value"), F.col(portal).alias("_portal"), (F.col(ingested).cast("timestamp") if ingested else F.lit(None).cast("timestamp")).alias("_ingested"))
     reads = read_values(join_small(packed, dims, ["_portal"]), "_value", F.col("date_order"))
     zone = F.col("decl_zone")
-    if ingested is not None:
+    missing = ingested is not None and not df.where(F.col(portal).isNotNull()).select(F.col(portal).alias("_portal")).distinct().join(F.broadcast(dims.where("decl_zone is not null")), "_portal", "left_anti").isEmpty()
+    if missing:  # else every portal declares its zone, and nothing is to be estimated
         unknown = reads.where(F.col("decl_zone").isNull())
-        names = sorted({r[0] for r in portals.select("zone").where(F.col("zone").isNotNull()).distinct().limit(1000).collect()})
+        names = sorted({r["zone"] for r in bounded_rows(portals.select("zone").where(F.col("zone").isNotNull()).distinct(), MAX_ZONES, "portal zones")})
         if names:
-            est = estimate_zones(unknown, "_portal", "_ingested", names).select("_portal", "est_zone")
+            est = estimate_zones(unknown, ["_portal"], "_ingested", names).select("_portal", "est_zone")
             reads = join_small(reads, est, ["_portal"])
             zone = F.coalesce(F.col("decl_zone"), F.col("est_zone"))
     return reads.select("_row.*", to_utc(reads, zone).alias("utc_us"))

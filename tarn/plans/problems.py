@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarn.operators import nested, timestamps
-from tarn.sources.tables import bounded_rows, table
+from tarn.sources.tables import bounded_rows, join_small, table
 
 
 def _bridge(spark: SparkSession, d: str) -> DataFrame:
@@ -45,13 +45,33 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_zones(spark: SparkSession, d: str) -> DataFrame:
-    """Per portal the zone its zoneless ticket times point to, beside the declared one."""
+    """Per portal and field the zone its zoneless ticket times point to, beside the declared one."""
     sites = table(spark, d, "portal_site")
-    names = sorted({r["zone"] for r in bounded_rows(sites.select("zone").distinct(), 1000, "portal zones") if r["zone"]})
-    reads = timestamps.read_values(_values(spark, d).join(sites.select("portal", "date_order"), "portal", "left"), "value", F.col("date_order"))
-    est = timestamps.estimate_zones(reads, "portal", "ingested_at", names)
-    return est.join(sites.select("portal", F.col("zone").alias("declared_zone")), "portal", "left")
+    names = sorted({r["zone"] for r in bounded_rows(sites.select("zone").distinct(), timestamps.MAX_ZONES, "portal zones") if r["zone"]})
+    reads = timestamps.read_values(join_small(_values(spark, d), sites.select("portal", "date_order"), ["portal"]), "value", F.col("date_order"))
+    est = timestamps.estimate_zones(reads, ["portal", "field"], "ingested_at", names)
+    return join_small(est, sites.select("portal", F.col("zone").alias("declared_zone")), ["portal"])
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_bridge, p1_objects, p3_found, p3_zones)}
+def p1_tickets(spark: SparkSession, d: str) -> DataFrame:
+    """The tickets the bridge's rows belong to."""
+    return nested.heads(table(spark, d, "ticket"), table(spark, d, "ticket_raw"))
+
+
+def p1_comments(spark: SparkSession, d: str) -> DataFrame:
+    """Each distinct comment once, in typed columns."""
+    return nested.flat(p1_objects(spark, d), "comments")
+
+
+def p1_resolutions(spark: SparkSession, d: str) -> DataFrame:
+    """Each distinct resolution once."""
+    return nested.flat(p1_objects(spark, d), "resolutions")
+
+
+def p1_files(spark: SparkSession, d: str) -> DataFrame:
+    """Each distinct image and attachment once."""
+    return nested.flat(p1_objects(spark, d), "files")
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_bridge, p1_objects, p1_tickets, p1_comments, p1_resolutions, p1_files, p3_found, p3_zones)}
 ORACLES: dict[str, str] = {}

@@ -64,3 +64,45 @@ def test_empty_tables_and_long_texts(spark):
     big = json.dumps({"ticket_id": "1", "comments": [{"id": str(i), "body": "x" * 1000} for i in range(2000)]})
     df = spark.createDataFrame([(None, big)], "raw_id bigint, payload string")
     assert N.occurrences(N.parse_payloads(df)).where(F.col("row_id").isNull()).count() == 2000
+
+
+def test_any_depth(spark):
+    c = json.dumps({"ticket_id": "1", "comments": [{"id": "1"}]})
+    for _ in range(12):
+        c = json.dumps(c)
+    assert paths(spark, c) == ["comments[0]"]
+    deep = {"ticket_id": "1", "attachments": ["a"]}
+    for i in range(30):
+        deep = {f"k{i}": deep}
+    assert paths(spark, json.dumps(deep)) == ["attachments[0]"]
+
+
+def test_tickets_can_be_rebuilt_from_the_flat_tables(spark):
+    """Bridge, heads and flat tables hold everything: each ticket's nesting comes out of them again."""
+    leaf = lambda n: {"label": f"l{n}", "saved_path": f"p{n}"}
+    one = {"ticket_id": "7", "title": "T", "url": "u", "comments": [{"id": "1", "author": "a", "body": "x", "attachments": [leaf(1), leaf(2)], "images": [{"mime": "m", "saved_path": "q"}]}, {"id": "2", "body": "y", "attachments": [leaf(1)]}], "resolution": {"text": "done", "comments": [{"id": "1", "author": "a", "body": "x"}], "attachments": [leaf(2)]}, "attachments": [{"filename": "f", "saved_path": "r"}]}
+    two = {"ticket_id": "8", "title": None, "url": "v", "comments": [one["comments"][0]], "resolution": None, "attachments": []}
+    raw = spark.createDataFrame([(1, json.dumps(one)), (2, json.dumps(two)), (3, "junk")], "raw_id bigint, payload string")
+    b = N.occurrences(N.parse_payloads(raw))
+    objs = N.objects(b)
+    content = {}
+    for name in N.TABLES:
+        for r in N.flat(objs, name).collect():
+            content[r["object_hash"]] = {k: v for k, v in r.asDict().items() if k not in ("object_hash", "kind", "n_occurrences") and v is not None}
+    assert len(content) == objs.count()
+    built = {}
+    for r in sorted(N.bridge_rows(b).collect(), key=lambda r: (r["row_id"], r["path"].count("."), r["role"], r["ordinal"])):
+        at = built.setdefault(r["row_id"], {})
+        *above, _ = r["path"].split(".")
+        for step in above:
+            name, _, n = step.partition("[")
+            at = at[name][int(n[:-1])] if n else at[name]
+        if r["role"] == "resolution":
+            at["resolution"] = dict(content[r["object_hash"]])
+        else:
+            at.setdefault(r["role"], []).append(dict(content[r["object_hash"]]))
+    empty = N.heads(spark.createDataFrame([], "rec_id bigint, ticket_id string, title string, url string"), raw)
+    heads = {r["row_id"]: r for r in empty.collect()}
+    assert sorted(heads) == [1, 2]
+    full = lambda t: {k: v for k, v in t.items() if k not in ("ticket_id", "title", "url") and v}
+    assert built == {1: full(one), 2: full(two)} and [heads[i]["ticket_id"] for i in (1, 2)] == ["7", "8"] and heads[2]["title"] is None
