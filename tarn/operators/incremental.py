@@ -76,3 +76,51 @@ def running_failure_share(log: DataFrame, key: str, order: list[str], failed: st
     """The share of failures among the last ``window`` outcomes of each key."""
     w = Window.partitionBy(key).orderBy(*order).rowsBetween(-(window - 1), 0)
     return log.withColumn("failure_share", F.round(F.avg(F.col(failed).cast("double")).over(w), 6))
+
+
+def ingest_report(diff: DataFrame) -> DataFrame:
+    """What a run does by its diff, as one row: ``embedded`` (added or changed), ``deleted`` (changed or removed), ``unchanged`` and
+    the ``total`` left after it."""
+    state = F.col("state")
+    return diff.agg(
+        F.count_if(state.isin("added", "changed")).alias("embedded"), F.count_if(state.isin("changed", "removed")).alias("deleted"), F.count_if(state == "unchanged").alias("unchanged"), F.count_if(state != "removed").alias("total"),
+    )
+
+
+class EmptySource(ValueError):
+    """A source without rows, which would wipe a populated index."""
+
+
+def ingest(index: DataFrame, manifest: DataFrame, source: DataFrame, key: str = "id", sig: str = "sig", rebuild: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(index, manifest, diff) after a run: rows of changed and removed keys leave the index, those of added and changed ones enter.
+
+    ``source`` has the index's columns and ``sig``. An empty source for an index with rows is refused before anything is done;
+    ``rebuild`` (after a change of schema or model) takes every row anew."""
+    if source.isEmpty() and not index.isEmpty():
+        raise EmptySource("the source is empty; the index is left as it is")
+    now = source.groupBy(key).agg(F.max(sig).alias(sig))
+    diff = manifest_diff(now, manifest.where("false") if rebuild else manifest, key, sig)
+    if rebuild:
+        return source.select(*index.columns), now, diff
+    kept = delete(index, diff.where("state in ('changed', 'removed')"), key)
+    fresh = fetch(source, diff.where("state in ('added', 'changed')"), key)
+    return kept.unionByName(fresh.select(*index.columns)), now, diff
+
+
+def validate_groups(groups: DataFrame, items: DataFrame, key: str, count: str) -> DataFrame:
+    """Each group with how many items it has, whether it has any, and whether all have (``passed``)."""
+    n = items.groupBy(key).agg(F.count(F.lit(1)).alias(count))
+    rows = groups.join(n, key, "left").withColumn(count, F.coalesce(count, F.lit(0))).withColumn("ok", F.col(count) > 0)
+    return rows.join(F.broadcast(rows.agg(F.coalesce(F.bool_and("ok"), F.lit(True)).alias("passed"))))
+
+
+def legacy_state(state: DataFrame, nested: DataFrame, group: str, slugs: str) -> DataFrame:
+    """``key``: the state, or, if it has no keys, those of the older nested one, flattened to ``group|slug``."""
+    if not state.isEmpty():
+        return state.select("key")
+    return nested.select(group, F.explode(slugs).alias("_slug")).select(F.concat_ws("|", group, "_slug").alias("key")).distinct()
+
+
+def worklist(items: DataFrame, retry: DataFrame, keys: list[str]) -> DataFrame:
+    """The items among those to retry, each once."""
+    return items.join(retry.select(*keys).distinct(), keys, "left_semi")

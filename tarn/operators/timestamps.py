@@ -283,16 +283,18 @@ def _shift(local_us: Column, zone: Column | str) -> Column:
 
 #: Zones that portals may declare, at most; there are about 600 in all.
 MAX_ZONES = 1000
+#: The share of values by which a history may violate more than the best one.
+SLACK = 0.005
 
 
 def estimate_zones(reads: DataFrame, group: list[str], ingested: str, candidates: list[str]) -> DataFrame:
     """Per group the candidate offset history (a zone with its changes of offset) that fits its zoneless values best: the group's
-    columns, ``est_zone, violations, n_values, spread_s``.
+    columns, ``est_zone, violations, n_values, lag_s``.
 
-    A value later than its row's ingestion is a violation, and the fewest win.  Where several histories violate nothing more, the
-    one under which the lags to ingestion spread least is taken, as a wrong history shifts some of the year's lags by its changes
-    of offset; then the smaller lag, then the name.  One pass and one partial aggregation whatever the number of candidates;
-    groups without zoneless values or without ingestion times are absent.
+    A value later than its row's ingestion is a violation.  Histories with the fewest violations, or at most ``SLACK`` of the values
+    more (single rows are wrong under any history), stay; of them the one with the smallest mean lag to ingestion is taken, as
+    histories further west would violate; then the name decides.  One pass and one partial aggregation whatever the number of
+    candidates; groups without zoneless values or without ingestion times are absent.
     """
     known = F.lit(True)
     for g in group:
@@ -302,11 +304,13 @@ def estimate_zones(reads: DataFrame, group: list[str], ingested: str, candidates
     aggs = []
     for i in range(len(candidates)):
         lag = F.col(f"_{i}")
-        aggs += [F.count_if(lag < 0).alias(f"v{i}"), F.avg(F.when(lag >= 0, lag)).alias(f"s{i}"), F.stddev_pop(F.when(lag >= 0, lag)).alias(f"d{i}")]
+        aggs += [F.count_if(lag < 0).alias(f"v{i}"), F.avg(lag).alias(f"s{i}")]
     sums = lags.groupBy(*group).agg(F.count(F.lit(1)).alias("n_values"), *aggs)
-    options = F.array(*(F.struct(F.col(f"v{i}").alias("violations"), F.coalesce(F.round(f"d{i}"), F.lit(0.0)).alias("spread_s"), F.coalesce(F.round(f"s{i}"), F.lit(0.0)).alias("lag_s"), F.lit(z).alias("zone")) for i, z in enumerate(candidates)))
-    best = sums.withColumn("best", F.array_min(options))
-    return best.select(*group, F.col("best.zone").alias("est_zone"), F.col("best.violations").alias("violations"), "n_values", F.col("best.spread_s").alias("spread_s"))
+    options = F.array(*(F.struct(F.round(f"s{i}").alias("lag_s"), F.lit(z).alias("zone"), F.col(f"v{i}").alias("violations")) for i, z in enumerate(candidates)))
+    fewest = F.least(*(F.col(f"v{i}") for i in range(len(candidates))), F.col("n_values"))
+    stay = F.filter(options, lambda o: o["violations"] <= F.col("_fewest") + F.col("n_values") * SLACK)
+    best = sums.withColumn("_fewest", fewest).withColumn("best", F.array_min(stay))
+    return best.select(*group, F.col("best.zone").alias("est_zone"), F.col("best.violations").alias("violations"), "n_values", F.col("best.lag_s").alias("lag_s"))
 
 
 def to_utc(df: DataFrame, zone: Column) -> Column:

@@ -1,5 +1,5 @@
 import datetime as dt
-
+from pathlib import Path
 import pytest
 
 from tarn.operators import timestamps as T
@@ -78,3 +78,16 @@ def test_empty(spark):
     df = spark.createDataFrame([], "id bigint, v string, portal string, seen timestamp")
     sites = spark.createDataFrame([], "portal string, zone string, date_order string")
     assert T.normalise(df, "v", sites, ingested="seen").count() == 0
+
+
+@pytest.mark.skipif(not Path("/root/testdata/sf0.01").exists(), reason="no test tables")
+def test_hidden_zones_are_found_again(spark):
+    """The estimate alone, without the declared zones, names a history with the declared one's offsets."""
+    import datetime as dt
+    from zoneinfo import ZoneInfo
+
+    from tarn.plans import problems
+
+    same = lambda a, b: all(dt.datetime(2025, m, 15, tzinfo=ZoneInfo(a)).utcoffset() == dt.datetime(2025, m, 15, tzinfo=ZoneInfo(b)).utcoffset() for m in range(1, 13))
+    rows = problems.p3_zones(spark, "/root/testdata/sf0.01").where("field = 'ticket.created_at' and declared_zone is not null").collect()
+    assert len(rows) >= 9 and sum(same(r["est_zone"], r["declared_zone"]) for r in rows) >= len(rows) - 1
