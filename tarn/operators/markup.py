@@ -13,9 +13,15 @@ from pyspark.sql import types as T
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 SKIP = frozenset("script style noscript template head".split())
 CLOSED_BY = {"p": frozenset("p div ul ol table h1 h2 h3 h4 h5 h6 pre blockquote li section article".split()), "li": frozenset(["li"]), "tr": frozenset(["tr"]), "td": frozenset(["td", "th", "tr"]), "th": frozenset(["td", "th", "tr"])}
-# Note boxes and how they are named, and column names with their synonyms.
+# Note boxes and how they are named, and the names of release-note columns by their headings.
 NOTES = {"note": "Note", "warning": "Warning", "tip": "Tip", "info": "Note", "information": "Note"}
-HEADERS = {"id": "id", "ticket": "id", "ticket id": "id", "key": "id", "description": "description", "details": "description", "summary": "description", "impact": "impact", "module": "module", "component": "module"}
+HEADERS = {
+    "sr. #": "sno", "sr #": "sno", "sr.#": "sno", "s.no": "sno", "sno": "sno", "#": "sno", "no": "sno",
+    "task id": "id", "tfs/portal id": "id", "portal/tfs id": "id", "tfs id": "id", "portal id": "id", "id": "id",
+    "module": "module", "new feature/ improvement of current feature": "feature_type", "prerequisites": "prerequisites",
+    "details": "details", "description": "details", "configuration changes": "config_changes", "key feature": "key_feature", "key features": "key_feature",
+    "is there a change to previous behavior?": "behavior_change", "is there a change to previous behaviour?": "behavior_change", "is this feature 'on' by default?": "on_by_default",
+}
 
 
 @dataclass(slots=True)
@@ -25,10 +31,16 @@ class Node:
     kids: list[Node | str] = field(default_factory=list)
 
     def walk(self):
-        yield self
-        for k in self.kids:
-            if isinstance(k, Node):
-                yield from k.walk()
+        """The node and all below it, in document order."""
+        left = [self]
+        while left:
+            n = left.pop()
+            yield n
+            left += [k for k in reversed(n.kids) if isinstance(k, Node)]
+
+    @property
+    def classes(self) -> set[str]:
+        return set(self.attrs.get("class", "").split())
 
     def text(self) -> str:
         return "".join(k if isinstance(k, str) else (k.text() if k.tag not in SKIP else "") for k in self.kids)

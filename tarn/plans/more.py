@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarn.operators import evaluation, incremental, library, products
+from tarn.operators import evaluation, incremental, library, portal, products
 from tarn.plans.reference import ORACLES as _SEEN
 from tarn.sources.tables import table
 
@@ -218,3 +218,19 @@ def changelog(s: SparkSession, d: str) -> DataFrame:
 def master_index(s: SparkSession, d: str) -> DataFrame:
     """Per product its versions, of which the index shows ten, and how many more there are."""
     return library.master_index(_versions(s, d).select("product", "version", "art_no").distinct()).select("product", "versions", "more")
+
+
+# ---------------------------------------------------------------- portal pages
+
+
+@query(
+    r"""SELECT rec_id, nullif(trim(regexp_replace(coalesce(status,''), '\s+', ' ', 'g')), '') AS status, nullif(trim(regexp_replace(coalesce(organization,''), '\s+', ' ', 'g')), '') AS organization,
+    nullif(trim(regexp_replace(coalesce(product,''), '\s+', ' ', 'g')), '') AS product FROM ticket"""
+)
+def portal_fields(s: SparkSession, d: str) -> DataFrame:
+    """Fields read back from ticket pages. As there are no pages among the tables, each ticket's is written here in the portal's markup."""
+    plain = lambda c: F.replace(F.replace(F.replace(F.coalesce(c, F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    field = lambda label, c: F.concat(F.lit(f'<button class="floating-dropdown-btn"><span class="floating-dropdown-label">{label}<b>*</b></span><span class="floating-dropdown-value">'), plain(c), F.lit("</span></button>"))
+    pages = table(s, d, "ticket").select("rec_id", F.lit("").alias("ticket_id"), F.lit("http://portal").alias("base"), F.concat(F.lit("<body><h1>Ticket</h1>"), field("Status", "status"), field("Organization", "organization"), field("Project", "product"), F.lit("</body>")).alias("html"))
+    got = portal.ticket_records(pages)
+    return got.select("rec_id", *(F.col("record.fields")[c].alias(c) for c in ("status", "organization", "product")))

@@ -41,22 +41,40 @@ def test_decisions_and_messages(spark):
     assert [r[0] for r in A.undistilled(q, rec).collect()] == ["b"]
 
 
-PAGE = """<table><tr><td>Total Status:*</td><td><select><option value="">-</option><option selected>Open</option></select></td></tr><tr><td>Status</td><td><input name=s value="New"></td></tr>
-<tr><td>Owner</td><td>Ann <a href="#">edit</a></td></tr><tr><td>Empty</td><td></td></tr></table>
-<div><div><h4>Comment 3 posted by Bob on 2024-01-02 (internal)</h4><p>It is <b>done</b></p><img src="data:image/png;base64,AA"></div></div>"""
+OLD = """<table><tr><td>Total Status:</td><td><select><option value="">-</option><option selected>Open</option></select></td></tr><tr><td>Status</td><td><input name=s value="New"></td></tr>
+<tr><td>CSQA Owner:</td><td>Ann <a href="#">edit</a></td></tr><tr><td>Severity</td><td>N/A</td></tr><tr><td>Created by joe on 2024-01-02 10:00:00 AM</td><td></td></tr>
+<tr><td><table><tr><td>Internal comment 12 posted by bob on 2024-01-03 11:00:00 PM</td></tr></table><table><tr><td>The file was <b>not found</b><img src="data:image/png;base64,AA=="></td></tr></table></td></tr>
+<tr><td><table><tr><td>email 13 sent to a@b.example by eve on 2024-01-04 1:00:00 AM</td></tr></table><table><tr><td></td></tr></table></td></tr></table>"""
+CARD = '<div class="p-2 rounded-lg border bg-white"><span>{head} </span><a>{who}</a> on Jan 3, 2024 at 4:05 PM {badge}<div class="comment-html-content"><p>{body}</p></div>{files}</div>'
+NEW = (
+    "<html><head><title>Ticket ID 77 - Rates are late</title></head><body><h1>Ticket #77</h1> Created 01/02/2024 by joe "
+    '<button class="floating-dropdown-btn"><span class="floating-dropdown-label">Status<i>*</i></span><span class="floating-dropdown-value">Open</span></button>'
+    '<button class="floating-dropdown-btn"><span class="floating-dropdown-label">Project</span><span class="floating-dropdown-value"> Trade  Desk </span></button><input type="checkbox" checked>'
+    + CARD.format(head="comment 5 posted by", who="Bob", badge="<span>Internal</span>", body="It is done.</p><p>comment 9 posted by nobody", files='<div class="mt-3"><p class="text-sm">a.txt</p><button>Download</button></div>')
+    + CARD.format(head="email 6 received from", who="Eve", badge="", body="internal words", files="")
+    + "</body></html>"
+)
 
 
 def test_portal(spark):
-    got = P.ticket(PAGE, "http://t/1", [("total status", "total"), ("status", "status"), ("owner", "owner"), ("empty", "empty")])
-    assert (got["total"], got["status"], got["owner"], "empty" in got) == ("Open", "New", "Ann", False)
-    c = got["comments"][0]
-    assert (c["id"], c["author"], c["internal"], c["body"], len(c["images"]), len(got["comments"])) == ("3", "Bob", True, "It is done", 1, 1)
-    assert P.ticket("<p>Ticket not found</p>", "u", []) == P.ticket(None, "u", []) == {}
-    assert P.created("Created by Ann Lee on 2024-01-02 10:00") == ("Ann Lee", "2024-01-02 10:00") and P.created(None) == ("", "")
+    got = P.old_ticket(OLD, "9", "http://t/")
+    assert (got["total_status"], got["status"], got["csqa_owner"], "severity" in got, got["created_by"], got["created_at"], got["url"]) == ("Open", "New", "Ann", False, "joe", "2024-01-02 10:00:00 AM", "http://t/edit_bug.aspx?id=9")
+    assert [(c["id"], c["author"], c["internal"], c["body"], len(c["images"])) for c in got["comments"]] == [("12", "bob", True, "The file was not found", 1), ("13", "eve", False, "", 0)]
+    assert P.old_ticket("<p>Ticket not found: 9</p>", "9", "u") == P.old_ticket(None, "9", "u") == P.new_ticket("<p>All tickets</p>", "9", "u") == {}
+    assert P.old_resolution('<form name="resolutionForm"><textarea> it  works </textarea></form>')["text"] == "it works" and P.old_resolution("Ticket not found") == P.NO_RESOLUTION
+    new = P.new_ticket(NEW, "70", "http://s")
+    assert (new["ticket_id"], new["title"], new["status"], new["product"], new["created_at"], new["created_by"], new["awaiting_production_deployment"]) == ("77", "Rates are late", "Open", "Trade Desk", "01/02/2024", "joe", True)
+    assert [(c["id"], c["author"], c["date"], c["internal"], c["attachments"]) for c in new["comments"]] == [("5", "Bob", "Jan 3, 2024 at 4:05 PM", True, [{"label": "a.txt"}]), ("6", "Eve", "Jan 3, 2024 at 4:05 PM", False, [])]
+    assert new["comments"][0]["body"] == "It is done.\ncomment 9 posted by nobody"
+    panel = '<div class="resolution-container"><div class="post-content">Use <b>it</b></div><div class="rounded-lg"><p class="break-words">r.pdf</p><button title="Download"></button></div></div>'
+    assert P.new_resolution(panel) == {"text": "Use it", "comments": [], "attachments": [{"label": "r.pdf"}]} and P.new_files(panel) == [{"label": "r.pdf"}] and P.new_resolution(NEW) == P.NO_RESOLUTION
+    pages = spark.createDataFrame([(NEW, "77", "http://s"), ("<p>x</p>", "1", "u"), (None, None, None)], "html string, ticket_id string, base string")
+    recs = [r["record"] for r in P.ticket_records(pages).collect()]
+    assert recs[0]["fields"] == {"status": "Open", "product": "Trade Desk"} and len(recs[0]["comments"]) == 2 and recs[1:] == [None, None]
     f = spark.createDataFrame([("d", "a.txt", 1), ("d", "a.txt", 2), ("d", "b", 3), ("d", "b", 4), ("e", "a.txt", 5)], "folder string, name string, i int")
     assert [r["unique_name"] for r in P.unique_names(f, "folder", "name", "i").orderBy("i").collect()] == ["a.txt", "a_1.txt", "b", "b_1", "a.txt"]
     v = spark.createDataFrame([("1.2.3", "x", 1), ("1.2.3", "Ext A", 2), ("1.2.3", "Ext A", 3)], "v string, t string, i int")
     assert [r["unique_version"] for r in P.unique_versions(v, "v", "t", "i").orderBy("i").collect()] == ["1.2.3", "1.2.3-ext_a", "1.2.3-ext_a-1"]
     d = spark.createDataFrame([('attachment; filename="x.pdf"', None, None, 1), (None, "r.csv", None, 2), (None, "no ending", "image/png", 3)], "d string, l string, m string, n int")
     assert [r[0] for r in d.select(P.attachment_name(*(F.col(c) for c in "dlmn"))).collect()] == ["x.pdf", "r.csv", "attachment_3.png"]
-    assert spark.range(1).select(P.is_not_found(F.lit("Page NOT FOUND")), P.is_login(F.lit("<input type='password'>")), P.is_browser_dead(F.lit(None))).first()[:] == (True, True, False)
+    assert spark.range(1).select(P.is_login(F.lit("Sign in")), P.is_old_login(F.lit('<input id="user"><input id="pw">')), P.is_browser_dead(F.lit("Page closed")), P.is_browser_dead(F.lit(None))).first()[:] == (True, True, True, False)

@@ -50,8 +50,9 @@ def test_ingest(spark):
 
 def test_version_pages(spark):
     item = "map<string,string>"
-    rows = [("trade_desk", "10.2.1", "T", "u", "now", "s.png", [{"id": "1", "details": "a|b"}, {"details": "c\nd", "risk": "low"}], [], None, None), ("trade_desk", "9.1", None, "u", None, None, None, [{"id": "", "note": "n"}], None, None)]
-    df = spark.createDataFrame(rows, f"product string, version string, title string, url string, scraped_at string, screenshot string, enhancements array<{item}>, bugs array<{item}>, tasks array<{item}>, schema_changes array<{item}>")
+    rows = [("trade_desk", "10.2.1", "T", "u", "now", "s.png", '[{"id": "1", "details": "a|b"}, {"details": "c\\nd", "risk": "low"}]', "[]", None, None), ("trade_desk", "9.1", None, "u", None, None, None, '[{"id": "", "note": "n"}]', None, None)]
+    df = spark.createDataFrame(rows, "product string, version string, title string, url string, scraped_at string, screenshot string, enhancements string, bugs string, tasks string, schema_changes string")
+    df = df.withColumns({c: F.from_json(c, f"array<{item}>") for c in L.SECTIONS})
     md = {r["version"]: r["markdown"] for r in L.version_markdown(df).collect()}
     assert md["10.2.1"].startswith("# Trade Desk — T\n\n**Version:** 10.2.1  \n**URL:** u  \n**Scraped:** now  \n**Screenshot:** `s.png`\n\n## Enhancements and New Features\n\n| id | details | risk |\n|---|---|---|\n| 1 | a\\|b |  |\n|  | c d | low |\n")
     assert "# Trade Desk — Version 9.1" in md["9.1"] and "## Bugs" in md["9.1"]
