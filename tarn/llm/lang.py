@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import math
 import re
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -76,6 +77,7 @@ LANGS = tuple(NAMES)
 _BY_NAME = {name: code for code, names in NAMES.items() for name in (code, *names.split())}
 
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
+_LETTER = re.compile(r"[^\W\d_]")
 _SENTENCE_END = re.compile(r"[.!?…]+[\"'”’»)\]*_]*(?=\s)|[。！？]+[」』”）]*|(?<=\s)/(?=\s)|(?<=\s)\|(?=\s)")
 _FENCE = re.compile(r"^\s*(?:```|~~~)")
 _CODE = re.compile(
@@ -143,12 +145,12 @@ def words_of(text: str) -> list[str]:
     texts = _WORD.findall(text)
     if not texts:
         return []
-    if "".join(texts).isupper():
+    if text.isupper():
         return [w.lower() for w in texts]
     plain = [w for i, w in enumerate(texts) if i == 0 or not w[0].isupper()]
     if sum(map(len, plain)) >= 4:
         texts = plain
-    return [w.lower() for w in texts if not (w.isupper() and 1 < len(w) <= 5 and w.isascii())]
+    return [w.lower() for w in texts if len(w) > 5 or len(w) == 1 or not w.isupper() or not w.isascii()]
 
 
 def units(text: str) -> list[Unit]:
@@ -164,9 +166,10 @@ def units(text: str) -> list[Unit]:
             continue
         cuts = [0, *(m.end() for m in _SENTENCE_END.finditer(line)), len(line)]
         for a, z in zip(cuts, cuts[1:], strict=False):
-            first = next((i for i in range(a, z) if line[i].isalpha()), None)
-            if first is None:
+            letter = _LETTER.search(line, a, z)
+            if letter is None:
                 continue
+            first = letter.start()
             ws = words_of(line[a:z])
             letters = sum(map(len, ws))
             if len(cuts) == 2 and line.rstrip()[-1:].isalnum():  # a heading: names weigh heavily in it
@@ -187,17 +190,16 @@ class Profiles:
         for k, lang in enumerate(self.langs):
             for r, g in enumerate(ranked[lang][: self.length]):
                 self.ranks[self.row[g], k] = r
-        self.known: dict[str, list[int]] = {}
-
-    def rows(self, word: str) -> list[int]:
-        got = self.known.get(word)
-        if got is None:
-            get = self.row.get
-            got = [get(g, 0) for g in grams(word)]
-            if len(word) <= 40:
-                if len(self.known) > 200_000:
-                    self.known.clear()
-                self.known[word] = got
+        self.known: dict[str, bytes] = {}
+
+    def rows(self, word: str) -> bytes:
+        """The rows of a word's n-grams, as 32-bit numbers; those of recent words are remembered."""
+        get = self.row.get
+        got = array("i", [get(g, 0) for g in grams(word)]).tobytes()
+        if len(word) <= 40:
+            if len(self.known) > 200_000:
+                self.known.clear()
+            self.known[word] = got
         return got
 
     def distances(self, texts: list[list[str]]) -> np.ndarray:
@@ -206,17 +208,18 @@ class Profiles:
         All lists are compared at once: (list, n-gram) pairs are counted by one sort, and each list's n-grams get
         their own ranks from the most frequent down, equal counts sharing their middle rank."""
         out = np.ones((len(texts), len(self.langs)))
-        rows: list[int] = []
+        known, rows = self.known.get, self.rows
+        parts: list[bytes] = []
         sizes = np.zeros(len(texts), dtype=np.int64)
         for i, words in enumerate(texts):
-            before = len(rows)
-            for w in words:
-                rows += self.rows(w)
-            sizes[i] = len(rows) - before
-        if not rows:
+            own = b"".join([known(w) or rows(w) for w in words])
+            parts.append(own)
+            sizes[i] = len(own) // 4
+        found = np.frombuffer(b"".join(parts), dtype=np.int32)
+        if not len(found):
             return out
         width = len(self.ranks)
-        pairs, counts = np.unique(np.repeat(np.arange(len(texts)) * width, sizes) + np.array(rows, dtype=np.int64), return_counts=True)
+        pairs, counts = np.unique(np.repeat(np.arange(len(texts)) * width, sizes) + found, return_counts=True)
         at = pairs // width
         order = np.lexsort((-counts, at))
         at, ids, counts = at[order], (pairs % width)[order], counts[order]
@@ -224,7 +227,11 @@ class Profiles:
         tie = np.flatnonzero(np.r_[True, (at[1:] != at[:-1]) | (counts[1:] != counts[:-1])])
         shared = np.diff(np.r_[tie, len(at)])
         own = np.repeat(tie + shared / 2, shared) - np.repeat(first, np.diff(np.r_[first, len(at)]))
-        place = np.minimum(np.abs(self.ranks[ids] - own[:, None].astype(np.float32)), self.length) * counts[:, None].astype(np.float32)
+        place = self.ranks[ids]
+        place -= own[:, None].astype(np.float32)
+        np.abs(place, out=place)
+        np.minimum(place, self.length, out=place)
+        place *= counts[:, None].astype(np.float32)
         out[at[first]] = np.add.reduceat(place, first, axis=0) / (sizes[at[first]][:, None] * self.length)
         return out
 
