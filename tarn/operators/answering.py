@@ -160,12 +160,6 @@ def admitted(files: DataFrame, owner: str, order: str, most: int, endings: list[
     return ok.withColumn("_n", F.row_number().over(Window.partitionBy(owner).orderBy(order, "name"))).where(F.col("_n") <= most).drop("_n")
 
 
-def row_line(identity: Column, details: Column) -> Column:
-    """``- **id** — details``; without an id the first detail alone."""
-    first = F.get(F.filter(details, lambda x: F.trim(x) != ""), F.lit(0))
-    return F.when(F.trim(identity) != "", F.concat(F.lit("- **"), identity, F.lit("** — "), F.coalesce(first, F.lit("")))).otherwise(F.concat(F.lit("- "), F.coalesce(first, F.lit(""))))
-
-
 def hours_minutes(seconds: Column) -> Column:
     m = F.floor(seconds / 60)
     return F.when(m >= 60, F.concat(F.floor(m / 60).cast("string"), F.lit("h "), (m % 60).cast("string"), F.lit("m"))).otherwise(F.concat(m.cast("string"), F.lit("m")))

@@ -55,17 +55,20 @@ def refers_back(text: Column) -> Column:
 
 
 def titles(turns: DataFrame, conv: str, turn: str, content: str, role: str = "role", width: int = 60) -> DataFrame:
-    """A title per conversation: the first ticket any question refers to, else the first question, shortened."""
-    q = F.col(role) == "user"
+    """A title per conversation: the first ticket any question refers to, else the first question, shortened, else ``New chat``."""
+    mine = F.col(role) == "user"
     ref = F.get(X.ticket_refs(F.col(content)), F.lit(0))
     text = X.collapse(F.col(content))
-    g = turns.where(q & (text != "")).groupBy(conv).agg(F.min_by(ref, F.when(ref.isNotNull(), F.col(turn))).alias("_ref"), F.min_by(text, F.col(turn)).alias("_first"))
-    return g.select(conv, F.when(F.col("_ref").isNotNull(), F.concat(F.lit("Ticket #"), F.col("_ref"))).when(F.length("_first") > width, F.concat(F.substring("_first", 1, width - 1), F.lit("…"))).otherwise(F.col("_first")).alias("title"))
+    g = turns.groupBy(conv).agg(F.min_by(ref, F.when(mine & ref.isNotNull(), F.col(turn))).alias("_ref"), F.min_by(text, F.when(mine & (text != ""), F.col(turn))).alias("_first"))
+    short = F.when(F.length("_first") > width, F.concat(F.rtrim(F.substring("_first", 1, width - 1)), F.lit("…"))).otherwise(F.col("_first"))
+    return g.select(conv, F.when(F.col("_ref").isNotNull(), F.concat(F.lit("Ticket #"), F.col("_ref"))).otherwise(F.coalesce(short, F.lit("New chat"))).alias("title"))
 
 
-def search(turns: DataFrame, conv: str, content: str, needle: str) -> DataFrame:
-    """Conversations with the needle in any turn, in any case."""
-    return turns.groupBy(conv).agg(F.max(F.coalesce(F.lower(content).contains(needle.lower()), F.lit(False))).alias("hit")).where("hit").select(conv)
+def search(turns: DataFrame, conv: str, turn: str, content: str, needle: str) -> DataFrame:
+    """Conversations with the needle in their title or any turn, in any case."""
+    has = lambda c: F.coalesce(F.lower(c).contains(needle.lower()), F.lit(False))
+    named = titles(turns, conv, turn, content).where(has(F.col("title"))).select(conv)
+    return turns.where(has(F.col(content))).select(conv).union(named).distinct()
 
 
 def cache_key(norm: Column, product: Column, model: Column, version: str) -> Column:

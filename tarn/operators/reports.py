@@ -66,12 +66,13 @@ def eval_accuracy(cases: DataFrame) -> DataFrame:
 
 
 def stability(runs: DataFrame, case: str, run: str, sources: str) -> DataFrame:
-    """Mean pairwise Jaccard similarity of the sources of a case's runs; runs of a case are few, pairs are per case."""
+    """Mean pairwise Jaccard similarity of the sources of a case's runs, 1 for a single run; runs of a case are few, pairs are per case."""
     a, b = runs.alias("a"), runs.alias("b")
     both = a.join(b, (F.col(f"a.{case}") == F.col(f"b.{case}")) & (F.col(f"a.{run}") < F.col(f"b.{run}")))
     union = F.size(F.array_union(f"a.{sources}", f"b.{sources}"))
     j = F.when(union == 0, 1.0).otherwise(F.size(F.array_intersect(f"a.{sources}", f"b.{sources}")) / union)
-    return both.groupBy(F.col(f"a.{case}").alias(case)).agg(F.round(F.avg(j), 6).alias("stability"))
+    pairs = both.groupBy(F.col(f"a.{case}").alias(case)).agg(F.round(F.avg(j), 4).alias("stability"))
+    return runs.select(case).distinct().join(pairs, case, "left").withColumn("stability", F.coalesce("stability", F.lit(1.0)))
 
 
 def refused(answer: Column, markers: list[str]) -> Column:

@@ -128,10 +128,12 @@ def ticket_dates(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "ticket").select("rec_id", X.iso_date(F.col("created_at")).alias("day"))
 
 
-@query()
+@query("SELECT chat_id, count(DISTINCT id) AS n_ids FROM (SELECT chat_id, unnest(range(greatest(log_id - 2, 0), log_id + 1)) AS id FROM usage_log) GROUP BY chat_id")
 def id_ranges(s: SparkSession, d: str) -> DataFrame:
-    spec = F.concat_ws(", ", F.collect_list(F.concat(F.col("log_id"), F.lit("-"), F.col("log_id") - 2)))
-    return table(s, d, "usage_log").groupBy("chat_id").agg(spec.alias("spec")).select("chat_id", F.size(X.id_ranges(F.col("spec"))).alias("n_ids"))
+    """The distinct ids of each chat's ranges, read row by row; a hot chat is counted in parts."""
+    spec = F.concat_ws("-", "log_id", F.greatest(F.col("log_id") - 2, F.lit(0)))
+    ids = table(s, d, "usage_log").select("chat_id", F.explode(X.id_ranges(spec)).alias("id"))
+    return ids.groupBy("chat_id").agg(F.countDistinct("id").alias("n_ids"))
 
 
 # ---------------------------------------------------------------- redaction
@@ -588,21 +590,26 @@ def query_fusion(s: SparkSession, d: str) -> DataFrame:
     return conversation.fused_query(_turns(s, d), "rec_id", ["turn"], "content", asked).select("rec_id", "turn", "search_query")
 
 
-@query(
-    rf"""WITH {_TURNS}, q AS (SELECT rec_id, turn, trim(regexp_replace(coalesce(content,''), '\s+', ' ', 'g')) AS t, regexp_extract_all(coalesce(content,''), '(?i)(?:ticket|tickets|bug|incident|#)\s*#?\s*(\d{{3,7}})', 1)[1] AS ref FROM turns WHERE role = 'user'),
-    g AS (SELECT rec_id, arg_min(ref, turn) FILTER (ref IS NOT NULL) AS ref, arg_min(t, turn) AS t FROM q WHERE t <> '' GROUP BY rec_id)
-    SELECT rec_id, CASE WHEN ref IS NOT NULL THEN 'Ticket #' || ref WHEN length(t) > 60 THEN substr(t, 1, 59) || '…' ELSE t END AS title FROM g"""
-)
+_TITLES = rf"""q AS (SELECT rec_id, turn, role, trim(regexp_replace(coalesce(content,''), '\s+', ' ', 'g')) AS t, regexp_extract_all(coalesce(content,''), '(?i)(?:ticket|tickets|bug|incident|#)\s*#?\s*(\d{{3,7}})', 1)[1] AS ref FROM turns),
+g AS (SELECT rec_id, arg_min(ref, turn) FILTER (role = 'user' AND ref IS NOT NULL) AS ref, arg_min(t, turn) FILTER (role = 'user' AND t <> '') AS t FROM q GROUP BY rec_id),
+titles AS (SELECT rec_id, CASE WHEN ref IS NOT NULL THEN 'Ticket #' || ref WHEN t IS NULL THEN 'New chat' WHEN length(t) > 60 THEN rtrim(substr(t, 1, 59)) || '…' ELSE t END AS title FROM g)"""
+
+
+@query(f"WITH {_TURNS}, {_TITLES} SELECT rec_id, title FROM titles")
 def auto_titles(s: SparkSession, d: str) -> DataFrame:
     return conversation.titles(_turns(s, d), "rec_id", "turn", "content")
 
 
-@query(f"WITH {_TURNS} SELECT DISTINCT rec_id FROM turns WHERE contains(lower(coalesce(content,'')), 'settlement')")
+@query(f"WITH {_TURNS}, {_TITLES} SELECT rec_id FROM turns WHERE contains(lower(coalesce(content,'')), 'settlement') UNION SELECT rec_id FROM titles WHERE contains(lower(title), 'settlement')")
 def chat_search(s: SparkSession, d: str) -> DataFrame:
-    return conversation.search(_turns(s, d), "rec_id", "content", "Settlement")
+    """Chats with the word in their title or any turn."""
+    return conversation.search(_turns(s, d), "rec_id", "turn", "content", "Settlement")
 
 
-@query()
+_POINTS_BACK = r"regexp_matches(coalesce(content,''), '(?i)(?:^|[^\p{L}\p{Nd}_])" + X.FOLLOW_UP_WORDS.removeprefix(r"(?i)\b").removesuffix(r"\b") + r"(?:[^\p{L}\p{Nd}_]|$)')"
+
+
+@query(rf"WITH {_TURNS}, t AS (SELECT *, trim(regexp_replace(coalesce(content,''), '\s+', ' ', 'g')) AS t FROM turns) SELECT rec_id, turn::int AS turn, (CASE WHEN t = '' THEN 0 ELSE len(string_split(t, ' ')) END) < 5 OR {_POINTS_BACK} AS refers_back FROM t")
 def follow_ups(s: SparkSession, d: str) -> DataFrame:
     return _turns(s, d).select("rec_id", "turn", conversation.refers_back(F.col("content")).alias("refers_back"))
 
@@ -639,8 +646,9 @@ def eval_accuracy(s: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    """WITH r AS (SELECT chat_id, lower(trim(model)) AS run, list(DISTINCT retrieved_chunk) FILTER (retrieved_chunk IS NOT NULL) AS src FROM usage_log WHERE model IS NOT NULL AND chat_id IS NOT NULL GROUP BY ALL), n AS (SELECT chat_id, run, coalesce(src, []) AS src FROM r)
-    SELECT a.chat_id, round(avg(CASE WHEN len(list_distinct(list_concat(a.src, b.src))) = 0 THEN 1.0 ELSE len(list_intersect(a.src, b.src)) / len(list_distinct(list_concat(a.src, b.src)))::double END), 6) AS stability FROM n a JOIN n b ON a.chat_id = b.chat_id AND a.run < b.run GROUP BY a.chat_id"""
+    """WITH r AS (SELECT chat_id, lower(trim(model)) AS run, list(DISTINCT retrieved_chunk) FILTER (retrieved_chunk IS NOT NULL) AS src FROM usage_log WHERE model IS NOT NULL AND chat_id IS NOT NULL GROUP BY ALL), n AS (SELECT chat_id, run, coalesce(src, []) AS src FROM r),
+    p AS (SELECT a.chat_id, avg(CASE WHEN len(list_distinct(list_concat(a.src, b.src))) = 0 THEN 1.0 ELSE len(list_intersect(a.src, b.src)) / len(list_distinct(list_concat(a.src, b.src)))::double END) AS x FROM n a JOIN n b ON a.chat_id = b.chat_id AND a.run < b.run GROUP BY a.chat_id)
+    SELECT c.chat_id, coalesce(round(x, 4), 1.0) AS stability FROM (SELECT DISTINCT chat_id FROM n) c LEFT JOIN p ON c.chat_id = p.chat_id"""
 )
 def source_stability(s: SparkSession, d: str) -> DataFrame:
     runs = table(s, d, "usage_log").where("model is not null and chat_id is not null").groupBy("chat_id", F.lower(F.trim("model")).alias("run")).agg(F.collect_set("retrieved_chunk").alias("src"))
@@ -784,7 +792,13 @@ def related_tickets(s: SparkSession, d: str) -> DataFrame:
     return answering.related_tickets(context, hits.join(rows, "doc_id"))
 
 
-@query()
+_SHOWN = "CASE coalesce(product,'') " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in products.DISPLAY.items()) + " ELSE '' END"
+_SUGGESTED = f"""sh AS (SELECT query_id, rank, doc_id, coalesce(title,'') AS title, url, coalesce(category,'') AS category, {_SHOWN} AS shown FROM bm JOIN chunk ON chunk_no = doc_id WHERE coalesce(url,'') <> ''),
+so AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, title ORDER BY rank) AS n FROM sh) WHERE n = 1),
+sug AS (SELECT query_id, string_agg('• [' || title || '](' || url || ')  — ' || shown || ' · ' || category, chr(10) ORDER BY rank) AS suggestions FROM so GROUP BY query_id)"""
+
+
+@query(f"WITH {_BM25}, {_SUGGESTED} SELECT query_id, suggestions FROM sug")
 def suggestion_lists(s: SparkSession, d: str) -> DataFrame:
     return answering.suggestions(_context(s, d, ret.TOP_K))
 

@@ -78,3 +78,13 @@ def test_portal(spark):
     d = spark.createDataFrame([('attachment; filename="x.pdf"', None, None, 1), (None, "r.csv", None, 2), (None, "no ending", "image/png", 3)], "d string, l string, m string, n int")
     assert [r[0] for r in d.select(P.attachment_name(*(F.col(c) for c in "dlmn"))).collect()] == ["x.pdf", "r.csv", "attachment_3.png"]
     assert spark.range(1).select(P.is_login(F.lit("Sign in")), P.is_old_login(F.lit('<input id="user"><input id="pw">')), P.is_browser_dead(F.lit("Page closed")), P.is_browser_dead(F.lit(None))).first()[:] == (True, True, True, False)
+
+
+def test_small_forms(spark):
+    blocks = spark.createDataFrame([([("text", "a"), ("image", None), ("text", "b"), ("text", None)],)], "b array<struct<type:string,text:string>>")
+    assert blocks.select(A.flat_content(F.col("b"))).first()[0] == "a b"
+    got = spark.range(1).select(A.hours_minutes(F.lit(59 * 60)), A.hours_minutes(F.lit(3700)), A.needs_footer(F.lit(0.2)), A.needs_footer(F.lit(0.5)), A.needs_footer(F.lit(0.01))).first()
+    assert tuple(got) == ("59m", "1h 1m", True, False, False)
+    labels = spark.createDataFrame([("a",), ("b",), (None,)], "filename string")
+    down = spark.createDataFrame([("a", "p1", 1), ("a", "p2", 2), ("c", "p3", 3)], "filename string, saved_path string, seq int")
+    assert {r["filename"]: r["saved_path"] for r in P.match_files(labels, down).collect()} == {"a": "p2", "b": None, None: None}
