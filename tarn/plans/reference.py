@@ -259,8 +259,12 @@ def suggest_dedup(s: SparkSession, d: str) -> DataFrame:
 )
 def chunk_rerank(s: SparkSession, d: str) -> DataFrame:
     """Keyword hits on chunks, which have no vectors, reranked behind the gate."""
+    return _reranked(s, d, _bm25(s, d))
+
+
+def _reranked(s: SparkSession, d: str, hits: DataFrame) -> DataFrame:
     q = table(s, d, "eval_holdout").select(F.col("item_id").alias("query_id"), F.col("question").alias("query"))
-    c = _bm25(s, d).drop("rank").join(F.broadcast(q), "query_id").join(table(s, d, "chunk").select(F.col("chunk_no").alias("doc_id"), "text"), "doc_id")
+    c = hits.drop("rank").join(F.broadcast(q), "query_id").join(table(s, d, "chunk").select(F.col("chunk_no").alias("doc_id"), "text"), "doc_id")
     return ret.rerank(c, X.is_error(F.col("query"))).select("query_id", "doc_id", F.round("rerank", 4).alias("score"), "rank")
 
 
@@ -325,7 +329,11 @@ def dense_filter_topk(s: SparkSession, d: str) -> DataFrame:
     SELECT query_id, count(*) AS products, round(max(n) / sum(n), 6) AS share, count(*) > 1 AND max(n) / sum(n) < 0.60 AS clarify FROM p GROUP BY query_id"""
 )
 def product_dominance(s: SparkSession, d: str) -> DataFrame:
-    hits = _bm25(s, d).join(table(s, d, "chunk").select(F.col("chunk_no").alias("doc_id"), "product"), "doc_id")
+    return _dominance(s, d, _bm25(s, d))
+
+
+def _dominance(s: SparkSession, d: str, hits: DataFrame) -> DataFrame:
+    hits = hits.join(table(s, d, "chunk").select(F.col("chunk_no").alias("doc_id"), "product"), "doc_id")
     return reports.dominance(hits, "query_id", "product")
 
 
@@ -733,9 +741,9 @@ def ext_region_revenue(s: SparkSession, d: str) -> DataFrame:
 # ---------------------------------------------------------------- from hits to answers
 
 
-def _context(s: SparkSession, d: str, k: int = 8) -> DataFrame:
+def _context(s: SparkSession, d: str, k: int = 8, hits: DataFrame | None = None) -> DataFrame:
     c = table(s, d, "chunk").select(F.col("chunk_no").alias("doc_id"), "kind", "ticket_id", "title", "url", "product", "category", "text", F.col("indexed_at").cast("string").alias("created_at"))
-    return _bm25(s, d, ret.TOP_K).drop("score").join(c, "doc_id").where(F.col("rank") <= k)
+    return (_bm25(s, d, ret.TOP_K) if hits is None else hits).drop("score").join(c, "doc_id").where(F.col("rank") <= k)
 
 
 @query(
@@ -753,7 +761,8 @@ def expand_tickets(s: SparkSession, d: str) -> DataFrame:
     SELECT query_id, doc_id FROM c UNION ALL SELECT query_id, doc_id FROM b WHERE n = 1"""
 )
 def ensure_article(s: SparkSession, d: str) -> DataFrame:
-    return answering.ensure_kind(_context(s, d), _context(s, d, ret.TOP_K), "article", F.trim("url") != "").select("query_id", "doc_id")
+    quick = cut(_context(s, d, ret.TOP_K))  # the context is its head
+    return answering.ensure_kind(quick.where("rank <= 8"), quick, "article", F.trim("url") != "").select("query_id", "doc_id")
 
 
 _CITE = """CASE WHEN kind = 'ticket' THEN 'Ticket #' || coalesce(ticket_id,'') || ' · ' || pd ELSE pd || ' · ' || coalesce(nullif(category,''),'general') || ' · ' || coalesce(title,'') END"""
@@ -806,9 +815,10 @@ def suggestion_lists(s: SparkSession, d: str) -> DataFrame:
 @query()
 def turn_decisions(s: SparkSession, d: str) -> DataFrame:
     """The kind of turn each held-out question would get."""
-    top = chunk_rerank(s, d).groupBy("query_id").agg(F.max("score").alias("score"))
+    hits = cut(_bm25(s, d))  # one search for the three things that are read off it
+    top = _reranked(s, d, hits).groupBy("query_id").agg(F.max("score").alias("score"))
     q = table(s, d, "eval_holdout").select(F.col("item_id").alias("query_id"), "question", "product")
-    rows = q.join(top, "query_id", "left").join(product_dominance(s, d).select("query_id", "clarify"), "query_id", "left").join(suggestion_lists(s, d), "query_id", "left")
+    rows = q.join(top, "query_id", "left").join(_dominance(s, d, hits).select("query_id", "clarify"), "query_id", "left").join(answering.suggestions(_context(s, d, ret.TOP_K, hits)), "query_id", "left")
     short = F.size(X.words(F.col("question"))) < X.SHORT_LIMIT
     kind = answering.decision(F.coalesce("score", F.lit(0.0)), F.coalesce("clarify", F.lit(False)), F.col("product").isNotNull(), short, F.col("suggestions").isNotNull())
     return rows.select("query_id", kind.alias("kind"))
