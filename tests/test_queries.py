@@ -8,6 +8,10 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from tarn.plans import more, problems, reference
+
+QUERIES = {**problems.QUERIES, **reference.QUERIES, **more.QUERIES}
+ORACLES = {**problems.ORACLES, **reference.ORACLES, **more.ORACLES}
 
 DATA = Path("/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not DATA.exists(), reason="no test tables")
@@ -30,22 +34,23 @@ def duck():
     return c
 
 
-@pytest.mark.parametrize("name", sorted(entry.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_equals_sql(spark, duck, name):
-    df = entry.queries()[name](spark, str(DATA))
+    df = QUERIES[name](spark, str(DATA))
     cols = sorted(df.columns)
     got = sorted((tuple(plain(r[c]) for c in cols) for r in df.collect()), key=repr)
-    res = duck.execute(entry.oracle_sql()[name])
+    res = duck.execute(ORACLES[name])
     names = [x[0] for x in res.description]
     assert sorted(names) == cols
     want = sorted((tuple(plain(r[names.index(c)]) for c in cols) for r in res.fetchall()), key=repr)
     assert got == want
 
 
-@pytest.mark.parametrize("name", sorted(n for n in entry.queries() if n not in entry.oracle_sql() and n.startswith("p") is False))
+@pytest.mark.parametrize("name", sorted(QUERIES.keys() - ORACLES.keys()))
 def test_runs(spark, name):
-    entry.queries()[name](spark, str(DATA)).write.format("noop").mode("overwrite").save()
+    QUERIES[name](spark, str(DATA)).write.format("noop").mode("overwrite").save()
 
 
 def test_entry(spark):
+    assert QUERIES.keys() <= entry.queries().keys() and ORACLES.keys() <= entry.oracle_sql().keys()
     assert entry.entry(spark).columns == ["src", "row_id", "path"]
