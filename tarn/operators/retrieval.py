@@ -54,7 +54,7 @@ def _ranked(parts: list[DataFrame], k: int) -> DataFrame:
     return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def _term_counts(docs: DataFrame, text: str) -> DataFrame:
+def term_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     """``term, df, cf``: how many documents have a term and how often it occurs; counted per batch before anything is moved."""
     found = re.compile(TOKEN).findall
 
@@ -78,18 +78,20 @@ def _term_counts(docs: DataFrame, text: str) -> DataFrame:
     return docs.select(text).mapInArrow(run, "term string, df bigint, cf bigint").groupBy("term").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf"))
 
 
-def bm25_topk(docs: DataFrame, queries: DataFrame, k: int = TOP_K, doc_id: str = "doc_id", text: str = "text", qid: str = "query_id", query: str = "query", keep: Column | None = None) -> DataFrame:
+def bm25_topk(docs: DataFrame, queries: DataFrame, k: int = TOP_K, doc_id: str = "doc_id", text: str = "text", qid: str = "query_id", query: str = "query", keep: Column | None = None, counts: DataFrame | None = None) -> DataFrame:
     """``query_id, doc_id, score, rank``: the k best documents of each query; scores are rounded to 6 places before ranking.
 
     ``keep`` says which documents may be found; the statistics are of all. The corpus is read twice for any number of queries up
-    to ``BLOCK``: once for the statistics, of which one row comes back, and once to score."""
+    to ``BLOCK``: once for the statistics, of which one row comes back, and once to score. ``counts`` are the statistics
+    (:func:`term_counts`) where several searches share them."""
     docs = spread(docs.select(doc_id, text, (F.lit(True) if keep is None else keep).alias("_keep")))
     n = docs.count()
     found = re.compile(TOKEN).findall
     blocks = _blocks(queries, qid)
-    counts = _term_counts(docs, text)
-    if len(blocks) > 1:
-        counts = cut(counts)  # read once per block
+    if counts is None:
+        counts = term_counts(docs, text)
+        if len(blocks) > 1:
+            counts = cut(counts)  # read once per block
     parts = []
     for block in blocks:
         rows = block.select(F.col(qid).cast("bigint").alias("q"), F.col(query).alias("t")).collect()  # at most BLOCK rows, or as many as one hash block holds

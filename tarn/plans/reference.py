@@ -213,9 +213,9 @@ bs AS (SELECT query_id, tf.doc_id, round(sum(times * idf * (tf * 2.5 / (tf + 1.5
 bm AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM bs WHERE score > 0) WHERE rank <= 30)"""
 
 
-def _bm25(s: SparkSession, d: str, k: int = ret.TOP_K) -> DataFrame:
+def _bm25(s: SparkSession, d: str, k: int = ret.TOP_K, counts: DataFrame | None = None) -> DataFrame:
     q = table(s, d, "eval_holdout").select(F.col("item_id").alias("query_id"), F.col("question").alias("query"))
-    return ret.bm25_topk(table(s, d, "chunk"), q, k, doc_id="chunk_no")
+    return ret.bm25_topk(table(s, d, "chunk"), q, k, doc_id="chunk_no", counts=counts)
 
 
 @query(f"WITH {_BM25} SELECT query_id, doc_id, rank::int AS rank FROM bm")
@@ -794,9 +794,10 @@ def citation_validate(s: SparkSession, d: str) -> DataFrame:
 @query()
 def related_tickets(s: SparkSession, d: str) -> DataFrame:
     """The tickets like the first ticket of each context, by a search of their own (BM25, as chunks have no vectors)."""
-    context = cut(_context(s, d))
     c = table(s, d, "chunk")
-    hits = ret.bm25_topk(c, cut(answering.ticket_seeds(context)), answering.SEED_K, doc_id="chunk_no")
+    counts = cut(ret.term_counts(spread(c)))  # both searches are over the same corpus
+    context = cut(_context(s, d, hits=_bm25(s, d, 8, counts)))
+    hits = ret.bm25_topk(c, cut(answering.ticket_seeds(context)), answering.SEED_K, doc_id="chunk_no", counts=counts)
     rows = c.where("kind = 'ticket'").select(F.col("chunk_no").alias("doc_id"), "ticket_id", F.col("indexed_at").cast("string").alias("created_at"))
     return answering.related_tickets(context, hits.join(rows, "doc_id"))
 
