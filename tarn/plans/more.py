@@ -143,12 +143,12 @@ def legacy_state(s: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    """WITH r AS (SELECT DISTINCT space_key, art_no FROM chunk WHERE has_images AND art_no IS NOT NULL)
+    """WITH r AS (SELECT DISTINCT space_key, art_no FROM chunk WHERE art_no IS NOT NULL AND (coalesce(trim(text), '') = '' OR length(text) < 200))
     SELECT b.space_key, count(*) AS discovered FROM booking_spot_deal b WHERE EXISTS (SELECT 1 FROM r WHERE r.art_no = b.art_no AND r.space_key = b.space_key) GROUP BY b.space_key"""
 )
 def retry_worklist(s: SparkSession, d: str) -> DataFrame:
-    """A work-list cut to the rows to retry (here, articles with images), and how many of each space are queued."""
-    retry = table(s, d, "chunk").where("has_images and art_no is not null").select("space_key", "art_no")
+    """A work-list cut to the rows to retry (here, articles with an empty or very short chunk), and how many of each space are queued."""
+    retry = table(s, d, "chunk").where("art_no is not null and (coalesce(trim(text), '') = '' or length(text) < 200)").select("space_key", "art_no")
     return incremental.worklist(table(s, d, "booking_spot_deal"), retry, ["space_key", "art_no"]).groupBy("space_key").agg(F.count(F.lit(1)).alias("discovered"))
 
 
