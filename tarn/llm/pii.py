@@ -3,9 +3,10 @@
 E-mail addresses, phone numbers, identity numbers and street addresses are found by their formats and labels.  Names
 are found by a lexicon of the name parts of all tickets' authors and, where the lexicon does not have them, by a small
 classifier of two capitalised words: words the corpus uses otherwise are out, and the words around a pair weigh by how
-much more often they stood around the lexicon's names than around other capitalised pairs.  The classifier, and only
-it, is fitted on a bounded sample of tickets (about ``NAME_SAMPLE``, drawn by hash).  The lexicon is broadcast up to
-``MAX_PARTS`` parts; beyond that each ticket gets the parts that occur in it by a join, so it never misses one.
+much more often they stood around the lexicon's names than around other capitalised pairs.  All tickets are counted for it,
+and a word is in use by its rate among them, which does not depend on how many there are.  The lexicon is broadcast up
+to ``MAX_PARTS`` parts and the classifier up to its ``MAX_WORDS`` most frequent words; beyond that each ticket gets
+what occurs in it of the others by a join, so it never misses one.
 
 Replacing keeps the text readable: each detail becomes a typed placeholder with a pseudonym.  Numbers and dates are
 permuted within their format by a keyed Feistel network over their digits and letters (check digits are computed
@@ -27,26 +28,30 @@ import unicodedata
 import uuid
 from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
-from dataclasses import dataclass
-from functools import lru_cache
+from dataclasses import dataclass, replace
+from functools import lru_cache, reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarn.sources.tables import spread
+from tarn.sources.tables import cut, spread
 
 #: In order of precedence where finds overlap.
 KINDS = ("email", "id_number", "phone", "address", "date", "name")
-#: Tickets the classifier of unknown names is fitted on, about.
-NAME_SAMPLE = 20_000
-#: Words it keeps, at most: the most frequent ones of the sample.
-VOCABULARY = 100_000
+#: A word is in use if it is used once in so many tickets, and twice at least.
+IN_USE = 10_000
+#: Places from which on a word around them speaks for or against a name.
+PLACES_LEAST = 3
 #: What it speaks for a name that the corpus does not use a pair's words otherwise (in nats).
 UNKNOWN = 2.0
 #: Name parts that are broadcast, at most.
 MAX_PARTS = 500_000
+#: Words of the classifier that are broadcast, at most.
+MAX_WORDS = 500_000
 FIELDS = ("title", "text", "body")
+#: Columns whose words are in use too.
+OTHERS = ("organization", "product", "category")
 
 # ---------------------------------------------------------------- e-mail addresses
 
@@ -285,6 +290,16 @@ class Lexicon:
         got.given, got.last = set(names.given), set(names.last)
         return got
 
+    def joined(self, own: pa.ListArray) -> Lexicon:
+        """With what tickets bring themselves: all that occurs in them, so for them nothing is missing."""
+        rows = list(zip(*(c.to_pylist() for c in own.flatten().flatten()), strict=True))
+        if not rows:
+            return self
+        got = Lexicon(context=self.context and self.context.joined(r for r in rows if r[0] in ("w", "b", "a")))
+        given, last = ({w for kind, w, *_ in rows if kind == role} for role in ("given", "last"))
+        got.given, got.last = self.given | given if given else self.given, self.last | last if last else self.last
+        return got
+
 
 def name_parts(name: str) -> list[tuple[str, str]]:
     """(role, part) of a name's first part and of its last."""
@@ -306,10 +321,8 @@ def clean_author(author: str | None) -> str | None:
     return name if 2 <= len(tokens) <= 6 and not any(c.isdigit() for c in name) else None
 
 
-def _names(text: str, lex: Lexicon, own: frozenset[str] | None, taken: Callable[[int, int], bool]) -> Iterator[tuple[int, int, str]]:
+def _names(text: str, lex: Lexicon, taken: Callable[[int, int], bool]) -> Iterator[tuple[int, int, str]]:
     given, last = lex.given, lex.last
-    if own:  # given:part and last:part
-        given, last = given | {p[6:] for p in own if p[0] == "g"}, last | {p[5:] for p in own if p[0] == "l"}
     tokens = [(m.start(), m.end(), k) for m in _TOKEN.finditer(text) if (k := _key(m.group())) in given or k in last]
     done = 0
     for t, (a, z, k) in enumerate(tokens):
@@ -380,11 +393,24 @@ def _name_starts(text: str, w: re.Match[str], last: set[str]) -> bool:
 @dataclass(frozen=True)
 class Context:
     """What the classifier of unknown names knows: the words in use, and how much the words before and after a pair of
-    capitalised words speak for a name (in nats)."""
+    capitalised words speak for a name (in nats); of all pairs, how many are names, and how many there are."""
 
     words: frozenset[str]
     before: dict[str, float]
     after: dict[str, float]
+    named: int = 0
+    pairs: int = 0
+
+    def joined(self, rows: Iterable[tuple[str, str, int, int]]) -> Context:
+        """With further counts: kind (w a word, b and a those before and after a pair), word, names and all there."""
+        kinds: dict[str, list[tuple[str, int, int]]] = {"w": [], "b": [], "a": []}
+        for kind, word, n, of in rows:
+            kinds[kind].append((word, n, of))
+        if not any(kinds.values()):
+            return self
+        named, others = self.named + 20, self.pairs - self.named + 20
+        weights = lambda kind: {word: math.log((n + 1) / named) - math.log((of - n + 1) / others) for word, n, of in kinds[kind]}
+        return replace(self, words=self.words.union(w for w, *_ in kinds["w"]), before=self.before | weights("b"), after=self.after | weights("a"))
 
     def knows(self, word: str) -> bool:
         """Whether the corpus uses a word, or one of the parts of it."""
@@ -394,7 +420,7 @@ class Context:
 
 @dataclass(frozen=True)
 class Names:
-    """The parts of all known names, and the classifier; ``own`` says that tickets bring their parts themselves."""
+    """The parts of all known names, and the classifier; ``own`` is what tickets bring of them themselves."""
 
     given: tuple[str, ...]
     last: tuple[str, ...]
@@ -438,7 +464,7 @@ def _unknown_names(text: str, lex: Lexicon, taken: Callable[[int, int], bool]) -
         yield a, done, "name"
 
 
-def find(text: str | None, lex: Lexicon, own: frozenset[str] | None = None) -> list[tuple[int, int, str]]:
+def find(text: str | None, lex: Lexicon) -> list[tuple[int, int, str]]:
     """(start, end, kind) of every detail, from 0, in order and without overlaps."""
     if not text:
         return []
@@ -456,7 +482,7 @@ def find(text: str | None, lex: Lexicon, own: frozenset[str] | None = None) -> l
 
     for rule in (_emails, _id_numbers, _phones, _addresses, _births):
         take(rule(text))
-    take(_names(text, lex, own, taken))
+    take(_names(text, lex, taken))
     take(_unknown_names(text, lex, taken))
     return sorted(spans)
 
@@ -643,6 +669,12 @@ def replaced(text: str | None, spans: list[tuple[int, int, str]], key: bytes) ->
 
 PARTS = "role string, part string"
 COUNTS = "kind string, word string, n bigint, of bigint"
+OWN = f"array<struct<{COUNTS.replace(' ', ':').replace(',:', ',')}>>"
+
+
+def _pieces(key: str) -> set[str]:
+    """A word as compared and the parts of it."""
+    return {key, *re.split(r"['\-]", key)}
 
 
 def author_parts(tickets: DataFrame) -> DataFrame:
@@ -657,66 +689,111 @@ def author_parts(tickets: DataFrame) -> DataFrame:
     return authors.mapInArrow(run, PARTS).distinct()
 
 
-def fit_context(tickets: DataFrame, given: set[str], last: set[str], sample: int = NAME_SAMPLE) -> Context:
-    """The classifier, from about ``sample`` tickets; counted on the executors, of which the most frequent words come back."""
-    share = 1.0 * sample / max(tickets.count(), 1)
-    draw = F.pmod(F.xxhash64("rec_id", F.lit("names")), F.lit(1 << 53)) / F.lit(float(1 << 53))
-    few = (tickets.where(draw < share) if share < 1 else tickets).select(*FIELDS, *(c for c in ("organization", "product", "category") if c in tickets.columns))
-    shared = tickets.sparkSession.sparkContext.broadcast((frozenset(given), frozenset(last)))
+def count_words(tickets: DataFrame, given: Iterable[str], last: Iterable[str], own: DataFrame | None = None) -> DataFrame:
+    """``kind, word, n, of``: how often every word is used (w), how often it stands before (b) and after (a) two
+    capitalised words, and how many of these there are (n); n of them are names of the lexicon. Counted on the executors."""
+    shared = tickets.sparkSession.sparkContext.broadcast(Names(tuple(given), tuple(last), Context(frozenset(), {}, {})))
+    made = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        firsts, lasts = shared.value
+        lex = _lexicon(made, shared)
         for batch in batches:
-            seen: Counter[tuple[str, str]] = Counter()
-            named: Counter[tuple[str, str]] = Counter()
-            for k, col in enumerate(batch.columns):
+            *columns, brought = batch.columns
+            here = lex.joined(brought)
+            firsts, lasts = here.given, here.last
+            tokens: Counter[str] = Counter()
+            around: Counter[tuple[bool, str, str]] = Counter()
+            for k, col in enumerate(columns):
                 for text in filter(None, col.to_pylist()):
-                    words = [_key(w) for w in _TOKEN.findall(text)]
-                    seen.update(("w", p) for w in words if w not in firsts and w not in lasts for p in {w, *re.split(r"['’\-]", w)})
+                    tokens.update(_TOKEN.findall(text))
                     for a, z, x, y in _pairs(text) if k < len(FIELDS) else ():
                         kx, ky = _key(x), _key(y)
                         name = kx in firsts and ky in lasts
-                        if not name and (kx in firsts or ky in lasts):
-                            continue
-                        before, after = _around(text, a, z)
-                        for key in (("b", before), ("a", after), ("n", "")):
-                            seen[key] += 1
-                            named[key] += name
+                        if name or not (kx in firsts or ky in lasts):
+                            around[name, *_around(text, a, z)] += 1
+            seen: Counter[tuple[str, str]] = Counter()
+            named: Counter[tuple[str, str]] = Counter()
+            for token, n in tokens.items():
+                if (w := _key(token)) not in firsts and w not in lasts:
+                    for p in _pieces(w):
+                        seen["w", p] += n
+            for (name, before, after), n in around.items():
+                for key in (("b", before), ("a", after), ("n", "")):
+                    seen[key] += n
+                    named[key] += n * name
             rows = [(kind, w, named[kind, w], n) for (kind, w), n in seen.items()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [()] * 4, (pa.string(), pa.string(), pa.int64(), pa.int64()), strict=True)], names=["kind", "word", "n", "of"])
 
-    total = few.mapInArrow(run, COUNTS).groupBy("kind", "word").agg(F.sum("n").alias("n"), F.sum("of").alias("of"))
-    rows = total.where("of >= 2 or kind <> 'w'").orderBy(F.desc("of"), "kind", "word").limit(VOCABULARY).collect()
-    all_named, all_pairs = next(((r["n"], r["of"]) for r in rows if r["kind"] == "n"), (0, 0))
-    weigh = lambda n, of: math.log((n + 1) / (all_named + 20)) - math.log((of - n + 1) / (all_pairs - all_named + 20))
-    side = lambda kind: {r["word"]: weigh(r["n"], r["of"]) for r in rows if r["kind"] == kind and r["of"] >= 3}
-    return Context(frozenset(r["word"] for r in rows if r["kind"] == "w"), side("b"), side("a"))
-
-
-def fit_names(tickets: DataFrame, sample: int = NAME_SAMPLE, max_parts: int | None = None) -> Names:
-    """The parts of all authors' names and the classifier; beyond ``MAX_PARTS`` parts, those of each ticket by a join."""
+    texts = _with_own(tickets, [*FIELDS, *(c for c in OTHERS if c in tickets.columns)], own).drop("rec_id")
+    return texts.mapInArrow(run, COUNTS).groupBy("kind", "word").agg(F.sum("n").alias("n"), F.sum("of").alias("of"))
+
+
+def fit_context(tickets: DataFrame, given: Iterable[str], last: Iterable[str], own: DataFrame | None = None, max_words: int | None = None) -> tuple[Context, DataFrame | None]:
+    """The classifier, from all tickets: what is broadcast of it, and the counts of its other words where it has more than
+    ``MAX_WORDS``."""
+    bound = MAX_WORDS if max_words is None else max_words
+    used = max(2, -(-tickets.count() // IN_USE))
+    counts = count_words(tickets, given, last, own).where(f"kind = 'n' or (kind = 'w' and of >= {used}) or (kind in ('b', 'a') and of >= {PLACES_LEAST})")
+    rows = [tuple(r) for r in counts.limit(bound + 2).collect()]
+    rest = None
+    if sum(kind != "n" for kind, *_ in rows) > bound:  # the most frequent ones are broadcast, by the length of their counts
+        counts, size, of_all = cut(counts), F.length(F.bin("of")), F.col("kind") == "n"
+        sizes = [tuple(r) for r in counts.where(~of_all).groupBy(size).count().collect()]
+        least = next(k for k in range(1, 66) if sum(n for length, n in sizes if length >= k) <= bound)
+        rows = [tuple(r) for r in counts.where(of_all | (size >= least)).collect()]
+        rest = counts.where(~of_all & (size < least))
+    named, pairs = next(((n, of) for kind, _, n, of in rows if kind == "n"), (0, 0))
+    return Context(frozenset(), {}, {}, named, pairs).joined(r for r in rows if r[0] != "n"), rest
+
+
+def fit_names(tickets: DataFrame, max_parts: int | None = None, max_words: int | None = None) -> Names:
+    """The parts of all authors' names and the classifier; what is not broadcast of them, for each ticket by a join."""
     bound = MAX_PARTS if max_parts is None else max_parts
     parts = author_parts(tickets)
     rows = parts.limit(bound + 1).collect()
-    given, last = (tuple(sorted(r["part"] for r in rows if r["role"] == role)) for role in ("given", "last"))
-    context = fit_context(tickets, set(given), set(last), sample)
-    return Names(given, last, context) if len(rows) <= bound else Names((), (), context, own_parts(tickets, parts))
+    joined = [parts.select(F.col("role").alias("kind"), F.col("part").alias("word"), F.lit(0).cast("bigint").alias("n"), F.lit(0).cast("bigint").alias("of"))] if len(rows) > bound else []
+    given, last = (tuple(sorted(r["part"] for r in rows if r["role"] == role and not joined)) for role in ("given", "last"))
+    context, rest = fit_context(tickets, given, last, own_words(tickets, joined), max_words)
+    return Names(given, last, context, own_words(tickets, joined, rest))
 
 
-def own_parts(tickets: DataFrame, parts: DataFrame) -> DataFrame:
-    """``rec_id, own``: the name parts that occur in each ticket's texts, however many there are in all."""
+def own_words(tickets: DataFrame, parts: list[DataFrame], rest: DataFrame | None = None) -> DataFrame | None:
+    """``rec_id, own``: what occurs of name parts and of the classifier's words in each ticket, however many there are in all."""
+    known = [*parts, *([] if rest is None else [rest])]
+    if not known:
+        return None
+    for_parts, for_rest = bool(parts), rest is not None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rec, words = [], []
+            out = []
             for r, *texts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                own = sorted({k for t in texts if t for w in _TOKEN.findall(t) if (k := _key(w))})
-                rec += [r] * len(own)
-                words += own
-            yield pa.RecordBatch.from_arrays([pa.array(rec, pa.int64()), pa.array(words, pa.string())], names=["rec_id", "part"])
+                own = set()
+                for text in filter(None, texts):
+                    if for_parts:
+                        own |= {("p", _key(w)) for w in _TOKEN.findall(text)}
+                    for a, z, x, y in _pairs(text):
+                        before, after = _around(text, a, z)
+                        if for_parts:
+                            own |= {("p", _key(x)), ("p", _key(y))}
+                        if for_rest:
+                            own |= {("b", before), ("a", after), *(("w", p) for w in (x, y) for p in _pieces(_key(w)))}
+                out += [(r, *x) for x in sorted(own)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [()] * 3, (pa.int64(), pa.string(), pa.string()), strict=True)], names=["rec_id", "place", "word"])
+
+    texts = [*FIELDS, *(c for c in OTHERS if parts and c in tickets.columns)]
+    words = tickets.select(F.col("rec_id").cast("bigint").alias("rec_id"), *texts).mapInArrow(run, "rec_id bigint, place string, word string")
+    all_known = reduce(DataFrame.unionByName, known).withColumn("place", F.when(F.col("kind").isin("given", "last"), "p").otherwise(F.col("kind")))
+    return words.join(all_known, ["place", "word"]).groupBy("rec_id").agg(F.collect_set(F.struct("kind", "word", "n", "of")).alias("own"))
+
 
-    words = tickets.select(F.col("rec_id").cast("bigint").alias("rec_id"), *FIELDS).mapInArrow(run, "rec_id bigint, part string")
-    return words.join(parts, "part").groupBy("rec_id").agg(F.collect_set(F.concat_ws(":", "role", "part")).alias("own"))
+def _with_own(tickets: DataFrame, columns: list[str], own: DataFrame | None) -> DataFrame:
+    """``rec_id``, the columns and ``own``."""
+    df = tickets.select("rec_id", *columns)
+    if own is None:
+        return df.withColumn("own", F.lit(None).cast(OWN))
+    own = own.withColumnRenamed("rec_id", "_rec")
+    return df.join(own, df["rec_id"].eqNullSafe(own["_rec"]), "left").select("rec_id", *columns, "own")
 
 
 _made: dict[str, Lexicon] = {}
@@ -734,15 +811,11 @@ SPANS = "rec_id bigint, field string, kind string, start_pos int, end_pos int"
 
 
 def _inputs(tickets: DataFrame, names: Names) -> DataFrame:
-    df = tickets.select("rec_id", *FIELDS)
-    if names.own is None:
-        return spread(df.withColumn("own", F.lit(None).cast("array<string>")))
-    own = names.own.withColumnRenamed("rec_id", "_rec")
-    return spread(df.join(own, df["rec_id"].eqNullSafe(own["_rec"]), "left").select("rec_id", *FIELDS, "own"))
+    return spread(_with_own(tickets, list(FIELDS), names.own))
 
 
 def _share(tickets: DataFrame, names: Names):
-    """The lexicon as a broadcast, at most MAX_PARTS parts and VOCABULARY words, and a name for it."""
+    """The lexicon as a broadcast, at most MAX_PARTS parts and MAX_WORDS words, and a name for it."""
     return uuid.uuid4().hex, tickets.sparkSession.sparkContext.broadcast(Names(names.given, names.last, names.context))
 
 
@@ -755,10 +828,11 @@ def find_details(tickets: DataFrame, names: Names) -> DataFrame:
         for batch in batches:
             for lo in range(0, batch.num_rows, 1024):
                 part = batch.slice(lo, 1024)
-                out = []
-                for rec, *texts, own in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                *columns, own = part.columns
+                here, out = lex.joined(own), []
+                for rec, *texts in zip(*(c.to_pylist() for c in columns), strict=True):
                     for field, text in zip(FIELDS, texts, strict=True):
-                        out += [(rec, field, kind, a + 1, z) for a, z, kind in find(text, lex, own)]
+                        out += [(rec, field, kind, a + 1, z) for a, z, kind in find(text, here)]
                 cols = list(zip(*out, strict=True)) if out else [()] * 5
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int32()), strict=True)], names=["rec_id", "field", "kind", "start_pos", "end_pos"])
 
@@ -774,7 +848,9 @@ def redact(tickets: DataFrame, names: Names, key: bytes) -> DataFrame:
         for batch in batches:
             for lo in range(0, batch.num_rows, 1024):
                 part = batch.slice(lo, 1024)
-                out = [(rec, *(replaced(t, find(t, lex, own), key) for t in texts)) for rec, *texts, own in zip(*(c.to_pylist() for c in part.columns), strict=True)]
+                *columns, own = part.columns
+                here = lex.joined(own)
+                out = [(rec, *(replaced(t, find(t, here), key) for t in texts)) for rec, *texts in zip(*(c.to_pylist() for c in columns), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), *[pa.string()] * 3), strict=True)], names=["rec_id", *FIELDS])
 
     return _inputs(tickets, names).mapInArrow(run, "rec_id bigint, title string, text string, body string")

@@ -120,6 +120,34 @@ def test_more_names_than_are_broadcast(spark):
     assert as_rows(few) == as_rows(many) != []
 
 
+def test_the_classifier_counts_all_tickets(spark):
+    """30,000 tickets: a word used four times, wherever that is, is in use, one used twice is not; every pair is counted."""
+    n = 30_000
+    text = "concat('note often', rec_id % 7500, if(rec_id % 15000 < 50, concat(' seldom', rec_id % 15000), ''), '; asked Ada Quist now')"
+    d = spark.range(n).selectExpr("id rec_id").selectExpr("rec_id", "cast(null as string) title", f"{text} text", "'' body", "array(named_struct('author', 'Ada Quist', 'body', '')) comments")
+    context = P.fit_names(d).context
+    assert context.words == {"note", "asked", "now", *(f"often{k}" for k in range(7500))}
+    assert (context.named, context.pairs) == (n, n)
+
+
+def test_more_words_than_are_broadcast(spark):
+    texts = [
+        *["Ada Quist has called, says Ada Quist today"] * 4, *["Open Rate Desk now"] * 4, *["use Rate-Desk Window, then Open it"] * 4,
+        "Zanele Mbeki has no access", "I asked Oluwaseun Adeyemi today", "says Rate Desk today", "use Window Nkosi then", "Thandiwe-Rate Nkosi has it", "Ngozi O'Rate has it",
+    ]
+    d = spark.createDataFrame([(k, None, t, "", [("Ada Quist", None), ("Vera Holm", None)], "") for k, t in enumerate(texts)] + [(None, None, texts[-4], None, None, ""), (0, None, texts[0], None, None, "")], SCHEMA)
+    whole = P.fit_names(d)
+    as_rows = lambda names: sorted(map(repr, P.find_details(d, names).collect()))
+    found = as_rows(whole)
+    assert whole.own is None and len(found) == 12 and any("rec_id=12," in r for r in found) and not any("rec_id=16," in r for r in found)
+    few = P.fit_names(d, max_words=12)
+    assert few.own is not None and 0 < len(few.context.words) + len(few.context.before) + len(few.context.after) <= 12
+    assert as_rows(few) == found
+    none = P.fit_names(d, max_parts=1, max_words=0)
+    assert none.own is not None and none.given == () and (none.context.named, none.context.pairs) == (whole.context.named, whole.context.pairs)
+    assert as_rows(none) == found
+
+
 def test_table(spark):
     rows = [(1, "For Ada Quist", None, "", [("Ada Quist <a@b.example>", None), None], "clash"), (2, None, None, None, None, ""), (1, "For Ada Quist", None, "", None, ""), (3, "y" * 400_000, "SIN 037 639 118 and SIN 037 639 118", "555", [], "")]
     d = spark.createDataFrame(rows, SCHEMA)
